@@ -96,7 +96,7 @@ def histogram(real: DataFrame, synth: DataFrame, bins: int = 30) -> DataFrame:
         entries = []
         for n, (low, high) in bounds.items():
             place = F.floor((as_double(n) - F.lit(low)) * F.lit(float(bins)) / F.lit((high - low) or 1.0))
-            at = F.least(place.cast("int") + F.lit(1), F.lit(bins))
+            at = F.when(place.isNotNull(), F.least(place.cast("int") + F.lit(1), F.lit(bins)))
             entries.append(F.struct(F.lit(n).alias("column"), at.alias("bin")))
         return df.select(F.lit(side).alias("side"), F.inline(F.array(*entries))).filter(F.col("bin").isNotNull())
 

@@ -6,7 +6,7 @@ import importlib
 
 from workload.catalog import QUERIES, SQL
 
-MODULES = ["disclosure"]
+MODULES = ["disclosure", "preparation", "rules", "comparison"]
 
 
 def _load() -> None:
