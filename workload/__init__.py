@@ -6,7 +6,7 @@ import importlib
 
 from workload.catalog import QUERIES, SQL
 
-MODULES = ["disclosure", "preparation", "rules", "comparison"]
+MODULES = ["disclosure", "preparation", "rules", "comparison", "closeness", "budgets"]
 
 
 def _load() -> None:
