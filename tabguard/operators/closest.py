@@ -6,20 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.functions import nearest
 from tabguard.functions.nearest import PointSet, SplitTree
 from tabguard.plans.lookups import lookup_join
 from tabguard.plans.quantiles import weighted_quantiles
 from tabguard.schema import as_double, numeric_columns
 from tabguard.session import write_and_reread
 
-# Tasks get the helper with their closure, wherever the package is installed.
-cloudpickle.register_pickle_by_value(nearest)
-
 #: Real side that may be broadcast, in bytes; its distinct rows are counted first.
 BROADCAST_BYTES = 32 << 20
 #: Points per side that one group of the cell search holds.

@@ -115,8 +115,9 @@ def with_pieces(
 ) -> tuple[DataFrame, bool]:
     """Cut groups of more than ``piece_rows`` rows into consecutive pieces along ``position``.
 
-    Adds ``_piece`` (0 for all other groups) and tells whether any group was cut. The cut table
-    holds at most HOT_GROUPS rows of ``pieces`` numbers, and is therefore broadcast.
+    Adds ``_piece`` (0 for all other groups, from 1 for cut ones; some numbers may be unused) and
+    tells whether any group was cut. The cut table holds at most HOT_GROUPS rows of ``pieces``
+    numbers, and is therefore broadcast.
     """
     key_columns = [c(k) for k in keys]
     hot = (
@@ -142,40 +143,56 @@ def with_pieces(
     joined = df.withColumn("_position", position).join(F.broadcast(cuts), keys, "left")
     piece = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("_position")))
     return (
-        joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece))
+        joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece + 1))
         .drop("_cuts", "_position"),
         True,
     )
 
 
-def lag_in_groups(
+def previous_in_groups(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    values: dict[str, str],
+    value: Column,
+    out: str,
     position: Column,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Previous row's ``values`` inside each group; hot groups are cut and stitched at the seams."""
-    pieced, cut = with_pieces(df, keys, position, piece_rows)
-    window = Window.partitionBy(*[c(k) for k in keys], F.col("_piece")).orderBy(*[c(o) for o in order])
-    lagged = pieced.select("*", *[F.lag(c(source)).over(window).alias(out) for out, source in values.items()],
-                           F.row_number().over(window).alias("_at"))
+    """``out``: the last non-null ``value`` strictly before each row of its group in ``order``.
+
+    ``position`` is a number that rises with ``order``; hot groups are cut along it and stitched
+    at the seams.
+    """
+    key_columns = [c(k) for k in keys]
+    pieced, cut = with_pieces(df.withColumn("_value", value), keys, position, piece_rows)
+    before = Window.partitionBy(*key_columns, "_piece").orderBy(*[c(o) for o in order])
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    local = pieced.withColumn(out, F.last("_value", ignorenulls=True).over(before))
     if not cut:
-        return lagged.drop("_piece", "_at")
-    last = F.max_by(F.struct(*[c(source).alias(out) for out, source in values.items()]),
-                    F.struct(*[c(o) for o in order])).alias("_last")
-    seams = Window.partitionBy(*[c(k) for k in keys]).orderBy("_piece")
+        return local.select(*[c(n) for n in df.columns], c(out))
+    seams = Window.partitionBy(*key_columns).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*[c(o) for o in order])
     carried = (
-        pieced.groupBy(*[c(k) for k in keys], "_piece").agg(last)
-        .withColumn("_carry", F.lag("_last").over(seams))
-        .filter(F.col("_carry").isNotNull())
-        .drop("_last")
-    )
-    # Only the groups that were cut have seams: at most HOT_GROUPS x pieces rows.
-    joined = lagged.join(F.broadcast(carried), [*keys, "_piece"], "left")
-    first = F.col("_at") == 1
-    return joined.select(
-        *[c(n) for n in df.columns],
-        *[F.when(first, F.col(f"_carry.{out}")).otherwise(c(out)).alias(out) for out in values],
+        pieced.filter(F.col("_piece") > 0)
+        .groupBy(*key_columns, "_piece")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_last"))
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(seams))
+        .select(*key_columns, "_piece", "_carry")
     )
+    # At most HOT_GROUPS x pieces rows.
+    joined = local.join(F.broadcast(carried), [*keys, "_piece"], "left")
+    return joined.select(*[c(n) for n in df.columns], F.coalesce(c(out), F.col("_carry")).alias(out))
+
+
+def lag_in_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, str],
+    position: Column,
+    piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
+    """Previous row's ``values`` (output name -> column) inside each group, null for its first row."""
+    row = F.struct(*[c(source).alias(out) for out, source in values.items()])
+    found = previous_in_groups(df, keys, order, row, "_previous", position, piece_rows)
+    return found.select(*[c(n) for n in df.columns], *[F.col("_previous").getField(out).alias(out) for out in values])

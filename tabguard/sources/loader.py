@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import re
-import sys
 from pathlib import PurePosixPath
 from urllib.parse import urlsplit
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabguard.schema import c, melt_row, nan_to_null, string_columns
 
-# Tasks get the Arrow reader with their closure, wherever the package is installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Extension -> format, database schemes, compression suffixes.
 EXTENSIONS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "feather": "feather", "ftr": "feather"}
 DATABASES = ("sqlite", "postgresql", "mysql", "mssql", "oracle")

@@ -6,7 +6,7 @@ import importlib
 
 from workload.catalog import QUERIES, SQL
 
-MODULES = ["disclosure", "preparation", "rules", "comparison", "closeness", "budgets", "synthetic"]
+MODULES = ["disclosure", "preparation", "rules", "comparison", "closeness", "budgets", "synthetic", "records", "whole_run"]
 
 
 def _load() -> None:

@@ -46,12 +46,10 @@ SELECT p_name AS value, count(*) AS n, TRUE AS ordered, TRUE AS covers FROM part
 """)
 def category_intervals(spark, sf_dir):
     """Every category gets a non-empty interval of normal scores, and together they leave no gap."""
-    from pyspark.sql import Window
-
     cats = synthesis.category_table(table(spark, sf_dir, "part"), ["p_name"])
-    order = Window.partitionBy("column").orderBy("lower")
-    follows = F.coalesce(F.lag("upper").over(order) == F.col("lower"), F.col("lower") == float("-inf"))
-    return cats.select("value", "n", (F.col("upper") > F.col("lower")).alias("ordered"), follows.alias("covers"))
+    ends = cats.select(F.col("upper").alias("lower"), F.lit(True).alias("follows"))
+    covers = F.coalesce("follows", F.col("lower") == float("-inf"))
+    return cats.join(ends, "lower", "left").select("value", "n", (F.col("upper") > F.col("lower")).alias("ordered"), covers.alias("covers"))
 
 
 @query("""
