@@ -52,15 +52,24 @@ class PointSet:
         for members in _blocks(queries, LEAF):
             asked, found = queries[members], best[members]
             gaps = box_gap_squared(asked.min(axis=0), asked.max(axis=0), self.low, self.high)
-            for i in np.argsort(gaps, kind="stable"):
-                if gaps[i] > found.max():
+            self._improve(int(np.argmin(gaps)), asked, found)
+            near = np.flatnonzero(gaps < found.max())
+            for i in near[np.argsort(gaps[near], kind="stable")]:
+                if gaps[i] >= found.max():
                     break
-                apart = asked[:, None, :] - self.blocks[i][None, :, :]
-                np.minimum(found, np.einsum("qpd,qpd->qp", apart, apart).min(axis=1), out=found)
+                self._improve(i, asked, found)
             best[members] = found
         return np.sqrt(best)
 
 
+    def _improve(self, block: int, asked: np.ndarray, found: np.ndarray) -> None:
+        """Search one block for those queries whose own gap to it is below what they found."""
+        open_ones = np.flatnonzero(box_gap_squared(asked, asked, self.low[block], self.high[block]) < found)
+        if len(open_ones):
+            apart = asked[open_ones, None, :] - self.blocks[block][None, :, :]
+            found[open_ones] = np.minimum(found[open_ones], np.einsum("qpd,qpd->qp", apart, apart).min(axis=1))
+
+
 class SplitTree:
     """Balanced axis splits of a sample: points go to cells, and cells near a point are found."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,48 +66,68 @@ def admit_requests(
 
 
 def _in_time_order(events: DataFrame) -> DataFrame:
-    return events.repartition("_key", "_piece").sortWithinPartitions("_key", "_piece", "_kind", "_t", "_id")
+    # A fixed number of partitions: the replay is worth more tasks than its bytes suggest to AQE.
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(parts, "_key", "_piece").sortWithinPartitions("_key", "_piece", "_kind", "_t", "_id")
+
+
+def _decide(times: list[int], first: int, last: int, recent: deque, limit: int, span: int) -> list[tuple[int, int]]:
+    """Admit from ``times[first:last]`` in order; returns ``(position, in_window)`` of the admitted.
+
+    A full window rejects everything until its oldest time expires, so the walk jumps there.
+    """
+    admitted, at = [], first
+    while at < last:
+        while recent and recent[0] <= times[at] - span:
+            recent.popleft()
+        if len(recent) < limit:
+            recent.append(times[at])
+            admitted.append((at, len(recent)))
+            at += 1
+        else:
+            at = bisect_left(times, recent[0] + span, at, last)
+    return admitted
 
 
 def _replay(batches, limit: int, span: int, states: bool):
     """Walk sorted rows; yield decisions, or the remembered times at the end of every piece."""
+    import numpy as np
     import pandas as pd
 
     current, recent = None, deque()
-    ends = []
     for pdf in batches:
-        keep, admitted, used = [], [], []
-        for at, (key, piece, kind, t, state) in enumerate(zip(pdf["_key"], pdf["_piece"], pdf["_kind"], pdf["_t"], pdf["_state"])):
-            if (key, piece) != current:
+        key, piece, kind = (pdf[n].to_numpy() for n in ("_key", "_piece", "_kind"))
+        times = pdf["_t"].tolist()
+        starts = np.flatnonzero((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])) + 1
+        admitted, used, ends = np.zeros(len(pdf), dtype=bool), np.full(len(pdf), limit), []
+        for first, last in zip([0, *starts.tolist()], [*starts.tolist(), len(pdf)]):
+            if (key[first], piece[first]) != current:
                 if states and current is not None:
                     ends.append((*current, list(recent)))
-                current, recent = (key, piece), deque()
-            if kind == 0:
-                recent = deque(int(x) for x in state)
-                continue
-            while recent and recent[0] <= t - span:
-                recent.popleft()
-            allowed = len(recent) < limit
-            if allowed:
-                recent.append(int(t))
-            if not states:
-                keep.append(at)
-                admitted.append(allowed)
-                used.append(len(recent))
+                current, recent = (key[first], piece[first]), deque()
+            if kind[first] == 0:
+                recent = deque(int(x) for x in pdf["_state"].iloc[first])
+                first += 1
+            for at, count in _decide(times, first, last, recent, limit, span):
+                admitted[at], used[at] = True, count
         if states:
             if ends:
                 yield pd.DataFrame(ends, columns=["_key", "_piece", "_end"])
-                ends = []
-        elif keep:
-            yield pdf.iloc[keep][["_key", "_t", "_id"]].assign(admitted=admitted, in_window=used)
+        else:
+            decided = pdf[["_key", "_t", "_id"]].assign(admitted=admitted, in_window=used)
+            yield decided[kind == 1]
     if states and current is not None:
         yield pd.DataFrame([(*current, list(recent))], columns=["_key", "_piece", "_end"])
 
 
 def _entry_states(events: DataFrame, limit: int, span: int) -> DataFrame:
-    """Rows of kind 0 with the remembered times at the start of every piece but the first.
+    """Rows of kind 0 with the remembered times at the start of every piece.
 
-    The state tables have one row per piece of the few cut keys.
+    All pieces replay from an empty state first. Then those whose predecessor ended differently
+    from what they assumed replay again: twice all of them, which settles every piece that holds a
+    quiet moment, and from then on only the first of each key, so that a key that is always full
+    costs one more pass over its pieces and no task ever handles more than a piece. The state table
+    has one row per piece of the at most HOT_GROUPS keys that were cut.
     """
 
     def finish(batches):
@@ -114,34 +136,26 @@ def _entry_states(events: DataFrame, limit: int, span: int) -> DataFrame:
     def run(part: DataFrame) -> DataFrame:
         return _in_time_order(part).mapInPandas(finish, "_key string, _piece int, _end array<long>")
 
-    order = Window.partitionBy("_key").orderBy("_piece")
-
-    def entries(ends: DataFrame) -> DataFrame:
-        return ends.withColumn("_next", F.lead("_piece").over(order)).filter(F.col("_next").isNotNull()).select(
-            "_key", F.col("_next").alias("_piece"), F.col("_end").alias("_state")
-        )
-
-    def as_rows(states: DataFrame) -> DataFrame:
-        return states.select("_key", "_piece", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_t"),
-                             F.lit(None).cast("long").alias("_id"), "_state")
-
-    ends = write_and_reread(run(events), "ends")
-    assumed = None
-    while True:
-        wanted = write_and_reread(entries(ends), "entries")
-        if assumed is None:
-            changed = wanted.filter(F.size("_state") > 0)
-        else:
-            before = assumed.select("_key", "_piece", F.col("_state").alias("_before"))
-            changed = wanted.join(before, ["_key", "_piece"], "left").filter(~F.col("_state").eqNullSafe(F.col("_before"))).drop("_before")
-        changed = write_and_reread(changed, "changed")
-        if changed.isEmpty():
-            return as_rows(wanted)
-        again = events.join(F.broadcast(changed.select("_key", "_piece")), ["_key", "_piece"], "left_semi")
-        redone = write_and_reread(run(again.unionByName(as_rows(changed))), "redone")
-        kept = ends.join(redone.select("_key", "_piece"), ["_key", "_piece"], "left_anti")
-        ends = write_and_reread(kept.unionByName(redone), "ends")
-        assumed = wanted
+    def as_rows(states: DataFrame, state: str) -> DataFrame:
+        zero = F.lit(0).cast("long")
+        return states.select("_key", "_piece", F.lit(0).alias("_kind"), zero.alias("_t"), zero.alias("_id"), F.col(state).alias("_state"))
+
+    empty = F.array().cast("array<long>")
+    of_key = Window.partitionBy("_key")
+    table = write_and_reread(run(events).withColumn("_in", empty), "states")
+    for round_number in count(1):
+        wanted = table.withColumn("_want", F.coalesce(F.lag("_end").over(of_key.orderBy("_piece")), empty))
+        due = wanted.filter(F.col("_want") != F.col("_in"))
+        if round_number > 2:
+            due = due.withColumn("_first", F.min("_piece").over(of_key)).filter(F.col("_piece") == F.col("_first"))
+        due = write_and_reread(due.select("_key", "_piece", "_want"), "due")
+        if due.isEmpty():
+            return as_rows(table, "_in")
+        again = events.join(F.broadcast(due.select("_key", "_piece")), ["_key", "_piece"], "left_semi")
+        ends = run(again.unionByName(as_rows(due, "_want")))
+        redone = ends.join(F.broadcast(due), ["_key", "_piece"]).withColumnRenamed("_want", "_in")
+        kept = table.join(F.broadcast(due), ["_key", "_piece"], "left_anti")
+        table = write_and_reread(kept.unionByName(redone), "states")
 
 
 def quota(admissions: DataFrame, keys: list[str], limit: int = DEFAULT_LIMIT) -> DataFrame:

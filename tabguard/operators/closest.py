@@ -73,10 +73,30 @@ def _against_broadcast(points: DataFrame, asked: DataFrame, names: list[str]) ->
 
     def search(batches):
         index = PointSet.of_parts(*shared.value)
-        for pdf in batches:
+        for pdf in gathered(batches):
             yield pdf.assign(distance=index.nearest(pdf[names].to_numpy(dtype=float)))
 
-    return asked.mapInPandas(search, _schema(names, "n long", "distance double"))
+    # Neighbouring records in one task search the same blocks. The records are distinct, so the
+    # ranges come out even, and a fixed number of them keeps AQE from merging costly tasks.
+    sorted_out = asked.repartitionByRange(_partitions(asked), *names)
+    return sorted_out.mapInPandas(search, _schema(names, "n long", "distance double"))
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def gathered(batches, rows: int = 131_072):
+    """Join small batches: the more records are searched together, the closer together they lie."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _cell_table(df: DataFrame, cells: int, names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +150,7 @@ def _search_groups(points: DataFrame, asked: DataFrame, names: list[str], real_s
         return asked_pdf[[*names, "n"]].assign(distance=found)
 
     keys = ["cell", "rc", "ac"]
+    left, right = (side.repartition(_partitions(asked), *keys) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _schema(names, "n long", "distance double"))
 
 

@@ -57,10 +57,15 @@ def search_pages(pages: DataFrame, question: str, top_k: int = 5) -> DataFrame:
     schema = "rank int, filename string, page_number int, score double, text string"
     if not terms:
         return pages.sparkSession.createDataFrame([], schema)
-    page = pages.withColumn("_tokens", tokens(F.col("text"))).withColumn("_length", F.size("_tokens"))
-    counted = page.select(
+    # explode(array(x)) evaluates x once per page; as a plain column it would be copied into every use.
+    page = pages.select("*", F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
+    asked = page.select(
+        "filename", "page_number", "text", F.size("_tokens").alias("_length"),
+        F.explode(F.array(F.filter("_tokens", lambda t: t.isin(*terms)))).alias("_asked"),
+    )
+    counted = asked.select(
         "filename", "page_number", "text", "_length",
-        *[_frequency("_tokens", term).alias(f"_tf{i}") for i, term in enumerate(terms)],
+        *[_frequency("_asked", term).alias(f"_tf{i}") for i, term in enumerate(terms)],
     )
     corpus = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"),

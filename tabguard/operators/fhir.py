@@ -23,7 +23,7 @@ def _uuid(key: Column) -> Column:
 
 
 def patient_resources(df: DataFrame, key: list[str], as_of_year: int, strict: bool = False) -> DataFrame:
-    """``(key..., id, gender, birthDate)``: one Patient per row; a field that does not apply is null.
+    """``(key..., patient_id, gender, birthDate)``: one Patient per row; a field that does not apply is null.
 
     The id is derived from the row key, so the export can be repeated. ``strict`` accepts only the
     full gender words.
@@ -42,7 +42,7 @@ def patient_resources(df: DataFrame, key: list[str], as_of_year: int, strict: bo
         age = c(aged).cast("string").try_cast("double").try_cast("int")
         birth = F.when(age.isNotNull(), F.concat((F.lit(as_of_year) - age).cast("string"), F.lit("-01-01")))
     identity = _uuid(F.concat_ws("|", *[c(k).cast("string") for k in key]))
-    return df.select(*[c(k) for k in key], identity.alias("id"), gender.alias("gender"), birth.alias("birthDate"))
+    return df.select(*[c(k) for k in key], identity.alias("patient_id"), gender.alias("gender"), birth.alias("birthDate"))
 
 
 def bundle_entries(patients: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def bundle_entries(patients: DataFrame) -> DataFrame:
     The entries of a transaction bundle stay one document per line: as a single document they would
     have to pass through one task.
     """
-    resource = F.struct(F.lit("Patient").alias("resourceType"), "id", "gender", "birthDate")
+    resource = F.struct(F.lit("Patient").alias("resourceType"), F.col("patient_id").alias("id"), "gender", "birthDate")
     request = F.struct(F.lit("POST").alias("method"), F.lit("Patient").alias("url"))
-    return patients.select("id", F.to_json(F.struct(resource.alias("resource"), request.alias("request"))).alias("document"))
+    return patients.select("patient_id", F.to_json(F.struct(resource.alias("resource"), request.alias("request"))).alias("document"))
 
 
 def write_bundle(entries: DataFrame, path: str) -> None:

@@ -20,12 +20,12 @@ from tabguard.operators.detection import column_roles
 from tabguard.operators.noise import Budget, add_noise, noise_ledger
 from tabguard.plans.lookups import lookup_join
 from tabguard.plans.ordered import running_totals
-from tabguard.plans.quantiles import SMALL_ROWS
 from tabguard.schema import c
 from tabguard.session import write_and_reread
 
 METHODS = ("GaussianCopula", "PAR")
 KNOTS = 200
+SMALL_FIT_ROWS = 100_000
 #: Categories of one column that are kept as literals; larger columns go through joins.
 FEW_CATEGORIES = 1_000
 CELLS = 1_024
@@ -133,15 +133,18 @@ def normal_scores(probabilities: list[float], rows: int) -> list[float]:
 
 
 def fit_knots(df: DataFrame, columns: list[str], counts: dict[str, int]) -> dict[str, tuple[list[float], list[float]]]:
-    """Quantile knots of every column from one scan: exact while its buffer is bounded, else a sketch."""
+    """Quantile knots of every column from one scan with mergeable sketches of bounded size.
+
+    A knot is a value of the column whose rank is within rows / (100 KNOTS) of its probability;
+    up to SMALL_FIT_ROWS it has exactly that rank.
+    """
     probabilities = [k / KNOTS for k in range(KNOTS + 1)]
     filled = [n for n in columns if counts[n] > 0]
     if not filled:
         return {n: ([], []) for n in columns}
-    exact = max(counts[n] for n in filled) <= SMALL_ROWS
-    how = (lambda col: F.percentile(col, F.array(*[F.lit(p) for p in probabilities]))) if exact else \
-        (lambda col: F.percentile_approx(col, probabilities, 100 * KNOTS))
-    row = df.agg(*[how(c(n)).alias(f"q{i}") for i, n in enumerate(filled)]).first()
+    most = max(counts[n] for n in filled)
+    accuracy = 10 * most if most <= SMALL_FIT_ROWS else 100 * KNOTS
+    row = df.agg(*[F.percentile_approx(c(n), probabilities, max(100 * KNOTS, accuracy)).alias(f"q{i}") for i, n in enumerate(filled)]).first()
     found = {n: (list(row[f"q{i}"]), normal_scores(probabilities, counts[n])) for i, n in enumerate(filled)}
     return {n: found.get(n, ([], [])) for n in columns}
 
@@ -177,20 +180,26 @@ def _interpolate(df: DataFrame, source: str, target: str, xs: list[float], ys_at
     At a knot the result is ``ys_at``; between knots i and i+1 it runs from ``ys_from[i]`` to
     ``ys_to[i + 1]``; outside it is the value of the end knot.
     """
-    if len(xs) == 1:
+    m = len(xs)
+    if m == 1:
         return df.withColumn(target, F.when(c(source).isNotNull(), F.lit(ys_at[0])))
     index = f"_i_{target}"
     df = Bucketizer(splits=[-math.inf, *xs, math.inf], inputCol=source, outputCol=index, handleInvalid="keep").transform(df)
-    # Bucket b holds [xs[b-1], xs[b]); 0 lies below all knots.
-    at = F.least(F.greatest(c(index).cast("int"), F.lit(1)), F.lit(len(xs)))
+    # Bucket b holds [xs[b-1], xs[b]); bucket 0 lies below all knots, bucket m at or above the last.
+    starts = [ys_at[0], *ys_from[:-1], ys_at[-1]]
+    slopes = [0.0, *[(ys_to[i + 1] - ys_from[i]) / (xs[i + 1] - xs[i]) for i in range(m - 1)], 0.0]
+    lefts = [xs[0], *xs]
+    at = F.least(c(index).cast("int") + F.lit(1), F.lit(m + 1))
 
     def pick(values):
         return F.element_at(F.array(*[F.lit(float(v)) for v in values]), at)
 
-    left, right = pick(xs), pick([*xs[1:], xs[-1]])
-    start, end = pick(ys_from), pick([*ys_to[1:], ys_to[-1]])
-    share = F.coalesce(F.try_divide(c(source) - left, right - left), F.lit(0.0))
-    value = F.when((c(source) == left) | (c(index) == 0) | (at == len(xs)), pick(ys_at)).otherwise(start + (end - start) * share)
+    value = pick(starts) + (c(source) - pick(lefts)) * pick(slopes)
+    if any(a != f for a, f in zip(ys_at[:-1], ys_from[:-1])):
+        value = F.when(c(source) == pick(lefts), pick([ys_at[0], *ys_at])).otherwise(value)
+    else:
+        # Infinite sources would turn the flat end pieces into infinity * 0.
+        value = F.when(c(index) == 0, F.lit(ys_at[0])).when(c(index) >= m, F.lit(ys_at[-1])).otherwise(value)
     return df.withColumn(target, F.when(c(source).isNotNull(), value)).drop(index)
 
 

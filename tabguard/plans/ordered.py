@@ -135,16 +135,16 @@ def with_pieces(
     pieces = max(2, min(pieces, math.ceil(2 * largest / piece_rows)))
     probabilities = [i / pieces for i in range(1, pieces)]
     cuts = (
-        df.withColumn("_position", position)
+        df.withColumn("__place", position)
         .join(F.broadcast(hot_table), keys, "left_semi")
         .groupBy(*key_columns)
-        .agg(F.percentile_approx("_position", probabilities, 10 * pieces).alias("_cuts"))
+        .agg(F.percentile_approx("__place", probabilities, 10 * pieces).alias("_cuts"))
     )
-    joined = df.withColumn("_position", position).join(F.broadcast(cuts), keys, "left")
-    piece = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("_position")))
+    joined = df.withColumn("__place", position).join(F.broadcast(cuts), keys, "left")
+    piece = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("__place")))
     return (
         joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece + 1))
-        .drop("_cuts", "_position"),
+        .drop("_cuts", "__place"),
         True,
     )
 

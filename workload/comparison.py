@@ -56,7 +56,7 @@ CATEGORY_SQL = """
 , n AS (SELECT side, "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL)
 , t AS (SELECT side, "column", sum(n) AS total, count(*) AS distinct_values FROM n GROUP BY ALL)
 SELECT side, "column", CAST(row_number() OVER (PARTITION BY side, "column" ORDER BY n DESC, value) AS INT) AS rank, value,
-       round(n * 100.0::DOUBLE / total, 2) AS percentage, distinct_values
+       round(CAST(n * 100.0::DOUBLE / total AS DECIMAL(18, 8)), 2)::DOUBLE AS percentage, distinct_values
 FROM n JOIN t USING (side, "column")
 QUALIFY row_number() OVER (PARTITION BY side, "column" ORDER BY n DESC, value) <= 5
 """

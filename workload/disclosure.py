@@ -118,12 +118,12 @@ TV_SQL = """
 
 
 @query(ORDERS_SQL + LONG_SQL + TV_SQL + """
-SELECT attribute, o_orderstatus, o_orderpriority, o_year, o_month, round(distance, 6) AS distance,
+SELECT attribute, o_orderstatus, o_orderpriority, o_year, o_month, round(distance, 8) AS distance,
        distance > 0.35 AS violates
 FROM tv
 """)
 def t_closeness_by_group(spark, sf_dir):
-    return rounded(anonymity.t_closeness_groups(orders(spark, sf_dir), QI, SENSITIVE, t=0.35), "distance")
+    return rounded(anonymity.t_closeness_groups(orders(spark, sf_dir), QI, SENSITIVE, t=0.35), "distance", places=8)
 
 
 @query(ORDERS_SQL + LONG_SQL + TV_SQL + """

@@ -403,7 +403,7 @@ def request_admission(spark, sf_dir):
 def request_admission_hot_keys(spark, sf_dir):
     """Five keys hold the whole log; each is cut into pieces that are replayed to a fixed point."""
     decided = admission.admit_requests(
-        table(spark, sf_dir, "events"), ["event_type"], "ts", "event_id", limit=3, window_seconds=3600, piece_rows=400)
+        table(spark, sf_dir, "events"), ["event_type"], "ts", "event_id", limit=3, window_seconds=3600, piece_rows=1000)
     return decided.select("event_type", "event_id", "admitted")
 
 

@@ -22,15 +22,15 @@ def customers(spark, sf_dir):
 @query(CUSTOMER_SQL + """
 , k AS (
   SELECT 'c_nationkey' AS "column", 0.0::DOUBLE AS null_share,
-     unnest(quantile_cont(c_nationkey::DOUBLE, list_transform(range(0, 201), lambda i: i / 200.0::DOUBLE))) AS value, unnest(range(0, 201)) AS knot FROM s
+     unnest(list_transform(range(0, 201), lambda i: list_sort(list(c_nationkey::DOUBLE))[greatest(1, ceil(i / 200.0::DOUBLE * count(c_nationkey)))::BIGINT])) AS value, unnest(range(0, 201)) AS knot FROM s WHERE c_nationkey IS NOT NULL
   UNION ALL
   SELECT 'c_acctbal', 1 - count(c_acctbal)::DOUBLE / count(*),
-     unnest(quantile_cont(c_acctbal, list_transform(range(0, 201), lambda i: i / 200.0::DOUBLE))), unnest(range(0, 201)) FROM s)
-SELECT "column", CAST(knot AS INT) AS knot, round(value, 4) AS value, round(null_share, 6) AS null_share FROM k
+     unnest(list_transform(range(0, 201), lambda i: list_sort(list(c_acctbal) FILTER (c_acctbal IS NOT NULL))[greatest(1, ceil(i / 200.0::DOUBLE * count(c_acctbal)))::BIGINT])), unnest(range(0, 201)) FROM s)
+SELECT "column", CAST(knot AS INT) AS knot, round(value, 6) AS value, round(null_share, 6) AS null_share FROM k
 """)
 def copula_marginals(spark, sf_dir):
     knots = synthesis.fit_copula(customers(spark, sf_dir)).tables(spark)["marginals"].filter(F.col("kind") == "numerical")
-    return rounded(rounded(knots.select("column", "knot", "value", "null_share"), "value", places=4), "null_share")
+    return rounded(rounded(knots.select("column", "knot", "value", "null_share"), "value"), "null_share")
 
 
 @query(CUSTOMER_SQL + """
@@ -129,7 +129,7 @@ WITH p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'M' WHEN 1 THEN 'Fem
           CASE lower(sex) WHEN 'm' THEN 'male' WHEN 'f' THEN 'female' WHEN 'x' THEN NULL ELSE lower(sex) END AS gender,
           CASE WHEN age LIKE '%.7' THEN CAST(2024 - CAST(replace(age, '.7', '') AS INT) AS VARCHAR) || '-01-01' END AS birth
         FROM p)
-, r AS (SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id,
+, r AS (SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS patient_id,
           gender, birth AS "birthDate" FROM f)
 """
 
@@ -148,7 +148,7 @@ def fhir_patients(spark, sf_dir):
 
 
 @query(PATIENT_SQL + """
-SELECT id, '{"resource":{"resourceType":"Patient","id":"' || id || '"' || CASE WHEN gender IS NULL THEN '' ELSE ',"gender":"' || gender || '"' END
+SELECT patient_id, '{"resource":{"resourceType":"Patient","id":"' || patient_id || '"' || CASE WHEN gender IS NULL THEN '' ELSE ',"gender":"' || gender || '"' END
   || CASE WHEN "birthDate" IS NULL THEN '' ELSE ',"birthDate":"' || "birthDate" || '"' END || '},"request":{"method":"POST","url":"Patient"}}' AS document
 FROM r
 """)
