@@ -167,14 +167,19 @@ def quota(admissions: DataFrame, keys: list[str], limit: int = DEFAULT_LIMIT) ->
     )
 
 
-def trailing_counts(requests: DataFrame, keys: list[str], ts: str, window_seconds: int = WINDOW_SECONDS, out: str = "requests") -> DataFrame:
-    """Every request with the number of requests of its key in the trailing window, itself included.
+def trailing_counts(requests: DataFrame, keys: list[str], ts: str, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """``(keys..., ts, at_once, requests)``: per key and moment, the requests of that moment and those of the
+    trailing window up to it.
 
-    Time is cut into blocks of one window length; a row looks back into its own block and the one
-    before, so it is copied once forward. A busy key is thereby spread over its blocks.
+    Equal moments are summed before the shuffle. Time is cut into blocks of one window length; a moment
+    looks back into its own block and the one before, so it is copied once forward, and a busy key is
+    spread over its blocks, none of which holds more moments than the window has microseconds.
     """
     span = window_seconds * 1_000_000
-    timed = requests.withColumn("_t", micros(ts)).withColumn("_block", F.floor(F.col("_t") / F.lit(span)).cast("long"))
-    copied = timed.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_block", F.col("_block") + F.col("_shift"))
-    trailing = Window.partitionBy(*[c(k) for k in keys], "_block").orderBy("_t").rangeBetween(-(span - 1), 0)
-    return copied.withColumn(out, F.count(F.lit(1)).over(trailing)).filter(F.col("_shift") == 0).drop("_t", "_block", "_shift")
+    names = [c(k) for k in keys]
+    moments = requests.groupBy(*names, c(ts)).agg(F.count(F.lit(1)).alias("at_once"))
+    timed = moments.withColumn("_t", micros(ts)).withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1))))
+    blocked = timed.withColumn("_block", F.floor(F.col("_t") / F.lit(span)).cast("long") + F.col("_shift"))
+    trailing = Window.partitionBy(*names, "_block").orderBy("_t").rangeBetween(-(span - 1), 0)
+    counted = blocked.withColumn("requests", F.sum("at_once").over(trailing))
+    return counted.filter(F.col("_shift") == 0).select(*names, c(ts), "at_once", "requests")

@@ -55,12 +55,13 @@ def closest_distances(
     if not columns:
         raise ValueError("no numeric column in common")
     scaled, names = standardised(real, synth, columns)
-    points = real.select(*scaled).na.drop("any").distinct()
+    points = write_and_reread(real.select(*scaled).na.drop("any").distinct(), "points")
     asked = synth.select(*scaled).na.drop("any").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    asked = write_and_reread(asked, "asked")
     limit = max(1, broadcast_bytes // (8 * len(names)))
     if points.limit(limit + 1).count() <= limit:
         return _against_broadcast(points, asked, names)
-    return _against_cells(write_and_reread(points, "points"), asked, names, group_points)
+    return _against_cells(points, asked, names, group_points)
 
 
 def _schema(names: list[str], *extra: str) -> str:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.plans.lookups import lookup_join
 from tabguard.plans.ordered import PIECE_ROWS, previous_in_groups
 from tabguard.schema import c
+from tabguard.session import write_and_reread
 
 MIN_PAGE_CHARS = 50
 # Usual constants of the BM25 ranking.
@@ -50,23 +51,23 @@ def _frequency(column: str, term: str) -> Column:
 def search_pages(pages: DataFrame, question: str, top_k: int = 5) -> DataFrame:
     """The ``top_k`` pages by BM25 with a score from 0 to 1 relative to the best, and their full text.
 
-    Only the terms of the question matter, so their frequencies are columns of the page: one scan
-    counts them, a second one scores and keeps ``top_k`` rows per task. Nothing is shuffled but those.
+    Only the terms of the question matter, so a page shrinks to its length and a few counts. That
+    narrow table is written once; the corpus figures and the ranking come from it without another
+    look at the texts, which are fetched for the ``top_k`` winners only. Nothing is shuffled but those.
     """
     terms = sorted(set(pages.sparkSession.range(1).select(tokens(F.lit(question))).first()[0]))
     schema = "rank int, filename string, page_number int, score double, text string"
     if not terms:
         return pages.sparkSession.createDataFrame([], schema)
     # explode(array(x)) evaluates x once per page; as a plain column it would be copied into every use.
-    page = pages.select("*", F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
+    page = pages.select("filename", "page_number", F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
     asked = page.select(
-        "filename", "page_number", "text", F.size("_tokens").alias("_length"),
+        "filename", "page_number", F.size("_tokens").alias("_length"),
         F.explode(F.array(F.filter("_tokens", lambda t: t.isin(*terms)))).alias("_asked"),
     )
-    counted = asked.select(
-        "filename", "page_number", "text", "_length",
-        *[_frequency("_asked", term).alias(f"_tf{i}") for i, term in enumerate(terms)],
-    )
+    counted = write_and_reread(asked.select(
+        "filename", "page_number", "_length", *[_frequency("_asked", term).alias(f"_tf{i}") for i, term in enumerate(terms)],
+    ), "page-counts")
     corpus = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
@@ -84,13 +85,17 @@ def search_pages(pages: DataFrame, question: str, top_k: int = 5) -> DataFrame:
         counted.withColumn("_score", score).filter(F.col("_score") > 0)
         .orderBy(F.round("_score", 9).desc(), "filename", "page_number").limit(top_k)
     )
-    # top_k rows from here on.
-    order = Window.orderBy(F.round("_score", 9).desc(), "filename", "page_number")
-    return best.select(
-        F.row_number().over(order).alias("rank"), "filename", F.col("page_number").cast("int").alias("page_number"),
-        (F.col("_score") / F.max("_score").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("score"),
-        "text",
+    winners = best.select("filename", "page_number", "_score").collect()
+    if not winners:
+        return pages.sparkSession.createDataFrame([], schema)
+    ranked = pages.sparkSession.createDataFrame(
+        [(i + 1, r["filename"], r["page_number"], r["_score"] / winners[0]["_score"]) for i, r in enumerate(winners)],
+        "rank int, filename string, page_number int, score double",
     )
+    # The literal list of files reaches the scan of a stored corpus; the join has top_k rows on one side.
+    texts = pages.filter(F.col("filename").isin(*{r["filename"] for r in winners}))
+    texts = texts.select("filename", F.col("page_number").cast("int").alias("page_number"), "text")
+    return texts.join(F.broadcast(ranked), ["filename", "page_number"]).select("rank", "filename", "page_number", "score", "text")
 
 
 def search_message(pages: DataFrame) -> str | None:

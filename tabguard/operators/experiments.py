@@ -21,12 +21,13 @@ def history(configs: DataFrame) -> DataFrame:
 def resolve(requested: DataFrame, configs: DataFrame, reports: DataFrame, notes: DataFrame) -> DataFrame:
     """For every requested id: its report document, else its configuration, else not found; and its notes.
 
-    The three right sides have one row per experiment.
+    The three right sides have one row per experiment; an id may be requested any number of times.
     """
     config = configs.select("experiment_id", F.to_json(F.struct(*[c(n) for n in configs.columns])).alias("_config"))
     report = reports.select("experiment_id", F.col("document").alias("_report"))
     note = notes.select("experiment_id", F.col("text").alias("_notes"))
-    found = requested.join(report, "experiment_id", "left").join(config, "experiment_id", "left").join(note, "experiment_id", "left")
+    known = report.join(config, "experiment_id", "full").join(note, "experiment_id", "full")
+    found = lookup_join(requested, known, ["experiment_id"], None, ["_report", "_config", "_notes"])
     source = F.when(F.col("_report").isNotNull(), "report").when(F.col("_config").isNotNull(), "config").otherwise("not_found")
     return found.select(
         "experiment_id", source.alias("source"), F.coalesce("_report", "_config").alias("document"),
@@ -42,7 +43,7 @@ def latest_status(events: DataFrame, requested: DataFrame | None = None) -> Data
     latest = events.groupBy("experiment_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
     if requested is None:
         return latest
-    return requested.join(latest, "experiment_id", "left").select(
+    return lookup_join(requested, latest, ["experiment_id"], None, ["status"]).select(
         "experiment_id", F.coalesce("status", F.lit("not_found")).alias("status")
     )
 
@@ -91,8 +92,9 @@ def saved_sessions(sessions: DataFrame) -> DataFrame:
 
 def fork(configs: DataFrame, requests: DataFrame) -> DataFrame:
     """New configurations from ``(new_id, source_id, timestamp)``: the copied fields, status pending, and the parent."""
-    source = configs.select(F.col("experiment_id").alias("source_id"), *FORKED_FIELDS)
-    return requests.join(source, "source_id").select(
+    source = configs.select(F.col("experiment_id").alias("source_id"), F.lit(True).alias("_known"), *FORKED_FIELDS)
+    found = lookup_join(requests, source, ["source_id"], None, ["_known", *FORKED_FIELDS])
+    return found.filter("_known").select(
         F.col("new_id").alias("experiment_id"), F.col("source_id").alias("parent_id"), "timestamp", *FORKED_FIELDS,
         F.lit("pending").alias("status"),
     )
@@ -114,12 +116,10 @@ def lineage(forks: DataFrame, max_rounds: int = 32) -> DataFrame:
     for _ in range(max_rounds):
         if state.filter(~F.col("done")).isEmpty():
             break
-        uses = state.filter(~F.col("done")).groupBy(F.col("root_id").alias("experiment_id")).agg(F.count(F.lit(1)).alias("uses"))
-        table = state.join(uses, "experiment_id").select(
-            F.col("experiment_id").alias("root_id"), F.col("root_id").alias("next_id"), F.col("depth").alias("further"),
-            F.col("done").alias("ends"), "uses",
+        table = state.select(
+            F.col("experiment_id").alias("root_id"), F.col("root_id").alias("next_id"), F.col("depth").alias("further"), F.col("done").alias("ends")
         )
-        stepped = lookup_join(state.filter(~F.col("done")), table, ["root_id"], "uses", ["next_id", "further", "ends"]).select(
+        stepped = lookup_join(state.filter(~F.col("done")), table, ["root_id"], None, ["next_id", "further", "ends"]).select(
             "experiment_id", F.coalesce("next_id", "root_id").alias("root_id"),
             (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), F.coalesce("ends", F.lit(True)).alias("done"),
         )

@@ -20,6 +20,7 @@ from tabguard.operators.detection import column_roles
 from tabguard.operators.noise import Budget, add_noise, noise_ledger
 from tabguard.plans.lookups import lookup_join
 from tabguard.plans.ordered import running_totals
+from tabguard.plans.sketches import even_cuts
 from tabguard.schema import c
 from tabguard.session import write_and_reread
 
@@ -133,19 +134,23 @@ def normal_scores(probabilities: list[float], rows: int) -> list[float]:
 
 
 def fit_knots(df: DataFrame, columns: list[str], counts: dict[str, int]) -> dict[str, tuple[list[float], list[float]]]:
-    """Quantile knots of every column from one scan with mergeable sketches of bounded size.
+    """Quantile knots of every column from mergeable sketches of bounded size.
 
-    A knot is a value of the column whose rank is within rows / (100 KNOTS) of its probability;
-    up to SMALL_FIT_ROWS it has exactly that rank.
+    Up to SMALL_FIT_ROWS a knot has exactly the rank of its probability, beyond it nearly that rank.
     """
     probabilities = [k / KNOTS for k in range(KNOTS + 1)]
     filled = [n for n in columns if counts[n] > 0]
     if not filled:
         return {n: ([], []) for n in columns}
     most = max(counts[n] for n in filled)
-    accuracy = 10 * most if most <= SMALL_FIT_ROWS else 100 * KNOTS
-    row = df.agg(*[F.percentile_approx(c(n), probabilities, max(100 * KNOTS, accuracy)).alias(f"q{i}") for i, n in enumerate(filled)]).first()
-    found = {n: (list(row[f"q{i}"]), normal_scores(probabilities, counts[n])) for i, n in enumerate(filled)}
+    if most <= SMALL_FIT_ROWS:
+        row = df.agg(*[F.percentile_approx(c(n), probabilities, max(100 * KNOTS, 10 * most)).alias(f"q{i}") for i, n in enumerate(filled)]).first()
+        quantiles = [list(row[f"q{i}"]) for i in range(len(filled))]
+    else:
+        edges = df.agg(*[f(c(n)).alias(f"{a}{i}") for i, n in enumerate(filled) for a, f in (("lo", F.min), ("hi", F.max))]).first()
+        inner = even_cuts(df, [c(n) for n in filled], KNOTS)
+        quantiles = [[edges[f"lo{i}"], *inner[i], edges[f"hi{i}"]] for i in range(len(filled))]
+    found = {n: (quantiles[i], normal_scores(probabilities, counts[n])) for i, n in enumerate(filled)}
     return {n: found.get(n, ([], [])) for n in columns}
 
 

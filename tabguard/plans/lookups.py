@@ -15,16 +15,21 @@ def lookup_join(
     facts: DataFrame,
     table: DataFrame,
     keys: list[str],
-    usage: str,
+    usage: str | None,
     payload: list[str],
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left join ``facts`` to ``table`` (unique on ``keys``), adding ``payload``.
 
+    ``usage`` is the column of ``table`` with the number of facts per key (None: count them).
     The ``hot_keys`` keys with the largest ``usage`` come from a broadcast of that many rows.
     Their fact rows get a random-looking salt for the second join, where they match nothing and
     so spread over all partitions. No join hint there: AQE broadcasts a side it measured as small.
     """
+    if usage is None:
+        # Counted with map-side sums: one row per key and task is shuffled.
+        used = facts.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("_uses"))
+        table, usage = table.join(used, keys), "_uses"
     hot = table.orderBy(c(usage).desc(), *[c(k) for k in keys]).limit(hot_keys)
     hot = hot.select(*[c(k) for k in keys], *[c(p).alias(f"_hot_{p}") for p in payload], F.lit(True).alias("_hot"))
     cold = table.select(*[c(k) for k in keys], F.lit(-1).alias("_salt"), *[c(p).alias(f"_cold_{p}") for p in payload])

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabguard.plans.sketches import even_cuts
 from tabguard.schema import as_double, c
 
 #: Upper bound of the groups that are ever treated as hot; any other group holds < 1/HOT_GROUPS of the rows.
@@ -24,23 +25,11 @@ def bucket_count(df: DataFrame) -> int:
 def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Inner cut points per column, about equally many rows between two of them.
 
-    One scan with mergeable sketches; the driver gets one row of ``columns x buckets`` doubles.
-    A value that fills several buckets by itself yields one cut, so a bucket never holds more
-    than its share of *distinct* values.
+    One scan; the driver gets one row of ``columns x buckets`` doubles. A value that fills several
+    buckets by itself yields one cut, so a bucket never holds more than its share of *distinct* values.
     """
-    buckets = buckets or bucket_count(df)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    sketch = df.agg(
-        *[
-            F.percentile_approx(as_double(name), probabilities, 10 * buckets).alias(f"q{i}")
-            for i, name in enumerate(columns)
-        ]
-    ).first()
-    cuts = {}
-    for i, name in enumerate(columns):
-        found = sketch[f"q{i}"] or []
-        cuts[name] = sorted({float(v) for v in found if math.isfinite(v)})
-    return cuts
+    found = even_cuts(df, [as_double(n) for n in columns], buckets or bucket_count(df))
+    return {n: sorted({float(v) for v in cuts if math.isfinite(v)}) for n, cuts in zip(columns, found)}
 
 
 def with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
@@ -59,12 +48,12 @@ def with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
 
 
 def long_values(df: DataFrame, columns: list[str], cuts: dict[str, list[float]]) -> DataFrame:
-    """Rows ``(column, bucket, value)`` of the non-null values of ``columns``."""
+    """Rows ``(column, bucket, value)`` of the non-null values; ``column`` is the place in ``columns``."""
     staged = with_buckets(df.select(*[c(n) for n in columns]), {n: cuts[n] for n in columns})
     cells = F.array(
         *[
             F.struct(
-                F.lit(n).alias("column"),
+                F.lit(i).alias("column"),
                 F.col(f"_b{i}").cast("int").alias("bucket"),
                 F.col(f"_v{i}").alias("value"),
             )
@@ -87,6 +76,9 @@ def running_totals(
     ``groups`` must be a small set (such as column names): the offset table has
     ``groups x buckets`` rows, which is what is broadcast.
     """
+    # The join below would push these filters into one of its two sides only, and so keep Spark from
+    # reusing the shuffle that both sides share.
+    df = df.na.drop("any", subset=[*groups, bucket])
     local = Window.partitionBy(*[c(g) for g in groups], c(bucket)).orderBy(*order)
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = df.select("*", *[F.sum(c(source)).over(local).alias(out) for out, source in sums.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.plans.ordered import cut_points, running_totals, with_buckets
+from tabguard.plans.sketches import outer_bounds
 from tabguard.schema import as_double, c
 
 #: Rows per column up to which Spark's own exact ``percentile`` is used (its buffer is then bounded).
@@ -79,23 +80,22 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], small_rows: int, accuracy:
         open_ones = [b for b in brackets if b.low < b.high and b.inside > small_rows]
         if not open_ones or margin >= 0.5:
             return
-        guesses = []
-        for i, b in enumerate(open_ones):
-            inside = F.when(as_double(b.column).between(b.low, b.high), as_double(b.column))
-            first = max(0.0, (b.rank - b.below) / b.inside - margin)
-            last = min(1.0, (b.last + 1 - b.below) / b.inside + margin)
-            guesses.append(F.percentile_approx(inside, [first, last], accuracy).alias(f"g{i}"))
-        guess = df.agg(*guesses).first()
+        inside = [F.when(as_double(b.column).between(b.low, b.high), as_double(b.column)) for b in open_ones]
+        spans = [
+            (max(0.0, (b.rank - b.below) / b.inside - margin), min(1.0, (b.last + 1 - b.below) / b.inside + margin))
+            for b in open_ones
+        ]
+        guess = outer_bounds(df, inside, spans, accuracy)
         checks = []
         for i, b in enumerate(open_ones):
-            low, high = guess[f"g{i}"]
+            low, high = guess[i]
             checks.append(F.count_if(as_double(b.column) < low).alias(f"b{i}"))
             checks.append(F.count_if(as_double(b.column).between(low, high)).alias(f"i{i}"))
         check = df.agg(*checks).first()
         for i, b in enumerate(open_ones):
             below, inside = check[f"b{i}"], check[f"i{i}"]
             if below <= b.rank and b.last < below + inside:
-                b.low, b.high = guess[f"g{i}"]
+                b.low, b.high = guess[i]
                 b.below, b.inside = below, inside
             else:
                 margin *= 8

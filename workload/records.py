@@ -416,12 +416,12 @@ def request_quota(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS requests
+SELECT DISTINCT event_type, ts, count(*) OVER (PARTITION BY event_type, ts) AS at_once,
+  count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS requests
 FROM events
 """)
 def trailing_request_count(spark, sf_dir):
-    counted = admission.trailing_counts(table(spark, sf_dir, "events"), ["event_type"], "ts", window_seconds=3600)
-    return counted.select("event_id", "event_type", "requests")
+    return admission.trailing_counts(table(spark, sf_dir, "events"), ["event_type"], "ts", window_seconds=3600)
 
 
 def _stream(spark, sf_dir):
