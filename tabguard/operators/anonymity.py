@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabguard.plans.lookups import lookup_join
 from tabguard.schema import c, percent, require_columns
+from tabguard.session import write_and_reread
 
 # Risk level and advice by the number of satisfied checks.
 RISK_LEVELS = {3: "LOW", 2: "MEDIUM", 1: "HIGH", 0: "CRITICAL"}
@@ -37,11 +38,18 @@ def group_sizes(df: DataFrame, quasi_identifiers: list[str], null_group: bool =
 def k_anonymity(df: DataFrame, quasi_identifiers: list[str], k: int = 3, null_group: bool = False) -> DataFrame:
     """One row. Rows with a null quasi-identifier form no group but count in ``total_records``."""
     require_columns(df, quasi_identifiers)
-    keys = [c(q) for q in quasi_identifiers]
-    outside = F.lit(False) if null_group else _any_null(quasi_identifiers)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("grouped", ~outside)
+    sizes = df.groupBy(*[c(q) for q in quasi_identifiers]).agg(F.count(F.lit(1)).alias("n"))
+    return _k_summary(sizes, quasi_identifiers, k, null_group)
+
+
+def _grouped(quasi_identifiers: list[str], null_group: bool) -> Column:
+    return F.lit(True) if null_group else ~_any_null(quasi_identifiers)
+
+
+def _k_summary(sizes: DataFrame, quasi_identifiers: list[str], k: int, null_group: bool) -> DataFrame:
+    flagged = sizes.withColumn("grouped", _grouped(quasi_identifiers, null_group))
     small = F.col("grouped") & (F.col("n") < k)
-    return sizes.agg(
+    return flagged.agg(
         F.count_if(F.col("grouped")).alias("total_groups"),
         F.count_if(small).alias("violating_groups"),
         F.min(F.when(F.col("grouped"), F.col("n"))).alias("smallest_group_size"),
@@ -68,43 +76,43 @@ def k_anonymity_violations(
     )
 
 
-def sensitive_counts(df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], null_group: bool = False) -> DataFrame:
+def sensitive_counts(df: DataFrame, quasi_identifiers: list[str], sensitive: list[str]) -> DataFrame:
     """``(attribute, quasi-identifiers..., value, n)``: the one shuffle of the raw rows.
 
-    Every later step works on these counts, and the map-side sums make hot groups and hot
-    values cheap. Null sensitive values are kept, as their groups must not vanish.
+    All three checks can be read off these counts, and the map-side sums make hot groups and hot
+    values cheap. Nulls are kept on both sides: a group without any sensitive value must not vanish,
+    and rows outside all groups still count in the totals.
     """
-    require_columns(df, sensitive)
-    keys = [c(q) for q in quasi_identifiers]
+    require_columns(df, [*quasi_identifiers, *sensitive])
     cells = F.array(*[F.struct(F.lit(s).alias("attribute"), c(s).cast("string").alias("value")) for s in sensitive])
-    return (
-        _keyed(df, quasi_identifiers, null_group)
-        .select(*keys, F.inline(cells))
-        .groupBy("attribute", *keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    keys = [c(q) for q in quasi_identifiers]
+    return df.select(*keys, F.inline(cells)).groupBy("attribute", *keys, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def l_diversity(
-    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], l: int = 2, null_group: bool = False
+    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], l: int = 2, null_group: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per sensitive attribute; records at risk are the non-null ones of violating groups."""
-    sensitive = [s for s in sensitive if s in df.columns]
-    total = df.agg(F.count(F.lit(1)).alias("total_records"))
+    """One row per sensitive attribute; records at risk are the non-null ones of violating groups.
+
+    ``counts`` is a kept :func:`sensitive_counts` table of the same columns.
+    """
+    if counts is None:
+        counts = sensitive_counts(df, quasi_identifiers, [s for s in sensitive if s in df.columns])
     per_group = (
-        sensitive_counts(df, quasi_identifiers, sensitive, null_group)
-        .groupBy("attribute", *[c(q) for q in quasi_identifiers])
-        .agg(F.count("value").alias("distinct_values"),
+        counts.groupBy("attribute", *[c(q) for q in quasi_identifiers])
+        .agg(F.count("value").alias("distinct_values"), F.sum("n").alias("rows"),
              F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("records"))
+        .withColumn("grouped", _grouped(quasi_identifiers, null_group))
     )
-    low = F.col("distinct_values") < l
+    low = F.col("grouped") & (F.col("distinct_values") < l)
     per_attribute = per_group.groupBy("attribute").agg(
-        F.count(F.lit(1)).alias("total_groups"),
+        F.count_if("grouped").alias("total_groups"),
         F.count_if(low).alias("violating_groups"),
         F.coalesce(F.sum(F.when(low, F.col("records"))), F.lit(0)).alias("records_at_risk"),
+        F.sum("rows").alias("total_records"),
     )
-    # A one-row total next to one row per attribute.
-    return per_attribute.join(F.broadcast(total)).select(
+    return per_attribute.select(
         "attribute",
         (F.col("violating_groups") == 0).alias("satisfies_l_diversity"),
         F.lit(l).alias("l"),
@@ -114,27 +122,25 @@ def l_diversity(
 
 
 def t_closeness_groups(
-    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], t: float = 0.2, null_group: bool = False
+    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], t: float = 0.2, null_group: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Total-variation distance of every group to the whole table, one row per attribute and group.
 
     With p the overall and g the group shares, the values absent from a group add their p in
     full, so TV = (sum over present values of |p - g| + 1 - sum of their p) / 2: the group
-    never meets the values it does not hold.
+    never meets the values it does not hold. The counts are written once, as they are read thrice.
     """
-    sensitive = [s for s in sensitive if s in df.columns]
     keys = ["attribute", *quasi_identifiers]
-    counts = sensitive_counts(df, quasi_identifiers, sensitive, null_group)
-    cells = F.array(*[F.struct(F.lit(s).alias("attribute"), c(s).cast("string").alias("value")) for s in sensitive])
-    whole = (
-        df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-        .groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n_value"))
-    )
+    if counts is None:
+        counts = write_and_reread(sensitive_counts(df, quasi_identifiers, [s for s in sensitive if s in df.columns]), "counts")
+    known = F.col("value").isNotNull()
+    whole = counts.filter(known).groupBy("attribute", "value").agg(F.sum("n").alias("n_value"))
     totals = whole.groupBy("attribute").agg(F.sum("n_value").alias("n_all"))
-    sizes = counts.groupBy(*[c(k) for k in keys]).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_group"))
     shares = whole.join(F.broadcast(totals), "attribute").withColumn("p", F.col("n_value") / F.col("n_all"))
-    present = counts.filter(F.col("value").isNotNull())
-    with_share = lookup_join(present, shares, ["attribute", "value"], "n_value", ["p"])
+    inside = counts.filter(_grouped(quasi_identifiers, null_group))
+    sizes = inside.groupBy(*[c(k) for k in keys]).agg(F.sum(F.when(known, F.col("n"))).alias("n_group"))
+    with_share = lookup_join(inside.filter(known), shares, ["attribute", "value"], "n_value", ["p"])
     if null_group:
         sized = _join_null_safe(with_share, sizes, keys)
     else:
@@ -159,10 +165,11 @@ def _join_null_safe(left: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
 
 
 def t_closeness(
-    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], t: float = 0.2, null_group: bool = False
+    df: DataFrame, quasi_identifiers: list[str], sensitive: list[str], t: float = 0.2, null_group: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per sensitive attribute."""
-    per_group = t_closeness_groups(df, quasi_identifiers, sensitive, t, null_group)
+    per_group = t_closeness_groups(df, quasi_identifiers, sensitive, t, null_group, counts)
     return per_group.groupBy("attribute").agg(
         (F.count_if(F.col("violates")) == 0).alias("satisfies_t_closeness"),
         F.lit(t).alias("t"),
@@ -188,18 +195,23 @@ def privacy_audit(
     reported as not satisfied. Attributes the table lacks are skipped, as in the single checks.
     """
     held = []
-    if quasi_identifiers:
-        by_k = k_anonymity(df, quasi_identifiers, k, null_group)
-        held.append(by_k.select(F.col("satisfies_k_anonymity").alias("k_ok")))
     present = [s for s in sensitive if s in df.columns]
     if quasi_identifiers and present:
-        by_l = l_diversity(df, quasi_identifiers, present, l, null_group)
-        by_t = t_closeness(df, quasi_identifiers, present, t, null_group)
+        # One shuffle of the raw rows serves all three checks.
+        counts = write_and_reread(sensitive_counts(df, quasi_identifiers, present), "counts")
+        sizes = counts.filter(F.col("attribute") == present[0]).groupBy(*[c(q) for q in quasi_identifiers]).agg(F.sum("n").alias("n"))
+        by_k = _k_summary(sizes, quasi_identifiers, k, null_group)
+        by_l = l_diversity(df, quasi_identifiers, present, l, null_group, counts)
+        by_t = t_closeness(df, quasi_identifiers, present, t, null_group, counts)
         held.append(by_l.agg(F.coalesce(F.bool_and("satisfies_l_diversity"), F.lit(True)).alias("l_ok")))
         held.append(by_t.agg(F.coalesce(F.bool_and("satisfies_t_closeness"), F.lit(True)).alias("t_ok")))
-    elif quasi_identifiers and sensitive:
-        held.append(_one_row(df, {"l_ok": F.lit(True), "t_ok": F.lit(True)}))
-    if not held:
+    elif quasi_identifiers:
+        by_k = k_anonymity(df, quasi_identifiers, k, null_group)
+        if sensitive:
+            held.append(_one_row(df, {"l_ok": F.lit(True), "t_ok": F.lit(True)}))
+    if quasi_identifiers:
+        held.append(by_k.select(F.col("satisfies_k_anonymity").alias("k_ok")))
+    else:
         held.append(_one_row(df, {"k_ok": F.lit(False)}))
     # All inputs have exactly one row.
     row = reduce(lambda a, b: a.join(F.broadcast(b)), held)

@@ -40,8 +40,7 @@ def ks_test(real: DataFrame, synth: DataFrame, alpha: float = 0.05) -> DataFrame
     merged = both.groupBy("column", "bucket", "value").agg(F.sum("r").alias("n_r"), F.sum("s").alias("n_s"))
     running = running_totals(merged, {"c_r": "n_r", "c_s": "n_s"}, [F.col("value")], ["column"])
     # Totals per column: one row each.
-    merged = merged.na.drop("any", subset=["column", "bucket"])
-    totals = merged.groupBy("column").agg(F.sum("n_r").alias("t_r"), F.sum("n_s").alias("t_s"))
+    totals = merged.filter(F.col("column").isNotNull() & F.col("bucket").isNotNull()).groupBy("column").agg(F.sum("n_r").alias("t_r"), F.sum("n_s").alias("t_s"))
     gap = F.abs(F.try_divide(F.col("c_r").cast("double"), F.col("t_r")) - F.try_divide(F.col("c_s").cast("double"), F.col("t_s")))
     worst = running.join(F.broadcast(totals), "column").groupBy("column").agg(
         F.max(gap).alias("d"), F.first("t_r").alias("t_r"), F.first("t_s").alias("t_s")

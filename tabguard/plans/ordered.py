@@ -78,7 +78,8 @@ def running_totals(
     """
     # The join below would push these filters into one of its two sides only, and so keep Spark from
     # reusing the shuffle that both sides share.
-    df = df.na.drop("any", subset=[*groups, bucket])
+    for name in (*groups, bucket):
+        df = df.filter(c(name).isNotNull())
     local = Window.partitionBy(*[c(g) for g in groups], c(bucket)).orderBy(*order)
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = df.select("*", *[F.sum(c(source)).over(local).alias(out) for out, source in sums.items()])
