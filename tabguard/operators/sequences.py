@@ -102,10 +102,14 @@ def sample_sequences(spark: SparkSession, model: SequenceModel, count: int, seed
                 for first in range(0, length, CHUNK):
                     n = min(CHUNK, length - first)
                     noise = draw.standard_normal((n, d)) @ factor.T
-                    scores = np.empty((n, d))
-                    for t in range(n):
-                        state = noise[t] if state is None else hold * state + fresh * noise[t]
-                        scores[t] = state
+                    scores = fresh * noise
+                    scores[0] = noise[0] if state is None else scores[0] + hold * state
+                    # score[t] = hold * score[t-1] + fresh noise, solved by doubling the reach of each step.
+                    reach, factors = 1, hold
+                    while reach < n:
+                        scores[reach:] = scores[reach:] + factors * scores[:-reach]
+                        reach, factors = 2 * reach, factors * factors
+                    state = scores[-1]
                     if steps[0]:
                         moves = np.interp(draw.standard_normal(n), steps[1], steps[0])
                         if first == 0:

@@ -29,7 +29,6 @@ KNOTS = 200
 SMALL_FIT_ROWS = 100_000
 #: Categories of one column that are kept as literals; larger columns go through joins.
 FEW_CATEGORIES = 1_000
-CELLS = 1_024
 
 
 @dataclass
@@ -341,33 +340,57 @@ def values_of_scores(df: DataFrame, marginals: list[Marginal], categories: DataF
 
 
 def _draw_categories(df: DataFrame, i: int, m: Marginal, categories: DataFrame) -> DataFrame:
+    """``o<i>``: the category whose interval of normal scores holds ``z<i>``.
+
+    The FEW_CATEGORIES largest categories are literals, found by binary search. Rows that fall
+    between them meet the rest in a join on cells of the score range.
+    """
     own = categories.filter(F.col("column") == m.column)
+    large = sorted(own.orderBy(F.desc("n"), "value").limit(FEW_CATEGORIES).collect(), key=lambda r: r["lower"])
+    if not large:
+        return df.withColumn(f"o{i}", F.lit(None).cast(m.dtype)).drop(f"z{i}")
+    # Piece k of the score range starts at starts[k] and belongs to values[k] (None: a gap).
+    starts, values = [-math.inf], [None]
+    for r in large:
+        for start, value in ((r["lower"], r["value"]), (r["upper"], None)):
+            if start == starts[-1]:
+                values[-1] = value
+            elif start > starts[-1] and start < math.inf:
+                starts.append(start)
+                values.append(value)
+    index = f"_i{i}"
+    if len(starts) > 1:
+        df = Bucketizer(splits=[*starts, math.inf], inputCol=f"z{i}", outputCol=index, handleInvalid="keep").transform(df)
+    else:
+        df = df.withColumn(index, F.lit(0.0))
+    found = F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col(index).cast("int") + 1)
     if m.categories <= FEW_CATEGORIES:
-        rows = own.orderBy("lower").collect()
-        if not rows:
-            return df.withColumn(f"o{i}", F.lit(None).cast(m.dtype)).drop(f"z{i}")
-        rows = [r for before, r in zip([None, *rows], rows) if before is None or r["lower"] > before["lower"]]
-        cuts = [-math.inf, *[r["lower"] for r in rows[1:]], math.inf]
-        df = Bucketizer(splits=cuts, inputCol=f"z{i}", outputCol=f"_i{i}", handleInvalid="keep").transform(df) \
-            if len(rows) > 1 else df.withColumn(f"_i{i}", F.lit(0.0))
-        values = F.array(*[F.lit(r["value"]) for r in rows])
-        return df.withColumn(f"o{i}", F.element_at(values, F.col(f"_i{i}").cast("int") + 1).cast(m.dtype)).drop(f"_i{i}", f"z{i}")
-    # Cells of equal probability: a sampled row meets only the categories that overlap its cell,
-    # about 1 + categories/CELLS of them, and the cells are equally full by construction.
-    cells = max(CELLS, m.categories)
-    cells = min(cells, 100_000)
-    cuts = [-math.inf, *[NormalDist().inv_cdf(k / cells) for k in range(1, cells)], math.inf]
-
-    def cell(frame, source, target):
-        return Bucketizer(splits=cuts, inputCol=source, outputCol=target, handleInvalid="keep").transform(frame)
-
-    spread = cell(cell(own, "lower", "_first"), "upper", "_last").select(
-        F.explode(F.sequence(F.col("_first").cast("int"), F.least(F.col("_last"), F.lit(cells - 1)).cast("int"))).alias("_cell"),
-        "lower", "upper", F.col("value").cast(m.dtype).alias(f"o{i}"),
+        return df.withColumn(f"o{i}", found.cast(m.dtype)).drop(index, f"z{i}")
+    # One cell per category: a row meets about two of them. No category left has more than
+    # 1/FEW_CATEGORIES of the rows, hence none spans many cells.
+    cells = m.categories
+    rest = own.join(F.broadcast(own.orderBy(F.desc("n"), "value").limit(FEW_CATEGORIES).select("value")), "value", "left_anti")
+    spread = rest.select(
+        F.explode(F.sequence(_cell(F.col("lower"), cells), _cell(F.col("upper"), cells))).alias("_cell"),
+        "lower", "upper", F.col("value").alias("_rest"),
+    )
+    # Rows that are served already get cells that do not exist, spread over all partitions.
+    elsewhere = -F.lit(1) - F.pmod(F.xxhash64(f"z{i}"), F.lit(4096))
+    placed = df.withColumn("_large", found).withColumn(
+        "_at", F.when(F.col("_large").isNotNull(), elsewhere).otherwise(_cell(F.col(f"z{i}"), cells))
     )
-    placed = cell(df, f"z{i}", "_cell").withColumn("_cell", F.col("_cell").cast("int"))
-    inside = (placed["_cell"] == spread["_cell"]) & (placed[f"z{i}"] >= spread["lower"]) & (placed[f"z{i}"] < spread["upper"])
-    return placed.join(spread, inside).drop("_cell", "lower", "upper", f"z{i}")
+    inside = (F.col("_at") == F.col("_cell")) & (F.col(f"z{i}") >= F.col("lower")) & (F.col(f"z{i}") < F.col("upper"))
+    joined = placed.join(spread, inside, "left")
+    return joined.withColumn(f"o{i}", F.coalesce("_large", "_rest").cast(m.dtype)).drop(
+        index, "_large", "_rest", "_at", "_cell", "lower", "upper", f"z{i}"
+    )
+
+
+def _cell(score: Column, cells: int) -> Column:
+    """Cell of a normal score. The logistic curve is close enough to the normal one to fill the
+    cells evenly; all that matters for the result is that it rises with the score."""
+    share = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-1.702) * score))
+    return F.least(F.floor(share * F.lit(float(cells))), F.lit(cells - 1)).cast("long")
 
 
 def correlated_scores(df: DataFrame, correlation: np.ndarray, key: Column, seed: int) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabguard.schema import c
-
 CONFIG_SCHEMA = (
     "experiment_id string, method string, timestamp string, num_rows bigint, sensitive_column string, "
     "epsilon double, epochs bigint, sequence_key string, sequence_index string, status string, error string"
@@ -19,9 +17,8 @@ def write_dataset(
     """Rows without an index column, as Parquet (default) or CSV with a header."""
     writer = df.write.mode(mode)
     if partition_by:
-        # One shuffle puts each partition value into few files; the extra hash spreads a large value.
-        spread = F.pmod(F.xxhash64(*[c(n) for n in df.columns]), F.lit(16))
-        writer = df.repartition(c(partition_by), spread).write.mode(mode).partitionBy(partition_by)
+        # One shuffle puts a value into few files; AQE splits a value that holds very many rows.
+        writer = df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by)
     if format == "csv":
         writer.csv(path, header=True)
     elif format == "parquet":
