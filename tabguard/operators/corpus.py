@@ -113,6 +113,13 @@ def nearest_vectors(vectors: DataFrame, query: list[float], top_k: int = 5, key:
     return scored.orderBy(F.round("score", 9).desc(), c(key)).limit(top_k)
 
 
+def log_search(searches: DataFrame, question: str, timestamp: str, top_k: int = 5) -> DataFrame:
+    """The search log with one more entry."""
+    entry = searches.sparkSession.createDataFrame([(question, timestamp, top_k)], "query string, timestamp string, top_k int")
+    typed = entry.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in searches.schema])
+    return searches.unionByName(typed)
+
+
 def search_history(searches: DataFrame) -> DataFrame:
     """The search log ``(query, timestamp, top_k)``, newest first."""
     return searches.orderBy(F.desc("timestamp"), "query")

@@ -57,14 +57,19 @@ def fit_or_load(df: DataFrame, root: str, method: str = "GaussianCopula", config
     return model, key, False
 
 
-def _expired(as_of: dt.datetime, max_age_days: int) -> Column:
-    limit = F.lit(as_of - dt.timedelta(days=max_age_days))
+def _moment(registry: DataFrame, at: dt.datetime) -> Column:
+    """``at`` in the type of ``cached_at``, read in the session's time zone."""
+    return F.lit(at.isoformat(sep=" ")).cast(registry.schema["cached_at"].dataType)
+
+
+def _expired(registry: DataFrame, as_of: dt.datetime, max_age_days: int) -> Column:
+    limit = _moment(registry, as_of - dt.timedelta(days=max_age_days))
     return F.coalesce(F.col("cached_at") < limit, F.lit(True))
 
 
 def valid_entries(registry: DataFrame, as_of: dt.datetime, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
     """Every entry with ``valid``: not older than ``max_age_days``; unreadable metadata counts as expired."""
-    return registry.withColumn("valid", ~_expired(as_of, max_age_days))
+    return registry.withColumn("valid", ~_expired(registry, as_of, max_age_days))
 
 
 def retention_plan(
@@ -75,7 +80,7 @@ def retention_plan(
     Of the unexpired entries the most recent are kept while their sizes fit. Their running size is
     summed in buckets of the access time, never in one sorted task.
     """
-    flagged = registry.withColumn("_expired", _expired(as_of, max_age_days))
+    flagged = registry.withColumn("_expired", _expired(registry, as_of, max_age_days))
     live = flagged.filter(~F.col("_expired")).withColumn("_at", F.unix_micros(F.col("last_accessed").cast("timestamp")).cast("double"))
     bucketed = with_buckets(live, cut_points(live, ["_at"])).withColumn("bucket", F.col("_b0").cast("int")).withColumn("_all", F.lit(0))
     ranked = running_totals(

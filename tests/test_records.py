@@ -85,6 +85,12 @@ def test_search_ranks_pages(spark):
     assert tuple(corpus.corpus_statistics(empty).first()) == (0, 0)
 
 
+def test_search_log(spark):
+    log = spark.createDataFrame([("old", "2026-01-01", 5)], "query string, timestamp string, top_k long")
+    rows = corpus.search_history(corpus.log_search(log, "new", "2026-01-02", 3)).collect()
+    assert [(r.query, r.top_k) for r in rows] == [("new", 3), ("old", 5)]
+
+
 def test_patients(spark):
     df = spark.createDataFrame([(1, "M", "41"), (2, "Female", None), (3, "??", "n/a")], "id int, SEX string, Age string")
     rows = fhir.patient_resources(df, ["id"], 2026).orderBy("id").collect()
