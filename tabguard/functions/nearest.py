@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 64
+LEAF = 128
 
 
 def _blocks(points: np.ndarray, leaf: int) -> list[np.ndarray]:

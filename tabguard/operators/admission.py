@@ -40,23 +40,22 @@ def admit_requests(
     nothing changes. That fixed point is the sequential result.
     """
     span = window_seconds * 1_000_000
-    rows = requests.select(
-        F.to_json(F.struct(*[c(k) for k in keys])).alias("_key"), micros(ts).alias("_t"), c(order_id).cast("long").alias("_id")
-    )
-    pieced, cut = with_pieces(rows, ["_key"], F.col("_t").cast("double"), piece_rows)
-    events = pieced.select("_key", "_piece", F.lit(1).alias("_kind"), "_t", "_id", F.lit(None).cast("array<long>").alias("_state"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = requests.select(*[c(k).alias(n) for k, n in zip(keys, names)], micros(ts).alias("_t"), c(order_id).cast("long").alias("_id"))
+    pieced, cut = with_pieces(rows, names, F.col("_t").cast("double"), piece_rows)
+    events = pieced.select(*names, "_piece", F.lit(1).alias("_kind"), "_t", "_id")
     if cut:
-        events = write_and_reread(events, "requests")
-        events = events.unionByName(_entry_states(events.filter(F.col("_piece") > 0), limit, span))
+        events = write_and_reread(events.withColumn("_state", F.lit(None).cast("array<long>")), "requests")
+        events = events.unionByName(_entry_states(events.filter(F.col("_piece") > 0), names, limit, span))
 
     def decide(batches):
-        yield from _replay(batches, limit, span, states=False)
+        yield from _replay(batches, names, limit, span, states=False)
 
-    decided = _in_time_order(events).mapInPandas(decide, "_key string, _t long, _id long, admitted boolean, in_window int")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*[c(k) for k in keys]).schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    decided = _in_time_order(events, names).mapInPandas(decide, schema + ", admitted boolean, in_window int")
     kinds = {f.name: f.dataType for f in requests.schema}
-    return decided.withColumn("_k", F.from_json("_key", schema)).select(
-        *[F.col("_k").getField(k).alias(k) for k in keys],
+    return decided.select(
+        *[c(n).alias(k) for k, n in zip(keys, names)],
         F.col("_id").cast(kinds[order_id]).alias(order_id),
         F.timestamp_micros("_t").cast(kinds[ts]).alias(ts),
         "admitted", "in_window",
@@ -65,10 +64,10 @@ def admit_requests(
     )
 
 
-def _in_time_order(events: DataFrame) -> DataFrame:
+def _in_time_order(events: DataFrame, names: list[str]) -> DataFrame:
     # A fixed number of partitions: the replay is worth more tasks than its bytes suggest to AQE.
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(parts, "_key", "_piece").sortWithinPartitions("_key", "_piece", "_kind", "_t", "_id")
+    return events.repartition(parts, *names, "_piece").sortWithinPartitions(*names, "_piece", "_kind", "_t", "_id")
 
 
 def _decide(times: list[int], first: int, last: int, recent: deque, limit: int, span: int) -> list[tuple[int, int]]:
@@ -89,22 +88,28 @@ def _decide(times: list[int], first: int, last: int, recent: deque, limit: int,
     return admitted
 
 
-def _replay(batches, limit: int, span: int, states: bool):
+def _replay(batches, names: list[str], limit: int, span: int, states: bool):
     """Walk sorted rows; yield decisions, or the remembered times at the end of every piece."""
     import numpy as np
     import pandas as pd
 
+    group_columns = [*names, "_piece"]
     current, recent = None, deque()
     for pdf in batches:
-        key, piece, kind = (pdf[n].to_numpy() for n in ("_key", "_piece", "_kind"))
-        times = pdf["_t"].tolist()
-        starts = np.flatnonzero((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])) + 1
+        kind, times = pdf["_kind"].to_numpy(), pdf["_t"].tolist()
+        changed = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+        for name in group_columns:
+            values, missing = pdf[name].to_numpy(), pdf[name].isna().to_numpy()
+            changed |= (values[1:] != values[:-1]) & ~(missing[1:] & missing[:-1])
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        groups = pdf[group_columns].iloc[starts].astype(object)
+        groups = list(groups.where(groups.notna(), None).itertuples(index=False, name=None))
         admitted, used, ends = np.zeros(len(pdf), dtype=bool), np.full(len(pdf), limit), []
-        for first, last in zip([0, *starts.tolist()], [*starts.tolist(), len(pdf)]):
-            if (key[first], piece[first]) != current:
+        for group, first, last in zip(groups, starts, [*starts[1:], len(pdf)]):
+            if group != current:
                 if states and current is not None:
                     ends.append((*current, list(recent)))
-                current, recent = (key[first], piece[first]), deque()
+                current, recent = group, deque()
             if kind[first] == 0:
                 recent = deque(int(x) for x in pdf["_state"].iloc[first])
                 first += 1
@@ -112,15 +117,15 @@ def _replay(batches, limit: int, span: int, states: bool):
                 admitted[at], used[at] = True, count
         if states:
             if ends:
-                yield pd.DataFrame(ends, columns=["_key", "_piece", "_end"])
+                yield pd.DataFrame(ends, columns=[*group_columns, "_end"])
         else:
-            decided = pdf[["_key", "_t", "_id"]].assign(admitted=admitted, in_window=used)
+            decided = pdf[[*names, "_t", "_id"]].assign(admitted=admitted, in_window=used)
             yield decided[kind == 1]
     if states and current is not None:
-        yield pd.DataFrame([(*current, list(recent))], columns=["_key", "_piece", "_end"])
+        yield pd.DataFrame([(*current, list(recent))], columns=[*group_columns, "_end"])
 
 
-def _entry_states(events: DataFrame, limit: int, span: int) -> DataFrame:
+def _entry_states(events: DataFrame, names: list[str], limit: int, span: int) -> DataFrame:
     """Rows of kind 0 with the remembered times at the start of every piece.
 
     All pieces replay from an empty state first. Then those whose predecessor ended differently
@@ -130,31 +135,34 @@ def _entry_states(events: DataFrame, limit: int, span: int) -> DataFrame:
     has one row per piece of the at most HOT_GROUPS keys that were cut.
     """
 
+    pieces = [*names, "_piece"]
+
     def finish(batches):
-        yield from _replay(batches, limit, span, states=True)
+        yield from _replay(batches, names, limit, span, states=True)
 
     def run(part: DataFrame) -> DataFrame:
-        return _in_time_order(part).mapInPandas(finish, "_key string, _piece int, _end array<long>")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*pieces).schema)
+        return _in_time_order(part, names).mapInPandas(finish, schema + ", _end array<long>")
 
     def as_rows(states: DataFrame, state: str) -> DataFrame:
         zero = F.lit(0).cast("long")
-        return states.select("_key", "_piece", F.lit(0).alias("_kind"), zero.alias("_t"), zero.alias("_id"), F.col(state).alias("_state"))
+        return states.select(*pieces, F.lit(0).alias("_kind"), zero.alias("_t"), zero.alias("_id"), F.col(state).alias("_state"))
 
     empty = F.array().cast("array<long>")
-    of_key = Window.partitionBy("_key")
+    of_key = Window.partitionBy(*names)
     table = write_and_reread(run(events).withColumn("_in", empty), "states")
     for round_number in count(1):
         wanted = table.withColumn("_want", F.coalesce(F.lag("_end").over(of_key.orderBy("_piece")), empty))
         due = wanted.filter(F.col("_want") != F.col("_in"))
         if round_number > 2:
             due = due.withColumn("_first", F.min("_piece").over(of_key)).filter(F.col("_piece") == F.col("_first"))
-        due = write_and_reread(due.select("_key", "_piece", "_want"), "due")
+        due = write_and_reread(due.select(*pieces, "_want"), "due")
         if due.isEmpty():
             return as_rows(table, "_in")
-        again = events.join(F.broadcast(due.select("_key", "_piece")), ["_key", "_piece"], "left_semi")
+        again = events.join(F.broadcast(due.select(*pieces)), pieces, "left_semi")
         ends = run(again.unionByName(as_rows(due, "_want")))
-        redone = ends.join(F.broadcast(due), ["_key", "_piece"]).withColumnRenamed("_want", "_in")
-        kept = table.join(F.broadcast(due), ["_key", "_piece"], "left_anti")
+        redone = ends.join(F.broadcast(due), pieces).withColumnRenamed("_want", "_in")
+        kept = table.join(F.broadcast(due), pieces, "left_anti")
         table = write_and_reread(kept.unionByName(redone), "states")
 
 

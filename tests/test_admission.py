@@ -42,6 +42,17 @@ def test_boundary_is_strict(spark):
     assert counts == [2, 3, 2]
 
 
+@pytest.mark.parametrize("piece_rows", [10**6, 40])
+def test_null_and_numeric_keys(spark, piece_rows):
+    draw = random.Random(8)
+    rows = [(draw.choice([None, 1, 2]), draw.choice([None, 0.5]), START + dt.timedelta(seconds=draw.randrange(3000)), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "a int, b double, ts timestamp, id long")
+    want = replay([((a, b), None, ts, i) for a, b, ts, i in rows], 2, 60)
+    got = admission.admit_requests(df, ["a", "b"], "ts", "id", 2, piece_rows=piece_rows).collect()
+    assert {r.id: (r.admitted, r.in_window) for r in got} == want
+    assert {(r.id, r.a, r.b) for r in got} == {(i, a, b) for a, b, _, i in rows}
+
+
 def test_quota(spark):
     rows, df = requests(spark, 300)
     decided = admission.admit_requests(df, ["user"], "ts", "id", limit=3)
