@@ -45,8 +45,9 @@ def admit_requests(
     pieced, cut = with_pieces(rows, names, F.col("_t").cast("double"), piece_rows)
     events = pieced.select(*names, "_piece", F.lit(1).alias("_kind"), "_t", "_id")
     if cut:
-        events = write_and_reread(events.withColumn("_state", F.lit(None).cast("array<long>")), "requests")
-        events = events.unionByName(_entry_states(events.filter(F.col("_piece") > 0), names, limit, span))
+        # Only the busy keys are read several times, so only they are written.
+        busy = write_and_reread(events.filter(F.col("_piece") > 0), "requests")
+        events = events.filter(F.col("_piece") == 0).unionByName(busy).unionByName(_entry_states(busy, names, limit, span))
 
     def decide(batches):
         yield from _replay(batches, names, limit, span, states=False)
@@ -110,8 +111,8 @@ def _replay(batches, names: list[str], limit: int, span: int, states: bool):
                 if states and current is not None:
                     ends.append((*current, list(recent)))
                 current, recent = group, deque()
-            if kind[first] == 0:
-                recent = deque(int(x) for x in pdf["_state"].iloc[first])
+            while first < last and kind[first] == 0:
+                recent.append(times[first])
                 first += 1
             for at, count in _decide(times, first, last, recent, limit, span):
                 admitted[at], used[at] = True, count
@@ -126,7 +127,7 @@ def _replay(batches, names: list[str], limit: int, span: int, states: bool):
 
 
 def _entry_states(events: DataFrame, names: list[str], limit: int, span: int) -> DataFrame:
-    """Rows of kind 0 with the remembered times at the start of every piece.
+    """Rows of kind 0: the remembered times at the start of every piece, one per row.
 
     All pieces replay from an empty state first. Then those whose predecessor ended differently
     from what they assumed replay again: twice all of them, which settles every piece that holds a
@@ -145,8 +146,7 @@ def _entry_states(events: DataFrame, names: list[str], limit: int, span: int) ->
         return _in_time_order(part, names).mapInPandas(finish, schema + ", _end array<long>")
 
     def as_rows(states: DataFrame, state: str) -> DataFrame:
-        zero = F.lit(0).cast("long")
-        return states.select(*pieces, F.lit(0).alias("_kind"), zero.alias("_t"), zero.alias("_id"), F.col(state).alias("_state"))
+        return states.select(*pieces, F.lit(0).alias("_kind"), F.explode(state).alias("_t"), F.lit(0).cast("long").alias("_id"))
 
     empty = F.array().cast("array<long>")
     of_key = Window.partitionBy(*names)
