@@ -6,7 +6,7 @@ import importlib
 
 from tabguard.llm.common import QUERIES, SQL
 
-MODULES = ["token_counts", "bpe", "toxicity"]
+MODULES = ["token_counts", "bpe", "toxicity", "simhash"]
 
 
 def load():
