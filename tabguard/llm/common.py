@@ -65,3 +65,23 @@ def map_texts(docs: DataFrame, fn, fields: str, id_column: str = "doc_id", text_
                                              names=["id", *(f.split()[0] for f in fields.split(", "))])
 
     return chosen.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_column)
+
+
+def filter_texts(docs: DataFrame, keep, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text ``keep(texts)`` marks true; a null text is passed as empty."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_column)).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([bool(x) for x in keep([t or "" for t in texts])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: Bytes to bytes: A-Z to lower case; whatever is no ASCII letter, digit or part of a longer character to a blank.
+WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(WORD_BYTES).split()
