@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.llm.common import map_texts, query, small_batches, table, worker_state
+from tabguard.llm.common import filter_texts, map_texts, query, small_batches, table, worker_state
 
 #: Labelled rows that a fit reads at most, in expectation, and entries of the learnt lexicon.
 FIT_ROWS, LEXICON = 20_000, 5_000
@@ -263,18 +263,34 @@ def _logistic(x, y, n, rounds: int = 40):
     return np.maximum(beta[:-1], 0.0), float(beta[-1])
 
 
+def _scorer(model: ToxicityModel):
+    """``texts -> (features, scores)``, with the lexicon kept by the worker."""
+    arcs, weights, coefficients, bias = grammar(), model.weights, np.array(model.coefficients), model.bias
+
+    def score(texts):
+        lexicon = worker_state(("toxicity", hash(frozenset(weights.items()))), lambda: Lexicon(weights))
+        x = np.array([features(t, lexicon, arcs) for t in texts]).reshape(len(texts), len(KINDS))
+        return x, 1 / (1 + np.exp(-np.clip(x @ coefficients + bias, -30, 30)))
+
+    return score
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose score is below the threshold."""
+    score = _scorer(model)
+    return filter_texts(docs, lambda texts: score(texts)[1] < threshold, text_column)
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``held_out``, ``score``, ``predicted`` and ``matches`` (weight of matched clauses) of every whole text.
 
     A null text is an empty one and gets the score of a text without a match. A null id is never held
     out. Repeated rows are scored each; labels and other columns are not read.
     """
-    arcs, weights, coefficients, bias = grammar(), model.weights, np.array(model.coefficients), model.bias
+    scorer = _scorer(model)
 
     def run(texts):
-        lexicon = worker_state(("toxicity", hash(frozenset(weights.items()))), lambda: Lexicon(weights))
-        x = np.array([features(t, lexicon, arcs) for t in texts]).reshape(len(texts), len(KINDS))
-        score = 1 / (1 + np.exp(-np.clip(x @ coefficients + bias, -30, 30)))
+        x, score = scorer(texts)
         return score, (score >= threshold).astype(np.int32), np.expm1(x).sum(axis=1)
 
     scored = map_texts(docs, run, "score double, predicted int, matches double", id_column, text_column)
