@@ -6,7 +6,7 @@ import importlib
 
 from tabguard.llm.common import QUERIES, SQL
 
-MODULES = ["token_counts", "bpe", "toxicity", "simhash", "decontamination", "privacy", "licenses", "substrings", "neighbours"]
+MODULES = ["licenses", "quality", "privacy", "bpe", "token_counts", "substrings", "neighbours", "simhash", "toxicity", "decontamination"]
 
 
 def load():
