@@ -20,13 +20,12 @@ from tabguard.operators.detection import column_roles
 from tabguard.operators.noise import Budget, add_noise, noise_ledger
 from tabguard.plans.lookups import lookup_join
 from tabguard.plans.ordered import running_totals
-from tabguard.plans.sketches import even_cuts
+from tabguard.plans.quantiles import values_at_ranks
 from tabguard.schema import c
 from tabguard.session import write_and_reread
 
 METHODS = ("GaussianCopula", "PAR")
 KNOTS = 200
-SMALL_FIT_ROWS = 100_000
 #: Categories of one column that are kept as literals; larger columns go through joins.
 FEW_CATEGORIES = 1_000
 
@@ -133,23 +132,13 @@ def normal_scores(probabilities: list[float], rows: int) -> list[float]:
 
 
 def fit_knots(df: DataFrame, columns: list[str], counts: dict[str, int]) -> dict[str, tuple[list[float], list[float]]]:
-    """Quantile knots of every column from mergeable sketches of bounded size.
-
-    Up to SMALL_FIT_ROWS a knot has exactly the rank of its probability, beyond it nearly that rank.
-    """
+    """Quantile knots of every column: the value at exactly the rank of each probability, at any size."""
     probabilities = [k / KNOTS for k in range(KNOTS + 1)]
     filled = [n for n in columns if counts[n] > 0]
-    if not filled:
-        return {n: ([], []) for n in columns}
-    most = max(counts[n] for n in filled)
-    if most <= SMALL_FIT_ROWS:
-        row = df.agg(*[F.percentile_approx(c(n), probabilities, max(100 * KNOTS, 10 * most)).alias(f"q{i}") for i, n in enumerate(filled)]).first()
-        quantiles = [list(row[f"q{i}"]) for i in range(len(filled))]
-    else:
-        edges = df.agg(*[f(c(n)).alias(f"{a}{i}") for i, n in enumerate(filled) for a, f in (("lo", F.min), ("hi", F.max))]).first()
-        inner = even_cuts(df, [c(n) for n in filled], KNOTS)
-        quantiles = [[edges[f"lo{i}"], *inner[i], edges[f"hi{i}"]] for i in range(len(filled))]
-    found = {n: (quantiles[i], normal_scores(probabilities, counts[n])) for i, n in enumerate(filled)}
+    # The place of a probability: the first value that this share of the values doesn't exceed.
+    places = {n: [max(1, math.ceil(counts[n] * k / KNOTS)) - 1 for k in range(KNOTS + 1)] for n in filled}
+    values = values_at_ranks(df, {n: sorted(set(at)) for n, at in places.items()}, counts)
+    found = {n: ([values[n][r] for r in places[n]], normal_scores(probabilities, counts[n])) for n in filled}
     return {n: found.get(n, ([], [])) for n in columns}
 
 

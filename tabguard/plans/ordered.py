@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabguard.plans.sketches import even_cuts
+from tabguard.plans.sketches import even_cuts, finite
 from tabguard.schema import as_double, c
 
 #: Upper bound of the groups that are ever treated as hot; any other group holds < 1/HOT_GROUPS of the rows.
@@ -18,18 +18,18 @@ PIECE_ROWS = 1_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 4 * partitions))
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) -> dict[str, list[float]]:
+def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None, bucket_rows: int = PIECE_ROWS) -> dict[str, list[float]]:
     """Inner cut points per column, about equally many rows between two of them.
 
-    One scan; the driver gets one row of ``columns x buckets`` doubles. A value that fills several
-    buckets by itself yields one cut, so a bucket never holds more than its share of *distinct* values.
+    One scan; the driver gets one row of ``columns x buckets`` doubles: as many buckets as the
+    session has use for, and more if a bucket would hold over ``bucket_rows`` rows. A value that fills
+    several buckets by itself yields one cut, so a bucket never holds more than its share of *distinct* values.
     """
-    found = even_cuts(df, [as_double(n) for n in columns], buckets or bucket_count(df))
-    return {n: sorted({float(v) for v in cuts if math.isfinite(v)}) for n, cuts in zip(columns, found)}
+    found = even_cuts(df, [as_double(n) for n in columns], buckets or bucket_count(df), bucket_rows)
+    return {n: finite(cuts) for n, cuts in zip(columns, found)}
 
 
 def with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
@@ -47,9 +47,13 @@ def with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return staged
 
 
-def long_values(df: DataFrame, columns: list[str], cuts: dict[str, list[float]]) -> DataFrame:
-    """Rows ``(column, bucket, value)`` of the non-null values; ``column`` is the place in ``columns``."""
-    staged = with_buckets(df.select(*[c(n) for n in columns]), {n: cuts[n] for n in columns})
+def long_values(df: DataFrame, columns: list[str], cuts: dict[str, list[float]], weight: str | None = None) -> DataFrame:
+    """Rows ``(column, bucket, value)`` of the non-null values; ``column`` is the place in ``columns``.
+
+    With ``weight``, that column is added to each row under this name.
+    """
+    own = [c(weight).alias("weight")] if weight else []
+    staged = with_buckets(df.select(*[c(n) for n in columns], *own), {n: cuts[n] for n in columns})
     cells = F.array(
         *[
             F.struct(
@@ -60,7 +64,7 @@ def long_values(df: DataFrame, columns: list[str], cuts: dict[str, list[float]])
             for i, n in enumerate(columns)
         ]
     )
-    return staged.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    return staged.select(F.inline(cells), *(["weight"] if weight else [])).filter(F.col("value").isNotNull())
 
 
 def running_totals(

@@ -1,49 +1,48 @@
 """Approximate quantiles whose partial sketches never meet in a single task.
 
-A plain global ``percentile_approx`` sends the sketch of every input partition to one reducer. Here
-input partitions are dealt round-robin to a fixed number of shards, each shard merges its own
-sketches, and only the resulting quantiles are combined. Callers use the values as a layout or as
-a guess they verify; no result depends on them.
+Input partitions are dealt round-robin to a fixed number of shards. Each shard merges its own KLL
+sketches, and the shards' sketches, a few kilobytes each, are merged once more. A merged sketch knows
+how many rows each part stands for, so uneven shards weigh what they hold. Callers use the values as a
+layout or as a guess that they verify by counting; no result depends on them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARDS = 256
 
 
-def _shards(df: DataFrame, values: list[Column], probabilities: list[list[float]], accuracy: int) -> DataFrame:
+def merged_sketches(df: DataFrame, groups: list[str], value: Column, parts: int) -> DataFrame:
+    """``(groups..., sketch)``: one KLL sketch of ``value`` for each group, merged in shards first."""
+    size = max(200, min(8_000, 4 * parts))
     shard = F.pmod(F.spark_partition_id(), F.lit(SHARDS))
-    staged = df.select(shard.alias("_shard"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
-    return staged.groupBy("_shard").agg(
-        *[F.percentile_approx(f"_v{i}", p, accuracy).alias(f"q{i}") for i, p in enumerate(probabilities)]
-    )
-
-
-def even_cuts(df: DataFrame, values: list[Column], parts: int) -> list[list[float]]:
-    """For every value column about ``parts - 1`` cut points with similar numbers of rows between them."""
-    probabilities = [i / parts for i in range(1, parts)]
-    shards = _shards(df, values, [probabilities] * len(values), 4 * parts)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("q")) for i in range(len(values))])
-    combined = (
-        shards.select(F.inline(cells)).select("i", F.explode("q").alias("v"))
-        .groupBy("i").agg(F.percentile_approx("v", probabilities, 4 * parts).alias("cuts"))
-    )
-    found = {r["i"]: r["cuts"] for r in combined.collect()}
-    return [list(found.get(i) or []) for i in range(len(values))]
+    keys = [F.col(g) for g in groups]
+    staged = df.select(*keys, shard.alias("_shard"), value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    by_shard = staged.groupBy(*keys, "_shard").agg(F.kll_sketch_agg_double("_v", F.lit(size)).alias("_s"))
+    return by_shard.groupBy(*keys).agg(F.kll_merge_agg_double("_s").alias("sketch"))
 
 
-def outer_bounds(df: DataFrame, values: list[Column], spans: list[tuple[float, float]], accuracy: int) -> list[tuple[float, float]]:
-    """For every value column an interval that covers its quantiles from ``span[0]`` to ``span[1]``.
+def even_cuts(df: DataFrame, values: list[Column], parts: int, rows_per_part: int | None = None) -> list[list[float]]:
+    """For every value column about ``parts - 1`` cut points with similar numbers of rows between them.
 
-    The smallest lower and the largest upper quantile of all shards: wide if the shards differ,
-    and close to the sketch's own error if they are alike.
+    With ``rows_per_part`` there are as many more parts as the rows need.
     """
-    shards = _shards(df, values, [list(s) for s in spans], accuracy)
-    row = shards.agg(
-        *[F.min(F.col(f"q{i}")[0]).alias(f"lo{i}") for i in range(len(values))],
-        *[F.max(F.col(f"q{i}")[1]).alias(f"hi{i}") for i in range(len(values))],
-    ).first()
-    return [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(values))]
+    if rows_per_part is not None:
+        parts = max(parts, math.ceil(df.count() / rows_per_part))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate(values)])
+    sketches = merged_sketches(df.select(F.inline(cells)), ["i"], F.col("v"), parts)
+    found = {r["i"]: r["cuts"] for r in sketches.select("i", inner_quantiles(parts).alias("cuts")).collect()}
+    return [list(found.get(i) or []) for i in range(len(values))]
+
+
+def inner_quantiles(parts: int) -> Column:
+    """Of the column ``sketch``: the quantiles that make ``parts`` parts."""
+    return F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / parts) for i in range(1, parts)]))
+
+
+def finite(values) -> list[float]:
+    return sorted({float(v) for v in values if v is not None and math.isfinite(v)})

@@ -30,10 +30,28 @@ def values(kind, n=5000):
 def test_exact_quantiles_by_brackets_and_directly(spark, kind, small):
     data = values(kind)
     df = spark.createDataFrame([(v,) for v in data], "x double").repartition(7)
-    found = exact_quantiles(df, ["x"], PROBABILITIES, small_rows=small, accuracy=50)["x"]
+    found = exact_quantiles(df, ["x"], PROBABILITIES, small_rows=small)["x"]
     assert found == pytest.approx(list(np.quantile(data, PROBABILITIES)))
 
 
+def test_quantiles_of_sorted_input(spark):
+    """Partitions that hold a stretch of the values each: the buckets shrink all the same."""
+    df = spark.range(0, 40_000, 1, 16).select(F.col("id").cast("double").alias("x"))
+    found = exact_quantiles(df, ["x"], PROBABILITIES, small_rows=500)["x"]
+    assert found == pytest.approx(list(np.quantile(np.arange(40_000.0), PROBABILITIES)))
+    squeezed = spark.range(0, 20_000, 1, 8).select(F.exp(-F.col("id") / 50).alias("x"))
+    found = exact_quantiles(squeezed, ["x"], PROBABILITIES, small_rows=100)["x"]
+    assert found == pytest.approx(list(np.quantile(np.exp(-np.arange(20_000) / 50), PROBABILITIES)))
+
+
+def test_cuts_of_uneven_partitions(spark):
+    """Few rows in many partitions weigh what they are."""
+    many = spark.range(0, 20_000, 1, 3).select(F.randn(1).alias("x"))
+    few = spark.range(0, 200, 1, 20).select((F.randn(2) + 100).alias("x"))
+    cuts = cut_points(many.unionByName(few), ["x"], 100)["x"]
+    assert abs(cuts[49]) < 0.1 and cuts[97] < 4 and sum(x > 50 for x in cuts) <= 2
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
