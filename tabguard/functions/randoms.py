@@ -8,19 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, tag: str, *keys: Column) -> Column:
-    """Uniform on the open interval (0, 1)."""
+def uniform(seed: int | str, tag: str, *keys: Column) -> Column:
+    """Uniform on the open interval (0, 1). A text as ``seed`` is a secret: the bits are a SHA-256 keyed with it."""
+    if isinstance(seed, str):
+        text = F.concat_ws("\x1f", F.lit(seed), F.lit(tag), *[F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in keys])
+        bits = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.sha2(text, 256)), 256), 1, 13), 16, 10)
+        return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     bits = F.xxhash64(F.lit(seed), F.lit(tag), *keys).bitwiseAND(F.lit((1 << 52) - 1))
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def normal(seed: int, tag: str, *keys: Column) -> Column:
+def normal(seed: int | str, tag: str, *keys: Column) -> Column:
     """Standard normal by the Box-Muller transform."""
     radius = F.sqrt(F.lit(-2.0) * F.log(uniform(seed, tag + "/radius", *keys)))
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(seed, tag + "/angle", *keys))
 
 
-def laplace(seed: int, tag: str, *keys: Column) -> Column:
+def laplace(seed: int | str, tag: str, *keys: Column) -> Column:
     """Laplace with scale 1 by inversion of the distribution function."""
     centred = uniform(seed, tag, *keys) - F.lit(0.5)
     tail = F.log(F.greatest(F.lit(1.0) - F.lit(2.0) * F.abs(centred), F.lit(2.0 ** -53)))

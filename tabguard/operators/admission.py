@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabguard.plans.ordered import PIECE_ROWS, with_pieces
+from tabguard.plans.ordered import PIECE_ROWS, same_keys, with_pieces
 from tabguard.schema import c
 from tabguard.session import write_and_reread
 
@@ -26,11 +26,14 @@ def admit_requests(
     keys: list[str],
     ts: str,
     order_id: str,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | str = DEFAULT_LIMIT,
     window_seconds: int = WINDOW_SECONDS,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """``(keys..., order_id, ts, admitted, in_window, remaining, reset_at)`` for every request.
+    """``(keys..., order_id, ts, admitted, in_window, remaining, reset_at, limit)`` for every request.
+
+    ``limit`` is a number, or the column that holds each key's own (null: the default; if a key has
+    several, that of a request holds for the request).
 
     A request is admitted if fewer than ``limit`` admitted ones lie less than ``window_seconds``
     before it; rejected ones are not remembered, so the decision is a replay in time order. Rows are
@@ -41,16 +44,17 @@ def admit_requests(
     """
     span = window_seconds * 1_000_000
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = requests.select(*[c(k).alias(n) for k, n in zip(keys, names)], micros(ts).alias("_t"), c(order_id).cast("long").alias("_id"))
-    pieced, cut = with_pieces(rows, names, F.col("_t").cast("double"), piece_rows)
-    events = pieced.select(*names, "_piece", F.lit(1).alias("_kind"), "_t", "_id")
+    rows = requests.select(*[c(k).alias(n) for k, n in zip(keys, names)], micros(ts).alias("_t"), c(order_id).cast("long").alias("_id"),
+                           limit_column(limit).alias("_limit"))
+    pieced, cut = with_pieces(rows, names, ["_t", "_id"], piece_rows)
+    events = pieced.select(*names, "_piece", F.lit(1).alias("_kind"), "_t", "_id", "_limit")
     if cut:
         # Only the busy keys are read several times, so only they are written.
         busy = write_and_reread(events.filter(F.col("_piece") > 0), "requests")
-        events = events.filter(F.col("_piece") == 0).unionByName(busy).unionByName(_entry_states(busy, names, limit, span))
+        events = events.filter(F.col("_piece") == 0).unionByName(busy).unionByName(_entry_states(busy, names, span))
 
     def decide(batches):
-        yield from _replay(batches, names, limit, span, states=False)
+        yield from _replay(batches, names, span, states=False)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     decided = _in_time_order(events, names).mapInPandas(decide, schema + ", admitted boolean, in_window int")
@@ -60,36 +64,46 @@ def admit_requests(
         F.col("_id").cast(kinds[order_id]).alias(order_id),
         F.timestamp_micros("_t").cast(kinds[ts]).alias(ts),
         "admitted", "in_window",
-        F.greatest(F.lit(0), F.lit(limit) - F.col("in_window")).alias("remaining"),
+        F.greatest(F.lit(0), F.col("_limit") - F.col("in_window")).alias("remaining"),
         F.timestamp_micros(F.col("_t") + span).cast(kinds[ts]).alias("reset_at"),
+        F.col("_limit").alias("limit"),
     )
 
 
+def limit_column(limit: int | str) -> Column:
+    return F.coalesce(c(limit).cast("int"), F.lit(DEFAULT_LIMIT)) if isinstance(limit, str) else F.lit(limit)
+
+
 def _in_time_order(events: DataFrame, names: list[str]) -> DataFrame:
     # A fixed number of partitions: the replay is worth more tasks than its bytes suggest to AQE.
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return events.repartition(parts, *names, "_piece").sortWithinPartitions(*names, "_piece", "_kind", "_t", "_id")
 
 
-def _decide(times: list[int], first: int, last: int, recent: deque, limit: int, span: int) -> list[tuple[int, int]]:
+def decide_in_order(times: list[int], limits: list[int], first: int, last: int, recent: deque, span: int) -> list[tuple[int, int]]:
     """Admit from ``times[first:last]`` in order; returns ``(position, in_window)`` of the admitted.
 
-    A full window rejects everything until its oldest time expires, so the walk jumps there.
+    A full window rejects everything of that limit until its oldest time expires, so the walk jumps there.
     """
     admitted, at = [], first
+    alike = first < last and min(limits[first:last]) == max(limits[first:last])
     while at < last:
         while recent and recent[0] <= times[at] - span:
             recent.popleft()
+        limit = limits[at]
         if len(recent) < limit:
             recent.append(times[at])
             admitted.append((at, len(recent)))
             at += 1
+        elif not recent:
+            at += 1  # a limit of 0
         else:
-            at = bisect_left(times, recent[0] + span, at, last)
+            full = bisect_left(times, recent[0] + span, at, last)
+            at = full if alike else next((i for i in range(at + 1, full) if limits[i] > limit), full)
     return admitted
 
 
-def _replay(batches, names: list[str], limit: int, span: int, states: bool):
+def _replay(batches, names: list[str], span: int, states: bool):
     """Walk sorted rows; yield decisions, or the remembered times at the end of every piece."""
     import numpy as np
     import pandas as pd
@@ -97,7 +111,7 @@ def _replay(batches, names: list[str], limit: int, span: int, states: bool):
     group_columns = [*names, "_piece"]
     current, recent = None, deque()
     for pdf in batches:
-        kind, times = pdf["_kind"].to_numpy(), pdf["_t"].tolist()
+        kind, times, limits = pdf["_kind"].to_numpy(), pdf["_t"].tolist(), pdf["_limit"].tolist()
         changed = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
         for name in group_columns:
             values, missing = pdf[name].to_numpy(), pdf[name].isna().to_numpy()
@@ -105,7 +119,7 @@ def _replay(batches, names: list[str], limit: int, span: int, states: bool):
         starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
         groups = pdf[group_columns].iloc[starts].astype(object)
         groups = list(groups.where(groups.notna(), None).itertuples(index=False, name=None))
-        admitted, used, ends = np.zeros(len(pdf), dtype=bool), np.full(len(pdf), limit), []
+        admitted, used, ends = np.zeros(len(pdf), dtype=bool), pdf["_limit"].to_numpy(copy=True), []
         for group, first, last in zip(groups, starts, [*starts[1:], len(pdf)]):
             if group != current:
                 if states and current is not None:
@@ -114,39 +128,39 @@ def _replay(batches, names: list[str], limit: int, span: int, states: bool):
             while first < last and kind[first] == 0:
                 recent.append(times[first])
                 first += 1
-            for at, count in _decide(times, first, last, recent, limit, span):
+            for at, count in decide_in_order(times, limits, first, last, recent, span):
                 admitted[at], used[at] = True, count
         if states:
             if ends:
                 yield pd.DataFrame(ends, columns=[*group_columns, "_end"])
         else:
-            decided = pdf[[*names, "_t", "_id"]].assign(admitted=admitted, in_window=used)
+            decided = pdf[[*names, "_t", "_id", "_limit"]].assign(admitted=admitted, in_window=used)
             yield decided[kind == 1]
     if states and current is not None:
         yield pd.DataFrame([(*current, list(recent))], columns=[*group_columns, "_end"])
 
 
-def _entry_states(events: DataFrame, names: list[str], limit: int, span: int) -> DataFrame:
+def _entry_states(events: DataFrame, names: list[str], span: int) -> DataFrame:
     """Rows of kind 0: the remembered times at the start of every piece, one per row.
 
     All pieces replay from an empty state first. Then those whose predecessor ended differently
     from what they assumed replay again: twice all of them, which settles every piece that holds a
     quiet moment, and from then on only the first of each key, so that a key that is always full
     costs one more pass over its pieces and no task ever handles more than a piece. The state table
-    has one row per piece of the at most HOT_GROUPS keys that were cut.
+    has one row per piece and key that was cut; what is due is joined by a shuffle where it is large.
     """
 
     pieces = [*names, "_piece"]
 
     def finish(batches):
-        yield from _replay(batches, names, limit, span, states=True)
+        yield from _replay(batches, names, span, states=True)
 
     def run(part: DataFrame) -> DataFrame:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*pieces).schema)
         return _in_time_order(part, names).mapInPandas(finish, schema + ", _end array<long>")
 
     def as_rows(states: DataFrame, state: str) -> DataFrame:
-        return states.select(*pieces, F.lit(0).alias("_kind"), F.explode(state).alias("_t"), F.lit(0).cast("long").alias("_id"))
+        return states.select(*pieces, F.lit(0).alias("_kind"), F.explode(state).alias("_t"), F.lit(0).cast("long").alias("_id"), F.lit(0).alias("_limit"))
 
     empty = F.array().cast("array<long>")
     of_key = Window.partitionBy(*names)
@@ -159,19 +173,21 @@ def _entry_states(events: DataFrame, names: list[str], limit: int, span: int) ->
         due = write_and_reread(due.select(*pieces, "_want"), "due")
         if due.isEmpty():
             return as_rows(table, "_in")
-        again = events.join(F.broadcast(due.select(*pieces)), pieces, "left_semi")
+        seams = [f"_due{i}" for i in range(len(pieces))]
+        named = due.select(*[c(p).alias(n) for p, n in zip(pieces, seams)], "_want")
+        again = events.join(named, same_keys(events, named, pieces, seams), "left_semi")
         ends = run(again.unionByName(as_rows(due, "_want")))
-        redone = ends.join(F.broadcast(due), pieces).withColumnRenamed("_want", "_in")
-        kept = table.join(F.broadcast(due), pieces, "left_anti")
+        redone = ends.join(named, same_keys(ends, named, pieces, seams)).select(*ends.columns, F.col("_want").alias("_in"))
+        kept = table.join(named, same_keys(table, named, pieces, seams), "left_anti")
         table = write_and_reread(kept.unionByName(redone), "states")
 
 
-def quota(admissions: DataFrame, keys: list[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Per key, the headers after its last request: limit, remaining requests and reset time."""
-    last = F.max_by(F.struct("remaining", "reset_at"), F.struct("_ts", "_id"))
-    named = admissions.withColumnsRenamed({admissions.columns[len(keys)]: "_id", admissions.columns[len(keys) + 1]: "_ts"})
+def quota(admissions: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Per key, the headers after its last request: limit (its own, or ``limit`` for all), remaining requests and reset time."""
+    last = F.max_by(F.struct("remaining", "reset_at", "_limit"), F.struct("_ts", "_id"))
+    named = admissions.withColumnsRenamed({admissions.columns[len(keys)]: "_id", admissions.columns[len(keys) + 1]: "_ts", "limit": "_limit"})
     return named.groupBy(*[c(k) for k in keys]).agg(last.alias("q")).select(
-        *[c(k) for k in keys], F.lit(limit).alias("limit"), "q.remaining", "q.reset_at"
+        *[c(k) for k in keys], (F.col("q._limit") if limit is None else F.lit(limit)).alias("limit"), "q.remaining", "q.reset_at"
     )
 
 

@@ -11,13 +11,14 @@ from tabguard.plans.lookups import lookup_join
 from tabguard.schema import c, percent, require_columns
 from tabguard.session import write_and_reread
 
-# Risk level and advice by the number of satisfied checks.
+# Risk level by the number of satisfied checks.
 RISK_LEVELS = {3: "LOW", 2: "MEDIUM", 1: "HIGH", 0: "CRITICAL"}
+# Own advice for each level.
 RISK_ADVICE = {
-    3: "Dataset is safe to share with strong privacy guarantees",
-    2: "Review violations and consider regenerating with stricter parameters",
-    1: "Regenerate data with stronger privacy settings",
-    0: "DO NOT SHARE - multiple severe privacy violations detected",
+    3: "All three checks hold: fit for release under the usual agreements",
+    2: "One check fails: look at the groups listed before any release",
+    1: "Two checks fail: coarsen the identifying columns or synthesise again",
+    0: "No check holds: keep the table inside",
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,27 +24,39 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
 
     Values are counted with a map-side sum, so no task ever holds a column's value set.
     """
+    kinds = {f.name: f.dataType for f in df.schema}
     numeric = set(numeric_columns(df))
+    none = F.lit(None)
     cells = F.array(
         *[
             F.struct(
                 F.lit(n).alias("column"),
-                (as_double(n) if n in numeric else F.lit(None).cast("double")).alias("number"),
-                (F.lit(None).cast("string") if n in numeric else c(n).cast("string")).alias("text"),
+                # Numbers are ordered as numbers and, where a double can't tell them apart, as integers.
+                (as_double(n) if n in numeric else none.cast("double")).alias("number"),
+                (c(n).cast("decimal(38,0)") if isinstance(kinds[n], T.IntegralType) else none.cast("decimal(38,0)")).alias("whole"),
+                c(n).cast("string").alias("text"),
             )
             for n in columns
         ]
     )
     counted = (
-        df.select(F.inline(cells))
-        .filter(F.col("number").isNotNull() | F.col("text").isNotNull())
-        .groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(cells)).filter(F.col("text").isNotNull())
+        .groupBy("column", "number", "whole", "text").agg(F.count(F.lit(1)).alias("n"))
     )
     best = counted.groupBy("column").agg(
-        F.min_by(F.struct("number", "text"), F.struct(-F.col("n"), F.col("number"), F.col("text"))).alias("best")
+        F.min_by("text", F.struct(-F.col("n"), F.col("number"), F.col("whole"), F.col("text"))).alias("best")
     )
     found = {r["column"]: r["best"] for r in best.collect()}
-    return {n: (found[n]["number"] if n in numeric else found[n]["text"]) for n in columns if n in found}
+    return {n: _typed(found[n], kinds[n]) for n in columns if n in found}
+
+
+def _typed(text: str, kind: T.DataType):
+    """A value's text in the Python type of its column."""
+    if isinstance(kind, T.IntegralType):
+        return int(text)
+    if isinstance(kind, T.DecimalType):
+        return Decimal(text)
+    return float(text) if isinstance(kind, T.FractionalType) else text
 
 
 def clean_table(

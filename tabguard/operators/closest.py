@@ -59,7 +59,7 @@ def closest_distances(
     asked = synth.select(*scaled).na.drop("any").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     asked = write_and_reread(asked, "asked")
     limit = max(1, broadcast_bytes // (8 * len(names)))
-    if points.limit(limit + 1).count() <= limit:
+    if points.count() <= limit:
         return _against_broadcast(points, asked, names)
     return _against_cells(points, asked, names, group_points)
 
@@ -167,14 +167,17 @@ def _against_cells(points: DataFrame, asked: DataFrame, names: list[str], group_
     """
     total = points.count()
     depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(total / group_points))))
-    sample = points.orderBy(F.xxhash64(*names)).limit(SAMPLE_POINTS).toPandas().to_numpy(dtype=float)
+    # A hash threshold takes about SAMPLE_POINTS points without sorting anything.
+    share = min(1.0, SAMPLE_POINTS / total)
+    chosen = points if share == 1.0 else points.filter(F.pmod(F.xxhash64(F.lit("cells"), *names), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = chosen.toPandas().to_numpy(dtype=float)
     tree = SplitTree(sample, depth)
 
     def assign(batches):
         for pdf in batches:
             yield pdf.assign(cell=tree.cell(pdf[names].to_numpy(dtype=float)).astype("int32"))
 
-    real_cells = points.mapInPandas(assign, _schema(names, "cell int"))
+    real_cells = write_and_reread(points.mapInPandas(assign, _schema(names, "cell int")), "cells")
     real_size, low, high = _cell_table(real_cells, 1 << depth, names)
     boxes = tree.boxes(low, high)
 
@@ -195,7 +198,7 @@ def _against_cells(points: DataFrame, asked: DataFrame, names: list[str], group_
                 row, cell = row[keep], cell[keep]
                 yield part.iloc[row][[*names, "n"]].assign(bound=reach[row], cell=cell.astype("int32"))
 
-    more = first.mapInPandas(others, _schema(names, "n long", "bound double", "cell int"))
+    more = write_and_reread(first.mapInPandas(others, _schema(names, "n long", "bound double", "cell int")), "candidates")
     more_size, _, _ = _cell_table(more, 1 << depth)
     second = _search_groups(real_cells, more, names, real_size, more_size, group_points)
     return _best(first.unionByName(second), names)

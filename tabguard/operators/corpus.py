@@ -13,7 +13,7 @@ from tabguard.session import write_and_reread
 MIN_PAGE_CHARS = 50
 # Usual constants of the BM25 ranking.
 BM25_K1, BM25_B = 1.2, 0.75
-EMPTY_CORPUS = "No documents have been uploaded."
+EMPTY_CORPUS = "The corpus holds no pages yet."
 
 
 def strip(text: Column) -> Column:
@@ -133,7 +133,7 @@ def highlight_segments(documents: DataFrame, highlights: DataFrame, piece_rows:
     starts behind the end of the one before it. Offsets count from 0.
     """
     order = ["start", "highlight_id"]
-    chained = previous_in_groups(highlights, ["doc_id"], order, F.col("end"), "before", F.col("start").cast("double"), piece_rows)
+    chained = previous_in_groups(highlights, ["doc_id"], order, F.col("end"), "before", piece_rows)
     chained = chained.withColumn("before", F.coalesce("before", F.lit(0)))
     # Each part is a pair of offsets; texts are joined last, and only their slices travel on.
     gap = F.when(

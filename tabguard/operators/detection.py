@@ -18,6 +18,7 @@ CLINICAL_RULES = {
     "diastolic_bp": (40.0, 140.0, "gaussian", "mmHg"),
     "bmi": (10.0, 60.0, "lognorm", "kg/m2"),
 }
+# Pattern of a diagnosis code, names of quasi-identifiers.
 ICD10_PATTERN = r"^[A-Z][0-9][0-9AB](?:\.[0-9A-K]{1,4})?$"
 QUASI_IDENTIFIER_NAMES = ("Age", "Gender", "ZipCode", "ZIP", "Race", "Ethnicity")
 LOW_CARDINALITY = 20

@@ -67,8 +67,7 @@ def current_rows(changes: DataFrame, payload: list[str], key: str = "id") -> Dat
 def rejected_changes(changes: DataFrame, key: str = "id", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Updates and deletes of ids that were not live at that moment (unknown or deleted)."""
     decides = F.when(F.col("op").isin("add", "delete"), F.col("op"))
-    position = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    found = previous_in_groups(changes, [key], ["ts", "seq"], decides, "_state", position, piece_rows)
+    found = previous_in_groups(changes, [key], ["ts", "seq"], decides, "_state", piece_rows)
     dead = F.coalesce(F.col("_state") != "add", F.lit(True))
     return found.filter(F.col("op").isin("update", "delete") & dead).drop("_state")
 
@@ -86,7 +85,7 @@ def annotations_per_graph(annotations: DataFrame) -> DataFrame:
 
 def saved_sessions(sessions: DataFrame) -> DataFrame:
     """Saved sessions, newest first, with a readable title."""
-    title = F.initcap(F.regexp_replace("name", "[_-]+", " "))
+    title = F.initcap(F.replace("name", F.lit("_"), F.lit(" ")))
     return sessions.withColumn("title", title).orderBy(F.desc("saved_at"), "name")
 
 
@@ -100,12 +99,13 @@ def fork(configs: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def lineage(forks: DataFrame, max_rounds: int = 32) -> DataFrame:
+def lineage(forks: DataFrame) -> DataFrame:
     """``(experiment_id, root_id, depth)`` from ``(experiment_id, parent_id)``, parent null for originals.
 
     Each round doubles the distance every row looks up, so a chain of length n takes log2(n) joins.
     Only rows that have not reached a root are joined, and a much-forked ancestor is served from a
-    broadcast (see :func:`lookup_join`).
+    broadcast (see :func:`lookup_join`). A row whose chain runs into a circle has no root: root and
+    depth are null. No chain is longer than the table, so that what is open after log2(rows) rounds is that.
     """
     known = F.col("parent_id").isNotNull()
     state = forks.select(
@@ -113,7 +113,7 @@ def lineage(forks: DataFrame, max_rounds: int = 32) -> DataFrame:
         (~known).alias("done"),
     )
     state = write_and_reread(state, "lineage")
-    for _ in range(max_rounds):
+    for _ in range(state.count().bit_length() + 1):
         if state.filter(~F.col("done")).isEmpty():
             break
         table = state.select(
@@ -124,4 +124,4 @@ def lineage(forks: DataFrame, max_rounds: int = 32) -> DataFrame:
             (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), F.coalesce("ends", F.lit(True)).alias("done"),
         )
         state = write_and_reread(state.filter("done").unionByName(stepped), "lineage")
-    return state.select("experiment_id", "root_id", "depth")
+    return state.select("experiment_id", F.when(F.col("done"), F.col("root_id")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))

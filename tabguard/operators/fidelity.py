@@ -28,13 +28,13 @@ def numeric_summary(real: DataFrame, synth: DataFrame, exact: bool = True) -> Da
     def measure(df, names):
         if not names:
             return {}
-        how = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-        row = df.agg(*[how[m](as_double(n)).alias(f"{m}{i}") for i, n in enumerate(names) for m in moments]).first()
-        return {n: {m: row[f"{m}{i}"] for m in moments} for i, n in enumerate(names)}
+        how = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "n": F.count}
+        row = df.agg(*[how[m](as_double(n)).alias(f"{m}{i}") for i, n in enumerate(names) for m in how]).first()
+        return {n: {m: row[f"{m}{i}"] for m in how} for i, n in enumerate(names)}
 
     of_real, of_synth = measure(real, columns), measure(synth, common)
     if exact:
-        quartiles = exact_quantiles(synth, common, QUARTILES)
+        quartiles = exact_quantiles(synth, common, QUARTILES, rows={n: of_synth[n]["n"] for n in common})
     elif common:
         row = synth.agg(*[F.percentile_approx(as_double(n), QUARTILES, 10_000).alias(f"q{i}") for i, n in enumerate(common)]).first()
         quartiles = {n: list(row[f"q{i}"] or [None] * 3) for i, n in enumerate(common)}
@@ -68,6 +68,8 @@ def categorical_summary(real: DataFrame, synth: DataFrame, top: int = 5) -> Data
     Ranking keeps ``top`` rows per task before its shuffle, so a column of unique strings is fine.
     """
     columns = string_columns(real)
+    if not columns:
+        return real.sparkSession.createDataFrame([], "side string, column string, rank int, value string, percentage double, distinct_values long")
     counts = _value_counts(real, synth, columns)
     totals = counts.groupBy("side", "column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_values"))
     order = Window.partitionBy("side", "column").orderBy(F.desc("n"), "value")
@@ -79,8 +81,13 @@ def categorical_summary(real: DataFrame, synth: DataFrame, top: int = 5) -> Data
 
 
 def histogram(real: DataFrame, synth: DataFrame, bins: int = 30) -> DataFrame:
-    """Counts per side, numeric column and bin over the joint range; empty bins are listed."""
+    """Counts per side, numeric column and bin over the joint range; empty bins are listed.
+
+    A column that ``synth`` lacks has one row with null bin and count.
+    """
     columns = [n for n in numeric_columns(real) if n in synth.columns]
+    absent = real.sparkSession.createDataFrame(
+        [("synth", n, None, None, None, None) for n in numeric_columns(real) if n not in columns], "side string, column string, bin int, low double, high double, n long")
     ranges = [
         df.agg(*[f(as_double(n)).alias(f"{a}{i}") for i, n in enumerate(columns) for a, f in (("lo", F.min), ("hi", F.max))]).first()
         for df in (real, synth)
@@ -108,25 +115,29 @@ def histogram(real: DataFrame, synth: DataFrame, bins: int = 30) -> DataFrame:
     ]
     scaffold = spark.createDataFrame(frame, schema)
     if not bounds:
-        return scaffold.withColumn("n", F.lit(0).cast("long"))
+        return scaffold.withColumn("n", F.lit(0).cast("long")).unionByName(absent)
     counts = cells(real, "real").unionByName(cells(synth, "synth")).groupBy("side", "column", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return scaffold.join(F.broadcast(counts), ["side", "column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return scaffold.join(F.broadcast(counts), ["side", "column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0))).unionByName(absent)
 
 
 def correlation(real: DataFrame, synth: DataFrame, pairs_per_scan: int = 500) -> DataFrame:
-    """Pearson correlation of every column pair on both sides, and the absolute difference.
+    """Pearson correlation of every column pair of ``real`` on both sides, and the absolute difference.
+
+    A pair with a column that ``synth`` lacks has a null correlation there, and a null difference.
 
     One scan per side for up to ``pairs_per_scan`` pairs; wide tables take several scans, as
     one aggregate with thousands of expressions would leave generated code.
     """
-    columns = [n for n in numeric_columns(real) if n in synth.columns]
+    columns = numeric_columns(real)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
 
     def matrix(df, side):
         parts = []
         for start in range(0, len(pairs), pairs_per_scan):
             chunk = pairs[start:start + pairs_per_scan]
-            wide = df.agg(*[pearson(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+            here = [a in df.columns and b in df.columns for a, b in chunk]
+            wide = df.agg(*[pearson(as_double(a), as_double(b)).alias(f"r{i}") if ok else F.lit(None).cast("double").alias(f"r{i}")
+                            for i, ((a, b), ok) in enumerate(zip(chunk, here))])
             parts.append(melt_row(wide, [
                 {"col_a": F.lit(a), "col_b": F.lit(b), side: F.col(f"r{i}")} for i, (a, b) in enumerate(chunk)
             ]))

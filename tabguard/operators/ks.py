@@ -24,14 +24,16 @@ def ks_p_value(statistic: Column, n_real: Column, n_synth: Column) -> Column:
 
 
 def ks_test(real: DataFrame, synth: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row per numeric column both tables have: D, p and whether p > ``alpha``.
+    """One row per numeric column of ``real``: D, p and whether p > ``alpha``; nulls for a column that ``synth`` lacks.
 
     Equal values are merged (map-side) into one row with a count per side. The running counts
     come from buckets of the value range plus offsets, so no column is sorted in one task.
     """
     columns = [n for n in numeric_columns(real) if n in synth.columns]
+    absent = real.sparkSession.createDataFrame(
+        [(n, None, None, None) for n in numeric_columns(real) if n not in columns], "column string, ks_statistic double, p_value double, similar boolean")
     if not columns:
-        return real.sparkSession.createDataFrame([], "column string, ks_statistic double, p_value double, similar boolean")
+        return absent
     cuts = cut_points(real, columns)
     both = (
         long_values(real, columns, cuts).withColumn("r", F.lit(1)).withColumn("s", F.lit(0))
@@ -49,4 +51,4 @@ def ks_test(real: DataFrame, synth: DataFrame, alpha: float = 0.05) -> DataFrame
     name = F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("column") + 1)
     return worst.withColumn("p", p).select(
         name.alias("column"), F.round("d", 4).alias("ks_statistic"), F.round("p", 4).alias("p_value"), (F.col("p") > alpha).alias("similar")
-    )
+    ).unionByName(absent)

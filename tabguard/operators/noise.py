@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +34,9 @@ class Budget:
 
     def __post_init__(self):
         if self.epsilon <= 0:
-            raise ValueError(f"epsilon must be positive, got {self.epsilon}")
+            raise ValueError(f"a budget needs an epsilon above 0; {self.epsilon} is not")
         if not 0 <= self.delta < 1:
-            raise ValueError(f"delta must be in [0, 1), got {self.delta}")
+            raise ValueError(f"a budget's delta is a probability below 1; {self.delta} is not")
         if self.mechanism not in MECHANISMS:
             raise ValueError(f"mechanism must be one of {MECHANISMS}")
         if self.mechanism == "gaussian" and self.delta == 0:
@@ -98,23 +99,26 @@ def noise_ledger(
     )
 
 
-def add_noise(df: DataFrame, ledger: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
+def add_noise(df: DataFrame, ledger: DataFrame, key: list[str], seed: int | None = None) -> DataFrame:
     """Noise every column of ``ledger`` by its scale; nulls stay null, other columns stay as they are.
 
-    The ledger has one row per column, so its scales come to the driver and the noise is one projection.
+    The noise of a row is a keyed SHA-256 of its ``key``, so that a lost task repeats it. The secret
+    is drawn anew for each call and kept nowhere: nobody who knows the rows' keys can subtract the
+    noise. A ``seed`` makes it repeatable, and public: for tests only. The ledger has one row per column, so its scales come to the driver and the noise is one projection.
     """
     require_columns(df, key)
     keys = [c(n) for n in key]
+    secret = secrets.token_hex(32) if seed is None else f"seed {seed}"
     noised = {}
     for row in ledger.select("column", "noise_scale", "mechanism").collect():
         draw = randoms.laplace if row["mechanism"] == "laplace" else randoms.normal
         n = row["column"]
-        noised[n] = (as_double(n) + draw(seed, f"noise/{n}", *keys) * F.lit(row["noise_scale"])).alias(n)
+        noised[n] = (as_double(n) + draw(secret, f"noise/{n}", *keys) * F.lit(row["noise_scale"])).alias(n)
     return df.select(*[noised.get(n, c(n)) for n in df.columns])
 
 
 def noisy_column(
-    df: DataFrame, column: str, budget: Budget, key: list[str], sensitivity: float | None = None, epsilon_fraction: float = 1.0, seed: int = 0
+    df: DataFrame, column: str, budget: Budget, key: list[str], sensitivity: float | None = None, epsilon_fraction: float = 1.0, seed: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The table with one noised column, and its ledger row."""
     given = {} if sensitivity is None else {column: sensitivity}

@@ -56,7 +56,7 @@ def fit_sequences(df: DataFrame, sequence_key: str, sequence_index: str | None =
     correlation = score_correlation(scored, d)
     lagged = lag_in_groups(
         scored, ["_key"], ["_position", *[f"z{i}" for i in range(d)]],
-        {"_before": "_position", **{f"p{i}": f"z{i}" for i in range(d)}}, F.col("_position"), piece_rows,
+        {"_before": "_position", **{f"p{i}": f"z{i}" for i in range(d)}}, piece_rows,
     )
     persistence = [0.0] * d
     if d:

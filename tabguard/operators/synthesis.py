@@ -136,7 +136,7 @@ def fit_knots(df: DataFrame, columns: list[str], counts: dict[str, int]) -> dict
     probabilities = [k / KNOTS for k in range(KNOTS + 1)]
     filled = [n for n in columns if counts[n] > 0]
     # The place of a probability: the first value that this share of the values doesn't exceed.
-    places = {n: [max(1, math.ceil(counts[n] * k / KNOTS)) - 1 for k in range(KNOTS + 1)] for n in filled}
+    places = {n: [max(1, math.ceil(k / KNOTS * counts[n])) - 1 for k in range(KNOTS + 1)] for n in filled}
     values = values_at_ranks(df, {n: sorted(set(at)) for n, at in places.items()}, counts)
     found = {n: ([values[n][r] for r in places[n]], normal_scores(probabilities, counts[n])) for n in filled}
     return {n: found.get(n, ([], [])) for n in columns}
@@ -154,8 +154,11 @@ def category_table(df: DataFrame, columns: list[str]) -> DataFrame:
         df.select(F.inline(cells)).filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("place", place)
-        .withColumn("bucket", F.shiftright("place", 54))
     )
+    counted = write_and_reread(counted, "category-counts")
+    # Buckets of hash order with about a hundred thousand categories each, 1,024 at least.
+    bits = max(10, (counted.count() // 100_000).bit_length())
+    counted = counted.withColumn("bucket", F.shiftright("place", 64 - bits))
     running = running_totals(counted, {"upto": "n"}, [F.col("place"), F.col("value")], ["column"])
     totals = counted.groupBy("column").agg(F.sum("n").alias("total"))
     below, upto = (F.col("upto") - F.col("n")) / F.col("total"), F.col("upto") / F.col("total")
@@ -284,7 +287,7 @@ def modelled_columns(roles: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def fit_copula(
-    df: DataFrame, epsilon: float | None = None, key: list[str] | None = None, seed: int = 0, method: str = "GaussianCopula"
+    df: DataFrame, epsilon: float | None = None, key: list[str] | None = None, seed: int | None = None, method: str = "GaussianCopula"
 ) -> CopulaModel:
     """Fit marginals (one scan each for numbers and categories) and the correlation of normal scores.
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tabguard.operators import closest, fidelity, ks, leakage, sequences, synthesis
 from tabguard.operators.cleaning import clean_table
 from tabguard.operators.constraints import Profile, apply_profile, compliance_report
-from tabguard.operators.detection import analyze_columns, distinct_counts
-from tabguard.operators.noise import Budget, noise_ledger
+from tabguard.operators.detection import analyze_columns, column_roles, distinct_counts
+from tabguard.operators.noise import Budget, add_noise, noise_ledger
 from tabguard.schema import c, numeric_columns
 from tabguard.session import write_and_reread
 
@@ -49,12 +49,19 @@ def run_experiment(spark: SparkSession, real: DataFrame, config: ExperimentConfi
     real = write_and_reread(clean_table(real, missing_strategy=config.missing_strategy), "cleaned")
     results: dict[str, DataFrame] = {}
     if config.method == "PAR":
-        model = sequences.fit_sequences(real, config.sequence_key, config.sequence_index)
+        if config.epsilon is not None:
+            kept = {config.sequence_key, config.sequence_index}
+            noised = [n for n, role in column_roles(real).items() if role == "numerical" and n not in kept]
+            results["ledger"] = write_and_reread(noise_ledger(real, Budget(config.epsilon), noised), "ledger")
+            real_view = write_and_reread(add_noise(real, results["ledger"], real.columns), "noised")
+        else:
+            real_view = real
+        model = sequences.fit_sequences(real_view, config.sequence_key, config.sequence_index)
         synth = sequences.sample_sequences(spark, model, config.num_rows, config.seed)
         if profile is not None:
             synth = apply_profile(synth, profile, seed=config.seed)
     else:
-        model = synthesis.fit_copula(real, epsilon=config.epsilon, seed=config.seed, method=config.method)
+        model = synthesis.fit_copula(real, epsilon=config.epsilon, method=config.method)
         if config.epsilon is not None:
             noised = [n for n, role, _ in model.columns if role == "numerical"]
             results["ledger"] = noise_ledger(real, Budget(config.epsilon), noised)

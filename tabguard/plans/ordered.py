@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tabguard.plans.sketches import even_cuts, finite
 from tabguard.schema import as_double, c
+from tabguard.session import write_and_reread
 
-#: Upper bound of the groups that are ever treated as hot; any other group holds < 1/HOT_GROUPS of the rows.
-HOT_GROUPS = 10_000
+#: Large groups whose keys are sent to every task; more are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 #: Rows a group may have before it is cut into pieces.
 PIECE_ROWS = 1_000_000
 
@@ -107,43 +109,35 @@ def running_totals(
     )
 
 
-def with_pieces(
-    df: DataFrame, keys: list[str], position: Column, piece_rows: int = PIECE_ROWS, pieces: int = 128
-) -> tuple[DataFrame, bool]:
-    """Cut groups of more than ``piece_rows`` rows into consecutive pieces along ``position``.
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> Column:
+    """Null-safe equality of the ``keys`` of one side and the columns ``names`` of the other."""
+    return reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`{n}`"]) for k, n in zip(keys, names)])
 
-    Adds ``_piece`` (0 for all other groups, from 1 for cut ones; some numbers may be unused) and
-    tells whether any group was cut. The cut table holds at most HOT_GROUPS rows of ``pieces``
-    numbers, and is therefore broadcast.
+
+def with_pieces(df: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, bool]:
+    """Cut groups of more than ``piece_rows`` rows into consecutive pieces in ``order``.
+
+    Adds ``_piece`` (0 for all other groups, from 1 for cut ones, rising with ``order`` inside a
+    group; some numbers may be unused) and tells whether any group was cut. The rows of large groups
+    are dealt out by ranges of keys and order, so that neither the number of groups nor that of pieces
+    is limited, null keys are keys like any other, and rows of one moment are cut by what follows in
+    ``order``. They are written, which fixes the pieces for all later reads.
     """
-    key_columns = [c(k) for k in keys]
-    hot = (
-        df.groupBy(*key_columns)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > piece_rows)
-        .orderBy(F.desc("_rows"), *key_columns)
-        .limit(HOT_GROUPS)
-    )
-    hot_rows = hot.collect()
-    if not hot_rows:
+    sizes = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > piece_rows)
+    names = [f"_hot{i}" for i in range(len(keys))]
+    hot = write_and_reread(sizes.select(*[c(k).alias(n) for k, n in zip(keys, names)], "_rows"), "large-groups")
+    found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
+    if not found["groups"]:
         return df.withColumn("_piece", F.lit(0)), False
-    hot_table = df.sparkSession.createDataFrame(hot_rows, hot.schema).drop("_rows")
-    largest = max(r["_rows"] for r in hot_rows)
-    pieces = max(2, min(pieces, math.ceil(2 * largest / piece_rows)))
-    probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = (
-        df.withColumn("__place", position)
-        .join(F.broadcast(hot_table), keys, "left_semi")
-        .groupBy(*key_columns)
-        .agg(F.percentile_approx("__place", probabilities, 10 * pieces).alias("_cuts"))
-    )
-    joined = df.withColumn("__place", position).join(F.broadcast(cuts), keys, "left")
-    piece = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("__place")))
-    return (
-        joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece + 1))
-        .drop("_cuts", "__place"),
-        True,
-    )
+    hot = hot.drop("_rows")
+    if found["groups"] <= BROADCAST_GROUPS:
+        hot = F.broadcast(hot)
+    pieces = math.ceil(2 * found["rows"] / piece_rows)
+    large = df.join(hot, same_keys(df, hot, keys, names), "left_semi")
+    dealt = large.repartitionByRange(pieces, *[c(k) for k in keys], *[c(o) for o in order])
+    cut = write_and_reread(dealt.withColumn("_piece", F.spark_partition_id() + 1), "pieces")
+    rest = df.join(hot, same_keys(df, hot, keys, names), "left_anti").withColumn("_piece", F.lit(0))
+    return rest.unionByName(cut), True
 
 
 def previous_in_groups(
@@ -152,16 +146,14 @@ def previous_in_groups(
     order: list[str],
     value: Column,
     out: str,
-    position: Column,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """``out``: the last non-null ``value`` strictly before each row of its group in ``order``.
 
-    ``position`` is a number that rises with ``order``; hot groups are cut along it and stitched
-    at the seams.
+    Hot groups are cut along the order and stitched at the seams.
     """
     key_columns = [c(k) for k in keys]
-    pieced, cut = with_pieces(df.withColumn("_value", value), keys, position, piece_rows)
+    pieced, cut = with_pieces(df.withColumn("_value", value), keys, order, piece_rows)
     before = Window.partitionBy(*key_columns, "_piece").orderBy(*[c(o) for o in order])
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     local = pieced.withColumn(out, F.last("_value", ignorenulls=True).over(before))
@@ -169,15 +161,16 @@ def previous_in_groups(
         return local.select(*[c(n) for n in df.columns], c(out))
     seams = Window.partitionBy(*key_columns).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*[c(o) for o in order])
+    names = [f"_seam{i}" for i in range(len(keys))]
+    # One row for each piece and group.
     carried = (
         pieced.filter(F.col("_piece") > 0)
         .groupBy(*key_columns, "_piece")
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), place)).alias("_last"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(seams))
-        .select(*key_columns, "_piece", "_carry")
+        .select(*[c(k).alias(n) for k, n in zip(keys, names)], F.col("_piece").alias("_seam"), "_carry")
     )
-    # At most HOT_GROUPS x pieces rows.
-    joined = local.join(F.broadcast(carried), [*keys, "_piece"], "left")
+    joined = local.join(carried, same_keys(local, carried, keys, names) & (local["_piece"] == carried["_seam"]), "left")
     return joined.select(*[c(n) for n in df.columns], F.coalesce(c(out), F.col("_carry")).alias(out))
 
 
@@ -186,10 +179,9 @@ def lag_in_groups(
     keys: list[str],
     order: list[str],
     values: dict[str, str],
-    position: Column,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Previous row's ``values`` (output name -> column) inside each group, null for its first row."""
     row = F.struct(*[c(source).alias(out) for out, source in values.items()])
-    found = previous_in_groups(df, keys, order, row, "_previous", position, piece_rows)
+    found = previous_in_groups(df, keys, order, row, "_previous", piece_rows)
     return found.select(*[c(n) for n in df.columns], *[F.col("_previous").getField(out).alias(out) for out in values])

@@ -39,8 +39,11 @@ def load_table(spark: SparkSession, source: str, format: str | None = None, **op
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """UTF-8 CSV with a header. Pass ``schema`` for large inputs: inference costs one more scan."""
-    options = {"header": True, "encoding": "UTF-8", "inferSchema": schema is None, **options}
+    """UTF-8 CSV with a header, quotes doubled inside quotes. Pass ``schema`` for large inputs: inference costs one more scan.
+
+    Values with line breaks need ``multiLine=True``, which reads each file in one task.
+    """
+    options = {"header": True, "encoding": "UTF-8", "escape": '"', "inferSchema": schema is None, **options}
     df = spark.read.csv(path, schema=schema, **options)
     if not df.columns or df.isEmpty():
         raise ValueError(f"CSV source is empty: {path}")
@@ -198,6 +201,8 @@ class _open_ipc:
         from pyarrow import fs
 
         uri = re.sub(r"^file:/+", "/", self.uri)
+        # Hadoop's names of S3 are Arrow's s3.
+        uri = re.sub(r"^s3[an]:", "s3:", uri)
         system, path = (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
         self.file = system.open_input_file(path)
         return pa.ipc.open_file(self.file)

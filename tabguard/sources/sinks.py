@@ -20,7 +20,7 @@ def write_dataset(
         # One shuffle puts a value into few files; AQE splits a value that holds very many rows.
         writer = df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by)
     if format == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, escape='"')
     elif format == "parquet":
         writer.parquet(path)
     else:

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare, duck
+from workload import all_queries, all_sql
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -20,14 +21,15 @@ def con():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(all_queries()) - set(all_sql()) == WITHOUT_SQL
+    assert set(all_queries()) <= set(contract.queries()) and set(all_sql()) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
     message, rows, _ = compare(spark, con, name, contract.queries()[name], contract.oracle_sql().get(name), SF)
     assert message is None

@@ -50,6 +50,14 @@ def test_noise_keeps_nulls_and_is_repeatable(spark):
     assert noisy.exceptAll(again).count() == 0
 
 
+def test_noise_is_secret_unless_seeded(spark):
+    df = spark.range(200).select("id", F.lit(100.0).alias("x"))
+    ledger = noise.noise_ledger(df, noise.Budget(1.0), ["x"], {"x": 1.0})
+    one, two = (noise.add_noise(df, ledger, ["id"]) for _ in range(2))
+    assert one.join(two.withColumnRenamed("x", "y"), "id").filter("x = y").count() == 0
+    assert one.exceptAll(one.repartition(7)).count() == 0
+
+
 @pytest.mark.parametrize("arguments", [(0,), (-1,), (1, -0.1), (1, 1.0), (1, 0.1, "other"), (1, 0, "gaussian")])
 def test_bad_budgets(arguments):
     with pytest.raises(ValueError):

@@ -87,19 +87,55 @@ def log(spark, n=3000):
 def test_lag_and_last_value_over_cut_groups(spark, piece_rows):
     df = log(spark)
     order = Window.partitionBy("k").orderBy("t", "i")
-    got = lag_in_groups(df, ["k"], ["t", "i"], {"before": "t"}, F.col("t").cast("double"), piece_rows)
+    got = lag_in_groups(df, ["k"], ["t", "i"], {"before": "t"}, piece_rows)
     assert got.exceptAll(df.withColumn("before", F.lag("t").over(order))).count() == 0
     last = F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    got = previous_in_groups(df, ["k"], ["t", "i"], F.col("v"), "seen", F.col("t").cast("double"), piece_rows)
+    got = previous_in_groups(df, ["k"], ["t", "i"], F.col("v"), "seen", piece_rows)
     assert got.count() == df.count() and got.exceptAll(df.withColumn("seen", last)).count() == 0
 
 
 def test_pieces_are_even_and_ordered(spark):
-    pieced, cut = with_pieces(log(spark), ["k"], F.col("t").cast("double"), 100)
+    pieced, cut = with_pieces(log(spark), ["k"], ["t", "i"], 100)
     assert cut
     spans = pieced.filter("k = 'hot'").groupBy("_piece").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).orderBy("_piece").collect()
     assert len(spans) > 5 and max(s.n for s in spans) < 200
-    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+    assert all(x.b <= y.a for x, y in zip(spans, spans[1:]))
+
+
+def test_pieces_of_null_keys_single_moments_and_many_pieces(spark):
+    null_key = spark.range(8000).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("t"), F.col("id").alias("i"))
+    other = spark.range(100).select(F.lit("b").alias("k"), F.lit(1).alias("t"), F.col("id").alias("i"))
+    df = null_key.unionByName(other)
+    pieced, cut = with_pieces(df, ["k"], ["t", "i"], 50)
+    sizes = pieced.groupBy("k", "_piece").agg(F.count("*").alias("n"), F.min("i").alias("a"), F.max("i").alias("b")).orderBy("a").collect()
+    assert cut and pieced.count() == df.count()
+    null_sizes = [r for r in sizes if r.k is None]
+    assert len(null_sizes) > 128 and max(r.n for r in null_sizes) <= 150
+    assert all(x.b < y.a and x["_piece"] < y["_piece"] for x, y in zip(null_sizes, null_sizes[1:]))
+    got = lag_in_groups(df, ["k"], ["t", "i"], {"before": "i"}, 50)
+    assert got.exceptAll(df.withColumn("before", F.lag("i").over(Window.partitionBy("k").orderBy("t", "i")))).count() == 0
+
+
+def test_lookup_join_spreads_null_keys(spark):
+    facts = spark.range(8000).select(F.when(F.col("id") % 4 == 0, F.lit("a")).alias("k"), F.col("id").alias("i"))
+    table = spark.createDataFrame([("a", 5, "x" * 50), ("b", 1, None)], "k string, uses long, text string")
+    joined = lookup_join(facts, table, ["k"], "uses", ["text"])
+    assert joined.exceptAll(facts.join(table.select("k", "text"), "k", "left").select("k", "i", "text")).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = lookup_join(facts, table, ["k"], "uses", ["text"]).filter("k is null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) >= 6 and max(r["count"] for r in held) < 2000
+
+
+def test_lookup_join_keeps_large_documents_out_of_the_broadcast(spark):
+    table = spark.createDataFrame([("a", 5, "x" * 40_000), ("b", 1, "y")], "k string, uses long, text string")
+    facts = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    found = {r.k: len(r.text or "") for r in lookup_join(facts, table, ["k"], "uses", ["text"]).collect()}
+    assert found == {"a": 40_000, "b": 1, "c": 0}
 
 
 def test_lookup_join_with_hot_keys(spark):

@@ -25,6 +25,19 @@ def test_lineage_of_long_and_wide_families(spark):
     assert rows[199] == (0, 199) and rows[599] == (0, 8) and rows[0] == (0, 0) and len(rows) == 600
 
 
+def test_lineage_reports_circles(spark):
+    rows = [("a", None), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("o", "gone")]
+    found = {r.experiment_id: (r.root_id, r.depth) for r in experiments.lineage(
+        spark.createDataFrame(rows, "experiment_id string, parent_id string")).collect()}
+    assert found == {"a": ("a", 0), "b": ("a", 1), "x": (None, None), "y": (None, None), "z": (None, None), "o": ("gone", 1)}
+
+
+def test_retention_keeps_entries_never_used(spark):
+    rows = [("a", DAY, 1.0, None), ("b", DAY, None, DAY), ("c", DAY, 1024.0 * 5, DAY)]
+    df = spark.createDataFrame(rows, "cache_key string, cached_at timestamp, size_mb double, last_accessed timestamp")
+    assert {r.cache_key: r.action for r in registry.retention_plan(df, DAY).collect()} == {"a": "evict", "b": "keep", "c": "keep"}
+
+
 def test_retention_keeps_the_most_recent(spark):
     entries = [("old", DAY - dt.timedelta(days=31), 10.0, DAY), ("broken", None, 10.0, DAY)] + [
         (f"k{i}", DAY - dt.timedelta(days=1), 1024.0, DAY - dt.timedelta(minutes=i)) for i in range(8)]

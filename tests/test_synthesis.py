@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabguard.functions.randoms import normal
 from tabguard.operators import sequences, synthesis
 from tabguard.operators.constraints import Profile, Range
-from tabguard.operators.registry import fit_or_load
+from tabguard.operators.registry import fit_or_load, registry_rows
 from tabguard.plans.experiment_run import ExperimentConfig, run_experiment
 
 
@@ -41,6 +41,19 @@ def test_sample_is_repeatable_and_model_survives_saving(spark, real, tmp_path):
     assert one.exceptAll(synthesis.sample_rows(spark, model, 300, seed=6)).count() > 250
 
 
+def test_a_broken_save_is_passed_over(spark, real, tmp_path, monkeypatch):
+    def broken(self, spark, path):
+        self.tables(spark)["columns"].write.parquet(f"{path}/columns")
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(synthesis.CopulaModel, "save", broken)
+        with pytest.raises(OSError):
+            fit_or_load(real, str(tmp_path))
+    assert [fit_or_load(real, str(tmp_path))[2] for _ in range(2)] == [False, True]
+    assert registry_rows(spark, str(tmp_path)).count() == 1
+
+
 def test_many_categories_go_through_joins(spark):
     """More categories than are kept as literals, a third of the rows in one of them."""
     df = spark.range(9000).select(

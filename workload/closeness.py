@@ -17,6 +17,11 @@ WITH r AS (SELECT p_size::DOUBLE AS a, p_retailprice AS b FROM part),
      d AS (SELECT p_partkey, min(sqrt((yz.a - rz.a) * (yz.a - rz.a) + (yz.b - rz.b) * (yz.b - rz.b))) AS distance
            FROM yz, rz GROUP BY p_partkey)
 """
+ORDERS_SQL = """
+WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS day, o_totalprice::DOUBLE AS price FROM orders),
+     r AS (SELECT day::DOUBLE AS a, price AS b FROM o),
+     y AS (SELECT o_orderkey AS p_partkey, (day + o_orderkey % 3)::DOUBLE AS a, price + (o_orderkey * 37) % 101 - 50.25 AS b FROM o),
+     m AS""" + PARTS_SQL.split("m AS", 1)[1]
 REPORT_SQL = """
 SELECT round(min(distance), 4) AS min_distance, round(avg(distance), 4) AS mean_distance, round(max(distance), 4) AS max_distance,
        round(median(distance), 4) AS median_distance, round(least(100, avg(distance) * 20), 2) AS privacy_risk_score,
@@ -52,6 +57,16 @@ def closest_record_rows(spark, sf_dir):
     return closest.closest_record_rows(*parts(spark, sf_dir), key=["p_partkey"]).withColumn("distance", F.round("distance", 6))
 
 
+@query(ORDERS_SQL + REPORT_SQL)
+def closest_record_orders(spark, sf_dir):
+    """Every order against every order through the cell search, in two dimensions."""
+    order, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    real = order.select(F.col("o_totalprice").alias("p_retailprice"), day.cast("double").alias("p_size"))
+    synth = order.select((F.col("o_totalprice") + (key * 37) % 101 - 50.25).alias("p_retailprice"), (day + key % 3).cast("double").alias("p_size"))
+    return closest.closest_record_report(real, synth, threshold=0.05, broadcast_bytes=64, group_points=2000)
+
+
 @query()
 def closest_record_lineitem(spark, sf_dir):
     """Four columns of every line item against every line item (SQL would compare all pairs)."""

@@ -150,6 +150,12 @@ def ks_test(spark, sf_dir):
     return ks.ks_test(*pair(spark, sf_dir))
 
 
+@query(KS_SQL.replace("FROM p\n", "FROM p WHERE \"column\" <> 'l_discount'\n") + " UNION ALL SELECT 'l_discount', NULL, NULL, NULL")
+def ks_test_absent_column(spark, sf_dir):
+    real, synth = pair(spark, sf_dir)
+    return ks.ks_test(real, synth.drop("l_discount"))
+
+
 FLIP_SQL = """
 WITH s AS (SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'A' WHEN c_custkey % 50 = 1 THEN NULL ELSE 'B' END AS grp, c_nationkey,
                   c_acctbal * CASE WHEN c_mktsegment = 'FURNITURE' THEN 2 ELSE 1 END AS c_acctbal, c_custkey FROM customer)

@@ -147,10 +147,10 @@ def t_closeness_by_attribute(spark, sf_dir):
 , m AS (SELECT *, CAST(k_ok AS INT) + CAST(l_ok AS INT) + CAST(t_ok AS INT) AS metrics_satisfied FROM checks)
 SELECT k_ok AS satisfies_k_anonymity, l_ok AS satisfies_l_diversity, t_ok AS satisfies_t_closeness, metrics_satisfied,
        CASE metrics_satisfied WHEN 3 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level,
-       CASE metrics_satisfied WHEN 3 THEN 'Dataset is safe to share with strong privacy guarantees'
-            WHEN 2 THEN 'Review violations and consider regenerating with stricter parameters'
-            WHEN 1 THEN 'Regenerate data with stronger privacy settings'
-            ELSE 'DO NOT SHARE - multiple severe privacy violations detected' END AS recommendation
+       CASE metrics_satisfied WHEN 3 THEN 'All three checks hold: fit for release under the usual agreements'
+            WHEN 2 THEN 'One check fails: look at the groups listed before any release'
+            WHEN 1 THEN 'Two checks fail: coarsen the identifying columns or synthesise again'
+            ELSE 'No check holds: keep the table inside' END AS recommendation
 FROM m
 """)
 def privacy_audit(spark, sf_dir):

@@ -46,6 +46,15 @@ def load_csv_compressed(spark, sf_dir):
     return loader.load_table(spark, path)
 
 
+@query("""SELECT s_suppkey, s_name || ' "' || s_nationkey || '", ' || chr(92) || 'x' AS quoted FROM supplier""")
+def load_csv_quotes(spark, sf_dir):
+    """Quotes, separators and backslashes inside values survive the sink and the loader."""
+    quoted = F.concat("s_name", F.lit(' "'), F.col("s_nationkey").cast("string"), F.lit('", \\x'))
+    path = scratch_path(spark, "quotes")
+    sinks.write_dataset(table(spark, sf_dir, "supplier").select("s_suppkey", quoted.alias("quoted")), path, "csv")
+    return loader.load_csv(spark, path, schema="s_suppkey long, quoted string")
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def load_json_lines(spark, sf_dir):
     path = scratch_path(spark, "supplier") + ".json"
@@ -208,6 +217,16 @@ def impute_mode(spark, sf_dir):
     return cleaning.clean_table(dirty(spark, sf_dir), missing_strategy="mode")
 
 
+@query("""
+WITH big AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 9007199254740993 + c_nationkey % 4 END AS big FROM customer)
+SELECT c_custkey, coalesce(big, (SELECT big FROM big WHERE big IS NOT NULL GROUP BY big ORDER BY count(*) DESC, big LIMIT 1)) AS big FROM big
+""")
+def impute_mode_long(spark, sf_dir):
+    """Whole numbers that a double can't tell apart."""
+    big = F.when(F.col("c_custkey") % 5 != 0, F.lit(9007199254740993) + F.col("c_nationkey") % 4)
+    return cleaning.clean_table(table(spark, sf_dir, "customer").select("c_custkey", big.alias("big")), missing_strategy="mode")
+
+
 @query(DIRTY_SQL + """
 SELECT 'c_nationkey' AS "column", count(*) FILTER (c_nationkey IS NULL) AS missing FROM dirty
 UNION ALL SELECT 'c_acctbal', count(*) FILTER (c_acctbal IS NULL) FROM dirty

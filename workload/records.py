@@ -145,11 +145,13 @@ def experiment_notes(spark, sf_dir):
 
 
 @query("""
-SELECT c_name AS name, CAST(c_custkey AS BIGINT) AS saved_at,
-       upper(c_name[1]) || lower(substr(c_name, 2)) AS title FROM customer ORDER BY saved_at DESC, name
+WITH s AS (SELECT c_name || '__run_b-' || c_custkey % 3 AS name, CAST(c_custkey AS BIGINT) AS saved_at FROM customer)
+SELECT name, saved_at, array_to_string(list_transform(string_split(replace(name, '_', ' '), ' '), lambda w: upper(w[1]) || lower(substr(w, 2))), ' ') AS title
+FROM s ORDER BY saved_at DESC, name
 """)
 def saved_sessions(spark, sf_dir):
-    return experiments.saved_sessions(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("saved_at")))
+    return experiments.saved_sessions(table(spark, sf_dir, "customer").select(
+        F.concat("c_name", F.lit("__run_b-"), (F.col("c_custkey") % 3).cast("string")).alias("name"), F.col("c_custkey").alias("saved_at")))
 
 
 @query(RUNS_SQL + """
@@ -344,6 +346,20 @@ def registry_retention(spark, sf_dir):
     return registry.retention_plan(entries(spark, sf_dir), AS_OF, max_gigabytes=LIMIT_GB).select("cache_key", "action")
 
 
+@query(ENTRIES_SQL + f"""
+, u AS (SELECT cache_key, cached_at, CASE WHEN right(cache_key, 1) IN ('1', '4') THEN NULL ELSE date_trunc('day', last_accessed) END AS last_accessed, size_mb FROM m)
+, live AS (SELECT *, sum(size_mb) OVER (ORDER BY last_accessed DESC NULLS LAST, cache_key ROWS UNBOUNDED PRECEDING) AS kept FROM u
+           WHERE cached_at >= TIMESTAMP '2024-02-05' - INTERVAL 30 DAY)
+SELECT cache_key, CASE WHEN kept > {LIMIT_GB} * 1024 THEN 'evict' ELSE 'keep' END AS action FROM live
+UNION ALL SELECT cache_key, 'expire' FROM u WHERE cached_at IS NULL OR cached_at < TIMESTAMP '2024-02-05' - INTERVAL 30 DAY
+""")
+def registry_retention_unused(spark, sf_dir):
+    """Entries that were never used, and many of one moment: none is lost, the unused are evicted first."""
+    unused = F.substring("cache_key", -1, 1).isin("1", "4")
+    rows = entries(spark, sf_dir).withColumn("last_accessed", F.when(~unused, F.date_trunc("day", "last_accessed")))
+    return registry.retention_plan(rows, AS_OF, max_gigabytes=LIMIT_GB).select("cache_key", "action")
+
+
 @query(ENTRIES_SQL + """
 SELECT count(*) AS entries, round(sum(size_mb) / 1024, 6) AS total_gb, min(cached_at) AS oldest, max(cached_at) AS newest FROM m
 """)
@@ -396,7 +412,24 @@ SELECT k AS user_id, event_id, ts, admitted, CAST(len(st) AS INT) AS in_window,
        ts + INTERVAL 1 DAY AS reset_at FROM w
 """)
 def request_admission(spark, sf_dir):
-    return admission.admit_requests(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", limit=2, window_seconds=DAY)
+    return admission.admit_requests(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", limit=2, window_seconds=DAY).drop("limit")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+                            CASE WHEN user_id % 3 = 0 THEN 4 WHEN user_id % 3 = 1 THEN 1 ELSE 2 END AS lim FROM events)
+, w AS (SELECT k, i, event_id, lim, TRUE AS admitted, [t] AS st FROM e WHERE i = 1
+        UNION ALL SELECT e.k, e.i, e.event_id, e.lim, len(list_filter(st, lambda x: x > e.t - 86400000000)) < e.lim,
+          CASE WHEN len(list_filter(st, lambda x: x > e.t - 86400000000)) < e.lim THEN list_append(list_filter(st, lambda x: x > e.t - 86400000000), e.t)
+               ELSE list_filter(st, lambda x: x > e.t - 86400000000) END
+        FROM w JOIN e ON e.k = w.k AND e.i = w.i + 1)
+SELECT k AS user_id, event_id, lim AS "limit", admitted FROM w
+""")
+def request_admission_own_limits(spark, sf_dir):
+    """Each user has a limit of its own."""
+    kind = F.col("user_id") % 3
+    log = table(spark, sf_dir, "events").withColumn("rate_limit", F.when(kind == 0, 4).when(kind == 1, 1).otherwise(2))
+    return admission.admit_requests(log, ["user_id"], "ts", "event_id", "rate_limit", DAY).select("user_id", "event_id", "limit", "admitted")
 
 
 @query(ADMIT_SQL.format(key="event_type", us=3600 * 1_000_000, limit=3) + "SELECT k AS event_type, event_id, admitted FROM w")

@@ -187,8 +187,8 @@ WITH t AS (SELECT p_brand AS "column", p_partkey AS seq, CASE WHEN p_partkey % 3
             arg_min(min, seq) FILTER (type = 'range') AS lo, arg_min(max, seq) FILTER (type = 'range') AS hi,
             arg_min(target_mean, seq) FILTER (type = 'statistical') AS m FROM t GROUP BY 1)
 , conflicts AS (
-  SELECT "column", 'Multiple range constraints' AS issue, 'ERROR' AS severity FROM per WHERE ranges > 1
-  UNION ALL SELECT "column", 'Statistical mean ' || m || ' outside range [' || lo || ', ' || hi || ']', 'WARNING' FROM per
+  SELECT "column", 'more than one range' AS issue, 'ERROR' AS severity FROM per WHERE ranges > 1
+  UNION ALL SELECT "column", 'target mean ' || m || ' lies outside [' || lo || ', ' || hi || ']', 'WARNING' FROM per
   WHERE NOT (m BETWEEN lo AND hi))
 """
 
