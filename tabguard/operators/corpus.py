@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,9 +87,14 @@ def search_pages(pages: DataFrame, question: str, top_k: int = 5) -> DataFrame:
         counted.withColumn("_score", score).filter(F.col("_score") > 0)
         .orderBy(F.round("_score", 9).desc(), "filename", "page_number").limit(top_k)
     )
-    winners = best.select("filename", "page_number", "_score").collect()
+    return _with_texts(pages, best.select("filename", "page_number", "_score"))
+
+
+def _with_texts(pages: DataFrame, best: DataFrame) -> DataFrame:
+    """Rank, relative score and text of the few pages in ``best`` (best first)."""
+    winners = best.collect()
     if not winners:
-        return pages.sparkSession.createDataFrame([], schema)
+        return pages.sparkSession.createDataFrame([], "rank int, filename string, page_number int, score double, text string")
     ranked = pages.sparkSession.createDataFrame(
         [(i + 1, r["filename"], r["page_number"], r["_score"] / winners[0]["_score"]) for i, r in enumerate(winners)],
         "rank int, filename string, page_number int, score double",
@@ -98,6 +105,42 @@ def search_pages(pages: DataFrame, question: str, top_k: int = 5) -> DataFrame:
     return texts.join(F.broadcast(ranked), ["filename", "page_number"]).select("rank", "filename", "page_number", "score", "text")
 
 
+def build_index(pages: DataFrame, path: str, buckets: int = 256) -> None:
+    """The search index of ``pages`` below ``path``: postings by term, and the corpus figures.
+
+    Postings lie in folders by a hash of the term, sorted by term inside a file, so that a search
+    reads the files of its terms only. A folder with very many rows is written by several tasks.
+    """
+    page = pages.select("filename", F.col("page_number").cast("int").alias("page_number"), F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
+    sized = page.select("filename", "page_number", F.size("_tokens").alias("length"), "_tokens")
+    counted = sized.select("filename", "page_number", "length", F.explode("_tokens").alias("term")).groupBy(
+        "filename", "page_number", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    placed = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    figures = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets"))
+    figures.coalesce(1).write.parquet(f"{path}/figures")
+
+
+def search_index(pages: DataFrame, path: str, question: str, top_k: int = 5) -> DataFrame:
+    """As :func:`search_pages`, from an index of the same pages: only the postings of the question's terms are read."""
+    spark = pages.sparkSession
+    asked = sorted(set(spark.range(1).select(tokens(F.lit(question))).first()[0]))
+    corpus = spark.read.parquet(f"{path}/figures").first()
+    if not asked or not corpus["n"]:
+        return spark.createDataFrame([], "rank int, filename string, page_number int, score double, text string")
+    places = [r[0] for r in spark.createDataFrame([(t,) for t in asked], "term string").select(
+        F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int")).distinct().collect()]
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*places) & F.col("term").isin(*asked))
+    found = {r["term"]: r["df"] for r in postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    if not found:
+        return spark.createDataFrame([], "rank int, filename string, page_number int, score double, text string")
+    weights = F.create_map(*[F.lit(x) for t, df in found.items() for x in (t, math.log(1.0 + (corpus["n"] - df + 0.5) / (df + 0.5)))])
+    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B / (corpus["mean"] or 1.0)) * F.col("length"))
+    score = F.sum(weights[F.col("term")] * F.col("tf") * F.lit(BM25_K1 + 1) / (F.col("tf") + norm))
+    best = postings.groupBy("filename", "page_number").agg(score.alias("_score"))
+    return _with_texts(pages, best.orderBy(F.round("_score", 9).desc(), "filename", "page_number").limit(top_k))
+
+
 def search_message(pages: DataFrame) -> str | None:
     """The answer to a search in an empty corpus."""
     return EMPTY_CORPUS if pages.isEmpty() else None

@@ -135,9 +135,12 @@ def column_roles(df: DataFrame, sequence_key: str | None = None, id_share: float
         raise ValueError(f"sequence key {sequence_key!r} not found")
     kinds = {f.name: f.dataType for f in df.schema}
     open_ones = [n for n, k in kinds.items() if isinstance(k, (T.StringType, T.CharType, T.VarcharType, T.IntegralType))]
-    distinct = distinct_counts(df, open_ones)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(open_ones)]).first()
+    # One scan with sketches; only columns that come near the share of an id are counted in full.
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(open_ones)],
+                 *[F.approx_count_distinct(c(n), 0.02).alias(f"d{i}") for i, n in enumerate(open_ones)]).first()
     filled = {n: row[f"n{i}"] for i, n in enumerate(open_ones)}
+    distinct = {n: row[f"d{i}"] for i, n in enumerate(open_ones)}
+    distinct |= distinct_counts(df, [n for n in open_ones if distinct[n] >= 0.8 * id_share * filled[n]])
     roles = {}
     for n, kind in kinds.items():
         if n == sequence_key:

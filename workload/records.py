@@ -250,7 +250,7 @@ def corpus_files(spark, sf_dir):
 QUESTION = "the patients and the data of privacy, les données de la"
 
 
-@query(PAGES_HEAD + r"""
+SEARCH_SQL = PAGES_HEAD + r"""
 , tok AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS t FROM pg)
 , terms AS (SELECT unnest(['the', 'patients', 'and', 'data', 'of', 'privacy', 'les', 'données', 'de', 'la']) AS term)
 , tf AS (SELECT filename, page_number, term, len(list_filter(t, lambda x: x = term)) AS f, len(t) AS dl FROM tok, terms)
@@ -261,11 +261,22 @@ QUESTION = "the patients and the data of privacy, les données de la"
 SELECT CAST(row_number() OVER (ORDER BY round(s, 9) DESC, filename, page_number) AS INT) AS rank, filename, page_number,
        round(s / max(s) OVER (), 6) AS score, text
 FROM sc JOIN pg USING (filename, page_number) QUALIFY rank <= 7
-""")
+"""
+
+
+@query(SEARCH_SQL)
 def page_search(spark, sf_dir):
     return rounded(corpus.search_pages(pages(spark, sf_dir), QUESTION, top_k=7), "score")
 
 
+@query(SEARCH_SQL)
+def page_search_index(spark, sf_dir):
+    """The same search through an index of its terms."""
+    path = scratch_path(spark, "index")
+    corpus.build_index(pages(spark, sf_dir), path)
+    return rounded(corpus.search_index(pages(spark, sf_dir), path, QUESTION, top_k=7), "score")
+
+
 @query("""
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))
