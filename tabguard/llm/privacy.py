@@ -28,7 +28,6 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 #: Characters on either side of an entity whose words are its context; different texts that must
 #: show a pair; shares of the entity's information from which a term is generalised or removed.
 CONTEXT, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.98
-TERM = r"(?<!\p{L})\p{L}{4,}(?!\p{L})"
 
 
 def matches(text: Column, pattern: Column, kind: str) -> Column:
@@ -82,30 +81,34 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
 
 
-def disclosing_terms(found: DataFrame, text_column: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity; ``found`` comes from ``_with_spans``."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    holding = found.where(F.size("_pii_spans") > 0).select(F.sha2(text, 256).alias("key"), text.alias("t"), "_pii_spans")
-    span = F.col("s")
-    before = F.substring(F.col("t"), F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(F.col("t"), span["end"] + 1, F.lit(CONTEXT))
-    near = holding.select("key", "t", F.explode("_pii_spans").alias("s"))
-    # The outermost words of a context may be cut, unless the text begins or ends there.
-    near = near.select("key", F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"), F.array_union(
-        _words(F.regexp_replace(before, r"^\p{L}+", "")), _words(F.regexp_replace(after, r"\p{L}+$", ""))).alias("terms"))
-    near = write_and_reread(near.groupBy("key", "entity", "terms").agg(F.count(F.lit(1)).alias("times")), "contexts")
-    # Rows that hold an entity, with copies; a row that names it several times counts once for each text.
-    copies = holding.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    mentioned = near.select("key", "entity").distinct().join(copies, "key")
-    entities = mentioned.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pairs = near.select("key", "entity", F.explode("terms").alias("term")).distinct().join(copies, "key")
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= support)
-    pairs = write_and_reread(pairs, "pairs")
-    wanted = pairs.select("term").distinct()
-    total = found.count()
-    rows = found.select(F.explode(F.array_distinct(_words(text))).alias("term")).join(wanted, "term", "left_semi")
+def disclosing_terms(holding: DataFrame, docs: DataFrame, text_column: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, ratio) of the terms that disclose an entity.
+
+    ``holding`` are the rows with spans (``_pii_key``, ``_pii_spans`` and the text), ``docs`` all rows.
+    """
+    total = docs.count()
+    span, text = F.col("s"), F.col(text_column)
+    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+    # Rows that hold an entity, with copies; a text counts once for an entity, however often it names it.
+    copies = holding.groupBy("_pii_key").agg(F.count(F.lit(1)).alias("copies"))
+    near = holding.dropDuplicates(["_pii_key"]).select("_pii_key", text_column, F.explode("_pii_spans").alias("s"))
+    # The outermost words of a context may be cut.
+    near = near.select("_pii_key", F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"), F.explode(F.array_union(
+        _words(F.regexp_replace(before, r"^\p{L}+", "")), _words(F.regexp_replace(after, r"\p{L}+$", "")))).alias("term"))
+    near = write_and_reread(near.distinct().join(copies, "_pii_key"), "contexts")
+    entities = near.select("_pii_key", "entity", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= support)
+    # The ratio can only be reached while n(t) is at most n(e,t) * (N / n(e)) ** (1 - ratio): terms that
+    # stand near entities in more rows than that are out before the corpus is counted.
+    least = near.select("_pii_key", "term", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("at_least"))
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - generalise))
+    pairs = write_and_reread(pairs.join(entities, "entity").join(least, "term").where(F.col("at_least") <= most * (1 + 1e-9)), "pairs")
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(text.cast("string"), r"[^\p{L}]+")).alias("term"))
+    words = words.where(F.length("term") >= 4).select("row", F.lower("term").alias("term"))
+    rows = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
     frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = pairs.join(entities, "entity").join(frequency, "term")
+    scored = pairs.join(frequency, "term")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     carried = F.log2(F.lit(float(total)) / F.col("n_e"))
     ratio = F.when(carried > 0, pmi / carried).otherwise(F.lit(0.0))
@@ -119,19 +122,20 @@ def find_private(docs: DataFrame, text_column: str = "text", support: int = SUPP
     changed but the text. Terms never overlap spans of the base kinds.
     """
     found = _with_spans(docs, text_column)
-    terms = write_and_reread(disclosing_terms(found, text_column, support, generalise), "terms")
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    holding = found.where(F.size("_pii_spans") > 0).withColumn("_pii_key", F.sha2(text, 256))
+    text = F.col(text_column).cast("string")
+    # The rows that hold an entity are read several times, so they are written.
+    holding = write_and_reread(found.where(F.size("_pii_spans") > 0).withColumn("_pii_key", F.sha2(text, 256)), "holding")
+    terms = write_and_reread(disclosing_terms(holding, docs, text_column, support, generalise), "terms")
     entity = F.explode(F.transform("_pii_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("entity")
     # One list for each distinct text that holds an entity; a list holds words of its contexts only.
     listed = holding.select("_pii_key", entity).distinct().join(terms, "entity").groupBy("_pii_key").agg(
         F.sort_array(F.collect_set("term")).alias("_pii_terms"), F.collect_set(F.when(F.col("ratio") >= REMOVE, F.col("term"))).alias("_pii_removed"))
     listed = listed.withColumnRenamed("_pii_key", "_pii_listed")
-    holding = holding.join(listed, F.col("_pii_key") == F.col("_pii_listed"), "left")
+    marked = holding.join(listed, F.col("_pii_key") == F.col("_pii_listed"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_pii_terms", "|"), F.lit(r")(?!\p{L})"))
     clear = F.filter(matches(text, pattern, "term"), lambda s: ~F.exists("_pii_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     none = F.from_json(F.lit("[]"), SPAN)
-    marked = holding.withColumn("_pii_spans", F.concat("_pii_spans", F.when(F.col("_pii_terms").isNotNull(), clear).otherwise(none)))
+    marked = marked.withColumn("_pii_spans", F.concat("_pii_spans", F.when(F.col("_pii_terms").isNotNull(), clear).otherwise(none)))
     marked = marked.withColumn("_pii_removed", F.coalesce("_pii_removed", F.array().cast("array<string>")))
     rest = found.where(F.size("_pii_spans") == 0).withColumn("_pii_removed", F.array().cast("array<string>"))
     return marked.select(*found.columns, "_pii_removed").unionByName(rest)
