@@ -63,10 +63,9 @@ def cuts(data: np.ndarray, gear: np.ndarray, near: int = NEAR) -> np.ndarray:
     for end in ends.tolist():
         while end - start > LONGEST:
             start += LONGEST
-            while start < end and data[start] & 0xC0 == 0x80:
-                start += 1
-            if start < end:
-                out.append(start)
+            while data[start] & 0xC0 == 0x80:
+                start -= 1
+            out.append(start)
         out.append(end)
         start = end
     return np.array(out, np.int64)
