@@ -1,8 +1,10 @@
 import json
+import os
 
 import pyarrow as pa
 import pytest
 
+from tabguard.session import scratch_scope, write_and_reread
 from tabguard.sources import loader, sinks
 
 
@@ -83,3 +85,13 @@ def test_dataset_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).filter("experiment_id = 1").count() == 33
     with pytest.raises(ValueError):
         sinks.write_dataset(df, str(tmp_path / "x"), format="xml")
+
+
+def test_scratch_scope_deletes_its_tables(spark, tmp_path):
+    with scratch_scope(spark):
+        kept = write_and_reread(spark.range(10), "scoped")
+        place = kept.inputFiles()[0]
+        kept.write.parquet(str(tmp_path / "result"))
+        assert os.path.exists(place.removeprefix("file://"))
+    assert not os.path.exists(os.path.dirname(place.removeprefix("file://")))
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10
