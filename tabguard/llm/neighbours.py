@@ -190,8 +190,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     # As many rows as lists: the blocks that each is cut into.
     blocks = {r["list"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("list").count().collect()}
     block_of = spark.sparkContext.broadcast(np.array([blocks.get(i, 0) for i in range(len(centres))], np.int64))
-    number = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
-    placed = indexed.withColumn("block", F.pmod(F.xxhash64("key"), number[F.col("list")]).cast("int"))
+
+    def place(batches):
+        for b in batches:
+            cut = block_of.value[b.column(3).to_numpy(zero_copy_only=False)]
+            block = np.array([int(key[:8], 16) for key in b.column(0).to_pylist()], np.int64) % np.maximum(cut, 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block.astype(np.int32))], names=[*b.schema.names, "block"])
+
+    placed = indexed.mapInArrow(place, "key string, v binary, ids array<long>, list int, block int")
     wanted = rows.where(F.col("id") % every == 0)
     asking = write_and_reread(_merged(wanted, 1, kind).select("key", "v"), "queries")
 
