@@ -19,8 +19,10 @@ from tabguard.session import write_and_reread
 BROADCAST_BYTES = 32 << 20
 #: Points per side that one group of the cell search holds.
 GROUP_POINTS = 50_000
-SAMPLE_POINTS = 65_536
-MAX_DEPTH = 14
+#: Least size of the sample that shapes the cells, and its points per cell.
+SAMPLE_POINTS, SAMPLE_PER_CELL = 65_536, 4
+#: The driver holds one row per cell: 2^18 of them serve 1.3e10 distinct points; beyond that, cells are cut into chunks.
+MAX_DEPTH = 18
 
 
 def standardised(real: DataFrame, synth: DataFrame, columns: list[str]) -> tuple[list[Column], list[str]]:
@@ -167,8 +169,8 @@ def _against_cells(points: DataFrame, asked: DataFrame, names: list[str], group_
     """
     total = points.count()
     depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(total / group_points))))
-    # A hash threshold takes about SAMPLE_POINTS points without sorting anything.
-    share = min(1.0, SAMPLE_POINTS / total)
+    # A hash threshold takes about as many points as wanted without sorting anything.
+    share = min(1.0, max(SAMPLE_POINTS, SAMPLE_PER_CELL << depth) / total)
     chosen = points if share == 1.0 else points.filter(F.pmod(F.xxhash64(F.lit("cells"), *names), F.lit(1 << 40)) < int(share * (1 << 40)))
     sample = chosen.toPandas().to_numpy(dtype=float)
     tree = SplitTree(sample, depth)
