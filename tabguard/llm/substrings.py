@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of a text. A chunk ends where the hash is the least within a window
 around it, which depends on nearby bytes alone, so that chunks fall into step again soon after an
-insertion. Chunks are compared by a 128-bit digest over the whole corpus. Runs of neighbouring chunks
+insertion. Chunks are compared by a 96-bit digest over the whole corpus. Runs of neighbouring chunks
 that also stand in another document make a repeated passage.
 """
 
@@ -72,7 +72,10 @@ def cuts(data: np.ndarray, gear: np.ndarray, near: int = NEAR) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(a, b) digest, id, number, start and end in code points, and words of every chunk of every text."""
+    """(a, b) digest, id, number, start and size in code points, and words of every chunk of every text.
+
+    These rows are what is shuffled: narrow columns, since there is one for every 30 bytes of text.
+    """
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("t")).where("doc is not null and t is not null")
     kind = chosen.schema["doc"].dataType.simpleString()
@@ -101,13 +104,14 @@ def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 parts.append(np.stack([np.arange(len(ends)), np.concatenate([[0], place[:-1]]), place, words]))
             if not rows:
                 continue
-            pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            pairs = np.frombuffer(b"".join(digests), [("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
             number, start, end, words = np.concatenate(parts, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), batch.column(0).take(pa.array(np.concatenate(rows))),
-                 pa.array(number), pa.array(start), pa.array(end), pa.array(words)], names=["a", "b", "doc", "number", "start", "end", "words"])
+                [pa.array(pairs["a"].copy()), pa.array(pairs["b"].copy()), batch.column(0).take(pa.array(np.concatenate(rows))),
+                 pa.array(number), pa.array(start), pa.array((end - start).astype(np.int16)), pa.array(words.astype(np.int16))],
+                names=["a", "b", "doc", "number", "start", "size", "words"])
 
-    return chosen.mapInArrow(run, f"a long, b long, doc {kind}, number int, start int, end int, words int")
+    return chosen.mapInArrow(run, f"a long, b int, doc {kind}, number int, start int, size smallint, words smallint")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -124,7 +128,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_column
     seen = chunks.groupBy("a", "b").agg(F.min(F.struct("doc", "number")).alias("first"), F.max("doc").alias("last"))
     shared = seen.where(F.col("first.doc") != F.col("last")).select("a", "b", "first")
     # One row a chunk against all its places: the side with many places is dealt out by the skew join.
-    hit = chunks.join(shared, ["a", "b"]).select("doc", "number", "start", "end", "words", F.col("first.doc").alias("first_doc"),
+    hit = chunks.join(shared, ["a", "b"]).select("doc", "number", "start", (F.col("start") + F.col("size")).alias("end"), "words", F.col("first.doc").alias("first_doc"),
                                                 (F.col("first") != F.struct("doc", "number")).alias("later"))
     in_doc = Window.partitionBy("doc").orderBy("number")
     runs = hit.dropDuplicates(["doc", "number"]).withColumn("run", F.col("number") - F.row_number().over(in_doc))
