@@ -150,26 +150,27 @@ def _repeats_needed(items: Items, trials: int = 200) -> int:
     if not items.words:
         return 1
     rng = np.random.default_rng(5)
-    missed = []
+    whole, copies = [], []
     for t in range(trials):
-        words = items.words[t % len(items.words)]
-        k = items.edits[t % len(items.words)]
+        words, k = items.words[t % len(items.words)], items.edits[t % len(items.words)]
         copy = words.tolist()
         for _ in range(k):
             at, kind = int(rng.integers(len(copy))), int(rng.integers(3))
             copy[at : at + (kind != 0)] = [FOREIGN] if kind < 2 else []
-        missed.append((words, np.array(copy[: len(words)], np.int64)))
-    for r in range(REPEATS):
-        still = []
-        for words, copy in missed:
-            places, zero, at = sampled(len(words), r + 1)[-1:], np.zeros(1, np.int64), np.array([r])
-            same = embedded_keys(words, zero, zero + len(words), places, at) == embedded_keys(copy, zero, zero + len(copy), places, at)
-            if not same[0]:
-                still.append((words, copy))
-        missed = still
-        if len(missed) <= (1 - RECALL) * trials:
-            return r + 1
-    return REPEATS
+        whole.append(words)
+        copies.append(np.array(copy[: len(words)], np.int64))
+    places = np.concatenate([sampled(len(words), REPEATS) for words in whole])
+    keys = [_all_keys(texts, places) for texts in (whole, copies)]
+    met = np.logical_or.accumulate((keys[0] == keys[1]).reshape(trials, REPEATS), axis=1).mean(axis=0)
+    return int(np.argmax(met >= RECALL)) + 1 if met[-1] >= RECALL else REPEATS
+
+
+def _all_keys(texts: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """Keys of whole texts in each repetition, text by text."""
+    sizes = np.array([len(x) for x in texts])
+    starts = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(texts)), REPEATS)
+    return embedded_keys(np.concatenate(texts), starts[row], (starts + sizes)[row], places, np.tile(np.arange(REPEATS), len(texts)))
 
 
 def _windows(flat: np.ndarray, items: Items):
