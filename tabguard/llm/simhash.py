@@ -5,11 +5,11 @@ at most four bits differ in at most two bits in each of two segments (three or m
 segments would be six). The binary Golay code of length 23 is perfect: each word lies within three
 bits of exactly one codeword. The index of a segment is the set of codewords next to the words of
 its ball of radius one (one or six of them); words at most two bits apart have a word between them
-and so share an index. With the two segments together at most two errors are left, spread as (0, 2),
-(2, 0) or (1, 1). A shared key is therefore one of
-
-* segment as it is, with an index of the other one (both ways round);
-* one side's own codewords in both segments, met by the other side's indices in both.
+and so share an index. Two segments together hold at most two errors, spread as (0, 2), (2, 0) or
+(1, 1). The keys of a fingerprint are, for each pair of segments, its own codeword of one segment
+with each index of the other one, both ways round. (0, 2): the own codewords are equal and an index
+is shared. (1, 1): the own codeword of either side is an index of the other side, so that the own
+codeword of the first side and that of the second side make a key of both.
 
 Distinct fingerprints that share a key are verified by their bit distance. A bucket yields a
 spanning forest of its links rather than all pairs; large buckets are dealt out in blocks.
@@ -69,40 +69,31 @@ def codewords(words: np.ndarray) -> np.ndarray:
 
 def indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword) for each distinct codeword next to a word of the row's ball of radius one."""
-    ball = np.concatenate([words[:, None], words[:, None] ^ (1 << np.arange(23))[None, :]], axis=1)
-    near = np.sort(codewords(ball.ravel()).reshape(ball.shape), axis=1)
+    flips = np.concatenate([[0], 1 << np.arange(23)])
+    # The code is linear: a flipped bit changes the syndrome by that of the bit alone.
+    errors = worker_state("golay", _corrections)[_syndromes(words)[:, None] ^ _syndromes(flips)[None, :]]
+    near = np.sort((words[:, None] ^ flips[None, :] ^ errors) >> 11, axis=1)
     new = np.ones(near.shape, bool)
     new[:, 1:] = near[:, 1:] != near[:, :-1]
     rows, at = np.nonzero(new)
     return rows, near[rows, at]
 
 
-def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, side) of every fingerprint; sides 1 and 2 meet each other, side 0 meets itself.
-
-    A key is a kind of six bits and up to 34 bits of segment and codeword.
-    """
-    n = len(prints)
+def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every fingerprint; a key is the pair of segments and two codewords of 12 bits."""
     words = [(prints >> np.uint64(at)).astype(np.int64) & ((1 << size) - 1) for at, size in SEGMENTS]
     own = [codewords(w) for w in words]
     near = [indices(w) for w in words]
-    out = []
-    every = np.arange(n)
+    rows, out = [], []
     for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for turn, (a, b) in enumerate(((i, j), (j, i))):
-            rows, code = near[b]
-            out.append((rows, words[a][rows] << 12 | code, 0, 4 * pair + turn))
-        out.append((every, own[i] << 12 | own[j], 1, 4 * pair + 2))
-        rows, code = near[i]
-        # All pairs of a row's indices: repeat each index of i by the number of indices of j.
-        counts = np.bincount(near[j][0], minlength=n)
-        starts = np.cumsum(counts) - counts
-        times = counts[rows]
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        left = np.repeat(rows, times)
-        out.append((left, np.repeat(code, times) << 12 | near[j][1][starts[left] + within], 2, 4 * pair + 2))
-    return (np.concatenate([r for r, *_ in out]), np.concatenate([k | kind << 36 for _, k, _, kind in out]),
-            np.concatenate([np.full(len(r), side, np.int8) for r, _, side, _ in out]))
+        row, code = near[j]
+        rows.append(row)
+        out.append(pair << 24 | own[i][row] << 12 | code)
+        row, code = near[i]
+        once = code != own[i][row]  # both own codewords together are a key already
+        rows.append(row[once])
+        out.append(pair << 24 | code[once] << 12 | own[j][row[once]])
+    return np.concatenate(rows), np.concatenate(out)
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -135,15 +126,13 @@ def fingerprints(docs: DataFrame, size: int = 4, id_column: str = "doc_id", text
     return map_texts(docs, run, "fp long", id_column, text_column, as_bytes=True)
 
 
-def _forest(prints: np.ndarray, sides: np.ndarray, most: int):
+def _forest(prints: np.ndarray, most: int):
     """Links of a spanning forest of one bucket: each row is compared with all, found links are merged."""
     n = len(prints)
     root = np.arange(n)
     for i in range(n - 1):
         far = np.bitwise_count(prints[i + 1 :] ^ prints[i])
         near = (far <= most) & (far > 0) & (root[i + 1 :] != root[i])
-        if sides[i]:
-            near &= sides[i + 1 :] != sides[i]
         reached = np.nonzero(near)[0] + i + 1
         others, place = np.unique(root[reached], return_index=True)
         for other, j in zip(others.tolist(), reached[place].tolist()):
@@ -156,14 +145,14 @@ def _links_of(batches, most):
     """Buckets are runs of equal (key, block) in sorted rows; a run may cross batches."""
     kept = None
     for batch in _with_end(batches):
-        part = None if batch is None else [np.asarray(batch.column(k)) for k in range(4)]
+        part = None if batch is None else [np.asarray(batch.column(k)) for k in range(3)]
         if kept is None:
             kept = part
         elif part is not None:
             kept = [np.concatenate([a, b]) for a, b in zip(kept, part)]
         if kept is None or not len(kept[0]):
             continue
-        key, block, fp, side = kept
+        key, block, fp = kept
         change = np.nonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]))[0] + 1
         bounds = np.concatenate([[0], change, [len(key)]])
         last = len(bounds) - 1 if batch is None else len(bounds) - 2
@@ -171,7 +160,7 @@ def _links_of(batches, most):
         prints = fp.view(np.uint64)
         several = np.nonzero(np.diff(bounds[: last + 1]) > 1)[0]
         for s, e in zip(bounds[several].tolist(), bounds[several + 1].tolist()):
-            for i, j in _forest(prints[s:e], side[s:e], most):
+            for i, j in _forest(prints[s:e], most):
                 first.append(fp[s + i])
                 second.append(fp[s + j])
         kept = [x[bounds[last] :] for x in kept]
@@ -196,16 +185,16 @@ def near_links(prints: DataFrame, most: int = MOST_BITS, block: int = BLOCK) ->
             fp = np.asarray(batch.column(0))
             for low in range(0, len(fp), 4096):
                 part = fp[low : low + 4096]
-                rows, key, side = keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows]), pa.array(side)], names=["key", "fp", "side"])
+                rows, key = keys(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["key", "fp"])
 
-    # Each fingerprint makes some 120 rows: spread them before they are made.
+    # Each fingerprint makes some 30 rows: spread them before they are made.
     n = prints.count()
     parts = max(1, min(100_000, n // 4096 + 1))
-    keyed = prints.select("fp").repartition(parts, "fp").mapInArrow(emit, "key long, fp long, side byte")
+    keyed = prints.select("fp").repartition(parts, "fp").mapInArrow(emit, "key long, fp long")
     # Buckets above the block size: counted by cells of the keys, so that few rows are shuffled. A
     # cell holds at least what its keys hold, so that no large bucket is missed.
-    cells = 1 << max(10, (n // 32).bit_length())
+    cells = 1 << max(10, (n // 8).bit_length())
     cell = F.pmod(F.xxhash64("key"), F.lit(cells)).alias("cell")
     large = write_and_reread(keyed.select(cell).groupBy("cell").count().where(F.col("count") > block)
                              .select("cell", F.ceil(F.col("count") / (block // 2)).cast("int").alias("blocks")), "cells")
@@ -215,9 +204,9 @@ def near_links(prints: DataFrame, most: int = MOST_BITS, block: int = BLOCK) ->
         mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
         other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = keyed.withColumn("cell", cell).join(large, "cell", "left").withColumn("mine", F.coalesce(mine, F.lit(0)))
-        dealt = dealt.select("key", "fp", "side", "mine", other.alias("other"))
-        dealt = dealt.select("key", "fp", "side", (F.least("mine", "other") * 65_536 + F.greatest("mine", "other")).cast("int").alias("block"))
-    buckets = dealt.select("key", "block", "fp", "side").repartition("key", "block").sortWithinPartitions("key", "block")
+        dealt = dealt.select("key", "fp", "mine", other.alias("other"))
+        dealt = dealt.select("key", "fp", (F.least("mine", "other") * 65_536 + F.greatest("mine", "other")).cast("int").alias("block"))
+    buckets = dealt.select("key", "block", "fp").repartition("key", "block").sortWithinPartitions("key", "block")
     return buckets.mapInArrow(lambda b: _links_of(b, most), "a long, b long")
 
 
