@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from itertools import islice
 
 import numpy as np
@@ -21,6 +22,8 @@ from tabguard.llm.common import map_texts, query, table, worker_state
 CACHED, KEPT, LONGEST = 500_000, 150_000, 64
 #: Cells of one matrix.
 CELLS = 1 << 20
+#: A blank that may stand inside a pre-token: other white space before it, and white space or the end behind it.
+INNER_BLANK = re.compile(r" (?<=[^\S ] )(?:\s|\Z)")
 NONE = np.iinfo(np.int32).max
 
 
@@ -183,12 +186,14 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text.
 
-        Without two blanks in a row, a blank always opens a pre-token, so that a text falls into
-        words with the blank before them; other texts are split by the pattern as a whole.
+        Without two blanks in a row and without a blank inside other white space, a blank always opens
+        a pre-token, so that a text falls into words with the blank before them; other texts are split
+        by the pattern as a whole.
         """
         if len(self.words) > CACHED:
             self.words = dict(islice(self.words.items(), KEPT))  # the first met are the frequent ones
-        parts = [[] if not t else t.replace(" ", "\0 ").split("\0") if "  " not in t and "\0" not in t else self.split(t) for t in texts]
+        search = INNER_BLANK.search
+        parts = [[] if not t else t.replace(" ", "\0 ").split("\0") if "  " not in t and "\0" not in t and not search(t) else self.split(t) for t in texts]
         known = self.words
         missing = set().union(*parts).difference(known)
         own = self.encode_units(missing) if missing else {}

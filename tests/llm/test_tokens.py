@@ -43,6 +43,16 @@ def test_coder_equals_library(library):
         assert coder.decode(ids) == text.encode()
 
 
+def test_blanks_inside_other_white_space(library):
+    coder = bpe.Coder(bpe.read_ranks(RANKS), P.PATTERN)
+    rng = random.Random(6)
+    texts = ["x \xa0 \xa0 y", "\xa0 \xa0 \xa0", "a\n \nb", "a\n b", "a\t ", " \xa0", " a"]
+    texts += [t for _ in range(20_000) if "  " not in (t := "".join(rng.choice(["a", "é1", " ", " ", "\n", "\xa0", "\u3000", "\t", "\x1c", "'s"]) for _ in range(rng.randrange(9))))]
+    assert len(texts) > 5000
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text)
+
+
 def test_matrix_and_long_path_agree(library):
     coder = bpe.Coder(bpe.read_ranks(RANKS), P.PATTERN)
     for piece in (b"abcabcabcabc", b"theatertheater" * 20, bytes(range(256)) * 3):
