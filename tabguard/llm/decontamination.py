@@ -4,8 +4,10 @@ Windows of an item's size are embedded by the CGK random walk, which maps edit d
 distance: a pointer runs over the words and moves on or stays by a random bit of step and word, and
 the embedding is the word under the pointer at each step. Bit-sampling LSH takes a few places of the
 embedding as a key, in as many independent repetitions as the target recall needs; that number is
-measured on edited copies of the items themselves. Windows that meet an item under a key are verified
-by their exact edit distance.
+measured for each item size on edited copies of all items of the size. Windows that meet an item
+under a key are verified by their exact edit distance. Sizes that would need more than ``REPEATS``
+repetitions, those without an edit and those above ``KEYED`` words have no keys: every window of
+theirs is verified where at least the item's unedited words stand.
 
 Windows are placed where they can matter: an item of ``n`` words with ``k`` edits has, cut into
 ``k + 1`` runs, at least one run untouched (pigeonhole), so every passage to be found holds one, and
@@ -26,10 +28,18 @@ from pyspark.sql import functions as F
 
 from tabguard.llm.common import WORD_BYTES, filter_texts, query, small_batches, table, words_of
 
-#: Share of edits that still counts as the same text (similarity 0.8), fewest words of an item.
-EDITS, LEAST_WORDS = 0.2, 5
-#: Places of an embedding in a key, wanted recall for passages at the largest distance, repetitions at most.
+#: Share of edits that still counts as the same text (similarity 0.8), fewest words of an item. Below five words no edit is allowed.
+EDITS, LEAST_WORDS = 0.2, 1
+#: Places of an embedding in a key, wanted recall for passages at the largest distance, repetitions beyond which windows are verified without keys.
 PLACES, RECALL, REPEATS = 3, 0.995, 48
+#: Words of the longest items that get keys; longer ones hold more edits than keys survive.
+KEYED = 512
+#: Edited copies that measure the repetitions of a size, at least: as many of each item.
+TRIALS = 1000
+#: Repetitions that are measured at once.
+ROUND = 8
+#: Cells of the table that is held while regions are verified.
+CELLS = 1 << 22
 #: Bytes of item text in one broadcast; more items take more passes.
 BLOCK_BYTES = 16 << 20
 FOREIGN, END, BREAK = 0, -1, -2
@@ -43,7 +53,7 @@ class Items:
     vocabulary: dict[bytes, int]
     words: list[np.ndarray]
     edits: list[int]
-    repeats: int = 0
+    repeats: dict[int, int] = field(default_factory=dict)
     runs: dict[int, tuple] = field(default_factory=dict)
     places: dict = field(default_factory=dict)
     buckets: tuple = ()
@@ -91,7 +101,7 @@ def edit_distances(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
 
 
 def build_items(rows: list[tuple]) -> Items:
-    """``rows``: (id, text). Equal word sequences become one item with several ids; short items are left out."""
+    """``rows``: (id, text). Equal word sequences become one item with several ids; items without words are left out."""
     grouped = defaultdict(list)
     for item, text in rows:
         words = tuple(words_of((text or "").encode()))
@@ -115,8 +125,10 @@ def build_items(rows: list[tuple]) -> Items:
     if items.words:
         sizes = np.array([len(w) for w in items.words])
         starts = np.cumsum(sizes) - sizes
-        items.places = {n: sampled(n, items.repeats) for n in sorted(set(sizes.tolist()))}
-        key, number = _keys_of(np.concatenate(items.words), starts, starts + sizes, sizes, items)
+        keyed = np.isin(sizes, [n for n, count in items.repeats.items() if count])
+        items.places = {n: sampled(n, count) for n, count in items.repeats.items() if count}
+        key, window = _keys_of(np.concatenate(items.words), starts[keyed], (starts + sizes)[keyed], sizes[keyed], items)
+        number = np.nonzero(keyed)[0][window]
         order = np.argsort(key, kind="stable")
         items.buckets = key[order], number[order]
     return items
@@ -125,12 +137,12 @@ def build_items(rows: list[tuple]) -> Items:
 def _keys_of(flat, starts, ends, sizes, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(key, window) of every window in every repetition."""
     keys, windows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    step = max(1, (1 << 18) // items.repeats)
+    step = (1 << 18) // REPEATS
     for low in range(0, len(starts), step):
         part = slice(low, low + step)
-        n = len(starts[part])
-        row = np.repeat(np.arange(n), items.repeats)
-        repeats = np.tile(np.arange(items.repeats), n)
+        counts = np.array([len(items.places[k]) for k in sizes[part].tolist()])
+        row = np.repeat(np.arange(len(counts)), counts)
+        repeats = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         places = np.concatenate([items.places[k] for k in sizes[part].tolist()])
         salt = sizes[part][row].astype(np.uint64) << np.uint64(48)
         keys.append(embedded_keys(flat, starts[part][row], ends[part][row], places, repeats) ^ salt)
@@ -145,38 +157,54 @@ def _code(words: np.ndarray) -> int:
     return code
 
 
-def _repeats_needed(items: Items, trials: int = 200) -> int:
-    """Repetitions until edited copies of items, at the largest distance allowed, meet their item often enough."""
-    if not items.words:
-        return 1
-    rng = np.random.default_rng(5)
+def _repeats_needed(items: Items) -> dict[int, int]:
+    """Repetitions by item size until edited copies, at the largest distance allowed, meet their item often enough; 0 if REPEATS are too few."""
+    by_size = defaultdict(list)
+    for words, k in zip(items.words, items.edits):
+        by_size[len(words)].append((words, k))
+    return {size: _repeats_of_size(size, held) for size, held in sorted(by_size.items())}
+
+
+def _repeats_of_size(size: int, held: list[tuple]) -> int:
+    if held[0][1] == 0 or size > KEYED:
+        return 0
+    rng = np.random.default_rng([5, size])
     whole, copies = [], []
-    for t in range(trials):
-        words, k = items.words[t % len(items.words)], items.edits[t % len(items.words)]
+    for words, k in held * -(-TRIALS // len(held)):
         copy = words.tolist()
         for _ in range(k):
             at, kind = int(rng.integers(len(copy))), int(rng.integers(3))
             copy[at : at + (kind != 0)] = [FOREIGN] if kind < 2 else []
         whole.append(words)
-        copies.append(np.array(copy[: len(words)], np.int64))
-    places = np.concatenate([sampled(len(words), REPEATS) for words in whole])
-    keys = [_all_keys(texts, places) for texts in (whole, copies)]
-    met = np.logical_or.accumulate((keys[0] == keys[1]).reshape(trials, REPEATS), axis=1).mean(axis=0)
-    return int(np.argmax(met >= RECALL)) + 1 if met[-1] >= RECALL else REPEATS
-
-
-def _all_keys(texts: list[np.ndarray], places: np.ndarray) -> np.ndarray:
-    """Keys of whole texts in each repetition, text by text."""
+        copies.append(np.array(copy[:size], np.int64))
+    open_, allowed = np.arange(len(whole)), int((1 - RECALL) * len(whole) + 1e-9)
+    places = sampled(size, REPEATS)
+    # Only copies that have not met their item yet go on to the next repetitions.
+    for low in range(0, REPEATS, ROUND):
+        high, left, still = min(low + ROUND, REPEATS), [], 0
+        for part in np.array_split(open_, -(-len(open_) * size // CELLS)):
+            both = [x[i] for x in (whole, copies) for i in part.tolist()]
+            mine, theirs = np.split(_keys_in(low, high, both, places), 2)
+            met = np.logical_or.accumulate(mine == theirs, axis=1)
+            still, left = still + (~met).sum(axis=0), [*left, part[~met[:, -1]]]
+        if still.min() <= allowed:
+            return low + int(np.argmax(still <= allowed)) + 1
+        open_ = np.concatenate(left)
+    return 0
+
+
+def _keys_in(low: int, high: int, texts: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """Keys of whole texts, a row for each, in the repetitions from ``low`` to ``high``."""
     sizes = np.array([len(x) for x in texts])
-    starts = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(texts)), REPEATS)
-    return embedded_keys(np.concatenate(texts), starts[row], (starts + sizes)[row], places, np.tile(np.arange(REPEATS), len(texts)))
+    starts, n = np.cumsum(sizes) - sizes, high - low
+    begins, repeats = np.repeat(starts, n), np.tile(np.arange(low, high), len(texts))
+    return embedded_keys(np.concatenate(texts), begins, np.repeat(starts + sizes, n), places[repeats], repeats).reshape(len(texts), n)
 
 
 def _windows(flat: np.ndarray, items: Items):
-    """Distinct (item size, start) of the windows to look at: around every untouched run."""
+    """Around every untouched run: (starts, sizes) of the distinct windows of items with keys, (item, low, high) of the regions of the others."""
     known = flat > FOREIGN
-    asked = defaultdict(list)
+    asked, direct, listed = defaultdict(list), set(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for size, (codes, held) in items.runs.items():
         n = len(flat) - size + 1
         if n <= 0:
@@ -192,13 +220,18 @@ def _windows(flat: np.ndarray, items: Items):
         hit = codes[slot] == code
         for place, s in zip(places[hit].tolist(), slot[hit].tolist()):
             for number, cut in held[s]:
-                k = items.edits[number]
-                asked[len(items.words[number])].append((place - cut - k, place - cut + k))
+                k, n = items.edits[number], len(items.words[number])
+                if items.repeats[n]:
+                    asked[n].append((place - cut - k, place - cut + k))
+                else:
+                    direct.add((number, place, place - cut - k, place - cut + n + k))
     for size, spans in asked.items():
         low, high = np.array(spans).T
         width = high - low + 1
         starts = np.repeat(low, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        yield size, np.unique(starts)
+        starts = np.unique(starts)
+        listed.append((starts, np.full(len(starts), size)))
+    return *(np.concatenate(x) for x in zip(*listed)), direct
 
 
 def find_in_batch(texts: list[bytes], items: Items):
@@ -208,10 +241,9 @@ def find_in_batch(texts: list[bytes], items: Items):
     breaks = np.nonzero(flat == BREAK)[0]
     first, last = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(flat)]])
     best: dict[tuple, tuple] = {}
-    listed = [(starts, np.full(len(starts), size)) for size, starts in _windows(flat, items)]
-    if not listed:
+    starts, sizes, direct = _windows(flat, items)
+    if not len(starts) and not direct:
         return []
-    starts, sizes = (np.concatenate(x) for x in zip(*listed))
     # A window belongs to the text that its middle stands in, and ends with it.
     own = np.searchsorted(first, np.clip(starts + sizes // 2, 0, len(flat) - 1), side="right") - 1
     begins, ends = np.maximum(starts, first[own]), np.minimum(starts + sizes, last[own])
@@ -222,26 +254,36 @@ def find_in_batch(texts: list[bytes], items: Items):
     low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
     met = np.nonzero(high > low)[0]
     found = {(int(window[x]), int(i)) for x in met for i in numbers[low[x] : high[x]] if len(items.words[i]) == sizes[window[x]]}
-    for size in sorted({len(items.words[i]) for _, i in found}):
+    # (item, text, low, high): where each item may stand.
+    spans = []
+    for w, i in found:
+        k, o = items.edits[i], int(own[w])
+        spans.append((i, o, max(int(begins[w]) - k, int(first[o])), min(int(begins[w]) + int(sizes[w]) + k, int(last[o]))))
+    for i, place, low, high in direct:
+        o = int(np.searchsorted(first, place, side="right")) - 1
+        spans.append((i, o, max(low, int(first[o])), min(high, int(last[o]))))
+    by_size: dict[int, list] = defaultdict(list)
+    for i, o, low, high in sorted(spans):
         # Windows of one text and item that lie close together are verified as one region.
-        regions: dict[tuple, list] = {}
-        for w, i in sorted((x for x in found if len(items.words[x[1]]) == size), key=lambda x: (x[1], begins[x[0]])):
-            k, o = items.edits[i], int(own[w])
-            low, high = max(int(begins[w]) - k, int(first[o])), min(int(begins[w]) + size + k, int(last[o]))
-            spans = regions.setdefault((o, i), [])
-            if spans and low <= spans[-1][0] + 4 * k + 4 and high >= spans[-1][1] and high - spans[-1][0] <= 3 * size:
-                spans[-1] = (spans[-1][0], high)
-            else:
-                spans.append((low, high))
-        verify = [(o, i, low, high) for (o, i), spans in regions.items() for low, high in spans]
-        for part in range(0, len(verify), 2048):
-            some = verify[part : part + 2048]
+        held, k, size = by_size[len(items.words[i])], items.edits[i], len(items.words[i])
+        if held and held[-1][:2] == (i, o) and low <= held[-1][2] + 4 * k + 4 and high - held[-1][2] <= 3 * size:
+            held[-1] = (i, o, held[-1][2], max(held[-1][3], high))
+        else:
+            held.append((i, o, low, high))
+    for size, verify in sorted(by_size.items()):
+        # Each edit takes away one word of the item at most, so the others must stand in the region.
+        verify = [x for x in verify if items.repeats[size] or np.isin(items.words[x[0]], flat[x[2] : x[3]]).sum() >= size - items.edits[x[0]]]
+        if not verify:
+            continue
+        step = max(1, min(2048, CELLS // max(high - low for *_, low, high in verify)))
+        for part in range(0, len(verify), step):
+            some = verify[part : part + step]
             width = max(high - low for *_, low, high in some)
             region = np.full((len(some), width), END, np.int64)
             for row, (_, _, low, high) in enumerate(some):
                 region[row, : high - low] = flat[low:high]
-            distance, end = edit_distances(np.array([items.words[i] for _, i, _, _ in some]), region)
-            for (o, i, low, high), d, e in zip(some, distance.tolist(), end.tolist()):
+            distance, end = edit_distances(np.array([items.words[i] for i, *_ in some]), region)
+            for (i, o, low, high), d, e in zip(some, distance.tolist(), end.tolist()):
                 if d <= items.edits[i]:
                     place = (d, low + min(e, high - low) - 1 - int(first[o]))
                     best[o, i] = min(best.get((o, i), place), place)
@@ -264,7 +306,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
                   item_text_column: str = "text") -> DataFrame:
     """One row for each document and item found in it: ``distance`` (edits in words) and ``last_word`` of the best place.
 
-    Null and empty texts and items of fewer than five words find nothing; items with equal words are
+    Null and empty texts and items without a word find nothing; items of fewer than five words are found
+    where they stand unchanged. Items with equal words are
     reported under each of their ids, repeated documents each, null ids as null. No rows without items.
     """
     small_batches(docs.sparkSession)

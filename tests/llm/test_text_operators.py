@@ -213,6 +213,34 @@ def test_decontamination_of_odd_and_empty_tables(spark, odd_docs, no_docs, leake
     assert decontamination.find_passages(odd_docs, bench.where("false")).count() == 0
 
 
+def edited(words, k, rng):
+    out = list(words)
+    for _ in range(k):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 0)] = ["foreign"] if kind < 2 else []
+    return out
+
+
+def test_recall_of_long_items_behind_short_ones():
+    """The repetitions of long items don't depend on the items before them, and too many aren't cut."""
+    rng = random.Random(2)
+    rows = [(n, " ".join(f"s{n}x{i}" for i in range(6))) for n in range(300)]
+    rows += [(1000 + n, " ".join(f"l{n}x{i}" for i in range(59 + 41 * (n % 3)))) for n in range(60)]
+    items = decontamination.build_items(rows)
+    texts = []
+    for n in range(60):
+        words = rows[300 + n][1].split()
+        texts += [(300 + n, " ".join(["before"] * 9 + edited(words, int(0.2 * len(words)), rng) + ["behind"] * 9).encode()) for _ in range(10)]
+    found = {(o, i) for o, i, *_ in decontamination.find_in_batch([t for _, t in texts], items)}
+    assert sum((o, i) in found for o, (i, _) in enumerate(texts)) >= decontamination.RECALL * len(texts)
+
+
+def test_short_items_are_found_unchanged(spark):
+    docs = spark.createDataFrame([(1, "he said: Forty-two, Sir!"), (2, "forty and two"), (3, "the answer")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "forty two sir"), (8, "answer"), (9, "...")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance, r.last_word) for r in decontamination.find_passages(docs, bench).collect()} == {(1, 7, 0, 4), (3, 8, 0, 1)}
+
+
 # ---------------------------------------------------------------- personal data
 
 
