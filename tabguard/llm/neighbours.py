@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product: an inverted index with adaptive dimension scans.
 
 Vectors are put on a sphere (one more dimension makes all norms equal, so that the nearest is the one
-with the largest inner product) and turned by a random rotation. Centroids are fitted on a bounded
-sample; every vector is indexed under its nearest centroid. A query scans the lists of its nearest
+with the largest inner product) and turned by a random rotation. Centroids are fitted on a sample
+that grows with them; every vector is indexed under its nearest centroid. A query scans the lists of its nearest
 centroids column block by column block: from the partial squared distance over ``d`` of ``D`` turned
 dimensions a hypothesis test (``partial * D / d > (bound * (1 + EPSILON / sqrt(d)))**2``) abandons a
 candidate early. The bound is the query's distance to its k-th neighbour in its own list. How many
-lists are scanned is measured on the sample, so that the wanted recall is reached.
+lists are scanned is measured on held-out vectors against their exact neighbours in the whole table,
+so that the wanted recall is reached; a query whose lists hold too few vectors scans on.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from tabguard.llm.common import query, table
 from tabguard.session import write_and_reread
 
-#: Vectors of the sample that centroids are fitted on, and queries that measure the recall on it.
-SAMPLE, PROBE_QUERIES = 20_000, 256
-#: Vectors of a list on average and in one task; wanted recall on the sample; columns of a block; the test's width.
+#: Vectors of the sample that centroids are fitted on, at least and for each list; held-out queries that measure the recall.
+SAMPLE, PER_LIST, PROBE_QUERIES = 20_000, 40, 256
+#: Vectors of a list on average and in one task; wanted recall; columns of a block; the test's width.
 LIST, BLOCK, RECALL, COLUMNS, EPSILON = 2048, 4096, 0.97, 16, 2.1
 #: Queries that one task compares with a block of candidates at once.
 QUERIES_AT_ONCE = 256
+#: (query, list) or (point, list) pairs that are held at once.
+PAIRS = 1 << 16
 
 
 def rotation(size: int) -> np.ndarray:
@@ -57,7 +60,8 @@ def fit_centroids(points: np.ndarray, lists: int, rounds: int = 10) -> np.ndarra
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (points @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+    half, step = 0.5 * (centres**2).sum(axis=1), max(1, 64 * PAIRS // len(centres))
+    return np.concatenate([(points[low : low + step] @ centres.T - half).argmax(axis=1) for low in range(0, max(1, len(points)), step)])
 
 
 def lists_in_order(queries: np.ndarray, centres: np.ndarray, longest: float) -> np.ndarray:
@@ -65,20 +69,31 @@ def lists_in_order(queries: np.ndarray, centres: np.ndarray, longest: float) ->
     return (-(longest * queries @ centres.T - 0.5 * (centres**2).sum(axis=1))).argsort(axis=1, kind="stable")
 
 
-def lists_needed(sample: np.ndarray, queries: np.ndarray, centres: np.ndarray, longest: float, k: int, recall: float) -> int:
-    """Lists to scan until the sample's own neighbours are found often enough."""
-    if len(sample) <= 1:
-        return len(centres)
-    own = nearest(sample, centres)
-    found = np.zeros(len(centres))
-    order = lists_in_order(queries, centres, longest)
-    for q, lists in zip(queries, order):
-        top = np.argpartition(-(sample @ q), min(k, len(sample) - 1))[: k + 1]
-        place = np.empty(len(centres), int)
-        place[lists] = np.arange(len(centres))
-        found += np.bincount(place[own[top]], minlength=len(centres)) / len(top)
-    reached = np.cumsum(found) / len(queries)
-    return int(min(len(centres), np.searchsorted(reached, recall) + 1))
+def lists_needed(order: np.ndarray, queries: np.ndarray, lists: np.ndarray, recall: float) -> int:
+    """Lists to scan until neighbours, given by their query and the list that holds them, are found often enough."""
+    size = order.shape[1]
+    if not len(queries):
+        return size
+    reached = np.cumsum(np.bincount(order.argsort(axis=1)[queries, lists], minlength=size)) / len(queries)
+    return int(min(size, np.searchsorted(reached, recall) + 1))
+
+
+def targets(order: np.ndarray, sizes: np.ndarray, probes: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, list, whether its nearest) of the filled lists to scan: ``probes`` lists, and on until they hold ``least`` vectors."""
+    held = sizes[order]
+    wanted = np.maximum(probes, (np.cumsum(held, axis=1) < least).sum(axis=1) + 1)
+    row, at = np.nonzero((np.arange(order.shape[1]) < wanted[:, None]) & (held > 0))
+    return row, order[row, at], at == (held > 0).argmax(axis=1)[row]
+
+
+def parted(keys: list[str], digits: slice, parts: np.ndarray) -> np.ndarray:
+    """The part of each key, by its digits, where ``parts`` says how many there are."""
+    return np.array([int(key[digits], 16) for key in keys], np.int64) % np.maximum(parts, 1)
+
+
+def repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number from 0) of each row as often as ``times`` says."""
+    return np.repeat(np.arange(len(times)), times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
 def scan(queries: np.ndarray, bounds: np.ndarray, points: np.ndarray, longest: float):
@@ -171,13 +186,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     norms = distinct.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(
         [pa.array(np.sqrt((_vectors(b.column(0), kind) ** 2).sum(axis=1)))], names=["n"]) for b in (x.select(["v"]) for x in batches) if b.num_rows), "n double")
     longest = norms.agg(F.max("n")).first()[0]
-    # A hash threshold makes a sample of SAMPLE vectors in expectation: bounded, whatever the total.
-    share = min(1.0, SAMPLE / total)
-    taken = distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").orderBy("v").limit(2 * SAMPLE)
-    sample = _vectors([bytes(r.v) for r in taken.collect()] or [bytes(distinct.first().v)], kind)
-    points, queries = lifted(sample, longest), asked(sample[:: max(1, len(sample) // PROBE_QUERIES)])
-    centres = fit_centroids(points, int(np.clip(total // LIST, 16, 16_384)))
-    probes = lists_needed(points, queries, centres, longest, k, recall)
+    # The least hashes are held out, those above them up to a threshold are the sample: bounded, whatever the total.
+    lists = int(np.clip(total // LIST, 16, 16_384))
+    wanted_sample = max(SAMPLE, PER_LIST * lists)
+    hashed = distinct.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h"))
+    held_out = hashed.orderBy("h", "key").limit(min(PROBE_QUERIES, max(1, total // 10))).collect()
+    cut = held_out[-1].h
+    taken = hashed.where((F.col("h") > cut) & (F.col("h") <= cut + int(min(1.0, wanted_sample / total) * (1 << 30)) + 1)).select("v").orderBy("v").limit(2 * wanted_sample)
+    probing = _vectors([bytes(r.v) for r in held_out], kind)
+    sample = [bytes(r.v) for r in taken.collect()]
+    centres = fit_centroids(lifted(_vectors(sample, kind) if sample else probing, longest), lists)
     sent = spark.sparkContext.broadcast((centres, longest))
 
     def assign(batches):
@@ -187,35 +205,69 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(lifted(_vectors(b.column(1), kind), longest), centres).astype(np.int32))], names=[*b.schema.names, "list"])
 
     indexed = write_and_reread(distinct.mapInArrow(assign, "key string, v binary, ids array<long>, list int"), "lists")
-    # As many rows as lists: the blocks that each is cut into.
-    blocks = {r["list"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("list").count().collect()}
-    block_of = spark.sparkContext.broadcast(np.array([blocks.get(i, 0) for i in range(len(centres))], np.int64))
-
-    def place(batches):
-        for b in batches:
-            cut = block_of.value[b.column(3).to_numpy(zero_copy_only=False)]
-            block = np.array([int(key[:8], 16) for key in b.column(0).to_pylist()], np.int64) % np.maximum(cut, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block.astype(np.int32))], names=[*b.schema.names, "block"])
-
-    placed = indexed.mapInArrow(place, "key string, v binary, ids array<long>, list int, block int")
+    # As many rows as lists: the vectors of each, and the blocks that it is cut into.
+    counted = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
+    sizes = np.array([counted.get(i, 0) for i in range(len(centres))], np.int64)
+    blocks = -(-sizes // BLOCK)
+    probes = lists_needed(lists_in_order(asked(probing), centres, longest), *_exact(indexed, [r.key for r in held_out], asked(probing), longest, k, kind), recall)
+    layout = spark.sparkContext.broadcast((sizes, blocks))
     wanted = rows.where(F.col("id") % every == 0)
     asking = write_and_reread(_merged(wanted, 1, kind).select("key", "v"), "queries")
 
-    def probe(first, last, all_blocks):
+    def asked_lists(batches):
+        """Slices of the queries with their targets."""
+        centres, longest = sent.value
+        step = max(1, PAIRS // len(centres))
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                b = whole.slice(low, step)
+                order = lists_in_order(asked(_vectors(b.column(b.schema.names.index("v")), kind)), centres, longest)
+                yield b, *targets(order, layout.value[0], probes, k + 1)
+
+    def count(batches):
+        total = np.zeros((2, len(sent.value[0])), np.int64)
+        for _, _, lists, home in asked_lists(batches):
+            total += [np.bincount(x, minlength=total.shape[1]) for x in (lists[home], lists)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *map(pa.array, total)], names=["list", "home", "n"])
+
+    # As many rows as lists: the queries of each, all in one part.
+    asks = asking.mapInArrow(count, "list int, home long, n long").groupBy("list").agg(F.sum("home").alias("home"), F.sum("n").alias("n")).collect()
+    parts = np.zeros((2, len(centres)), np.int64)
+    for r in asks:
+        parts[:, r["list"]] = min(r["home"], 1), min(r["n"], 1)
+    parts_of = spark.sparkContext.broadcast(parts)
+
+    def place(everything):
+        """Each vector in its block, once for each part of the list's queries."""
+
+        def run(batches):
+            for whole in batches:
+                for low in range(0, whole.num_rows, 4096):
+                    b = whole.slice(low, 4096)
+                    lists = b.column(3).to_numpy(zero_copy_only=False)
+                    block = parted(b.column(0).to_pylist(), slice(0, 8), layout.value[1][lists])
+                    times = parts_of.value[int(everything)][lists]
+                    row, part = repeated(times if everything else np.where(block == 0, times, 0))
+                    out = b.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block[row].astype(np.int32)), pa.array(part.astype(np.int32))], names=[*b.schema.names, "block", "part"])
+
+        return indexed.mapInArrow(run, "key string, v binary, ids array<long>, list int, block int, part int")
+
+    def probe(everything):
+        """Each query with its nearest list's first block, or with all blocks but that."""
+
         def run(batches):
-            centres, longest = sent.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                order = lists_in_order(asked(_vectors(b.column(b.schema.names.index("v")), kind)), centres, longest)[:, first:last]
-                # A query's first list may stand for its nearest non-empty one: every list has vectors of the sample.
-                lists = order.ravel()
-                row = np.repeat(np.arange(b.num_rows), order.shape[1])
-                times = block_of.value[lists] if all_blocks else np.minimum(block_of.value[lists], 1)
-                at = np.repeat(np.arange(len(lists)), times)
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                out = b.take(pa.array(row[at]))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists[at].astype(np.int32)), pa.array(block.astype(np.int32))], names=[*b.schema.names, "list", "block"])
+            for b, row, lists, home in asked_lists(batches):
+                if not everything:
+                    row, lists, home = row[home], lists[home], home[home]
+                at, block = repeated(layout.value[1][lists] if everything else np.ones(len(lists), np.int64))
+                if everything:
+                    other = ~(home[at] & (block == 0))
+                    at, block = at[other], block[other]
+                row, lists = row[at], lists[at]
+                part = parted([b.column(0)[i].as_py() for i in range(b.num_rows)], slice(8, 16), np.ones(b.num_rows, np.int64) << 32)[row] % parts_of.value[int(everything)][lists]
+                out = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(x.astype(np.int32)) for x in (lists, block, part))], names=[*b.schema.names, "list", "block", "part"])
 
         return run
 
@@ -244,14 +296,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
         return run
 
     result = "qkey string, ids array<long>, score double, d double"
-    shape = "key string, v binary, bound double, list int, block int"
+    shape = "key string, v binary, bound double, list int, block int, part int"
+    group = ["list", "block", "part"]
     # The nearest list gives each query a bound: the distance of its (k + 1)-th neighbour there.
-    home = asking.withColumn("bound", F.lit(float("inf"))).mapInArrow(probe(0, 1, False), shape)
-    near = home.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(compare(k + 1), result)
+    home = asking.withColumn("bound", F.lit(float("inf"))).mapInArrow(probe(False), shape)
+    near = write_and_reread(home.groupBy(*group).cogroup(place(False).groupBy(*group)).applyInPandas(compare(k + 1), result), "near")
     bound = near.groupBy("qkey").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).select("qkey", F.when(F.col("n") > k, F.col("d")).alias("d"))
     bounded = write_and_reread(asking.join(bound, asking["key"] == bound["qkey"], "left").select("key", "v", F.coalesce("d", F.lit(float("inf"))).alias("bound")), "bounds")
-    spread = bounded.mapInArrow(probe(0, probes, True), shape)
-    found = spread.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(compare(k + 1), result)
+    spread = bounded.mapInArrow(probe(True), shape)
+    found = spread.groupBy(*group).cogroup(place(True).groupBy(*group)).applyInPandas(compare(k + 1), result).unionByName(near)
     single = found.select("qkey", "score", F.explode("ids").alias("id"))
     ranked = single.withColumn("at", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "id"))).where(F.col("at") <= k + 1)
     # A list of at most k + 1 for each distinct query vector, handed to each row that asked with it.
@@ -262,6 +315,32 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
         "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _exact(indexed: DataFrame, keys: list[str], queries: np.ndarray, longest: float, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) of the ``k`` nearest vectors of each query in the whole table, itself left out."""
+    sent = indexed.sparkSession.sparkContext.broadcast(({key: i for i, key in enumerate(keys)}, queries))
+
+    def run(batches):
+        own, queries = sent.value
+        score, held = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            mine = queries @ lifted(_vectors(b.column(1), kind), longest).T
+            for j, key in enumerate(b.column(0).to_pylist()):
+                if key in own:
+                    mine[own[key], j] = -np.inf
+            score = np.hstack([score, mine])
+            held = np.hstack([held, np.broadcast_to(b.column(3).to_numpy(zero_copy_only=False), mine.shape)])
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, held = np.take_along_axis(score, top, axis=1), np.take_along_axis(held, top, axis=1)
+        q, at = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(score[q, at]), pa.array(held[q, at].astype(np.int32))], names=["q", "score", "list"])
+
+    near = indexed.mapInArrow(run, "q int, score double, list int")
+    best = near.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))).where(F.col("at") <= k).select("q", "list").collect()
+    return np.array([r.q for r in best], np.int64), np.array([r["list"] for r in best], np.int64)
+
+
 def _keyed(rows: DataFrame, kind: str) -> DataFrame:
     """(id, key) of each row, without repeats of both."""
 

@@ -175,6 +175,26 @@ def test_few_and_no_vectors(spark):
     assert empty.count() == 0 and empty.columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def found_share(rows, want):
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in want)
+    return np.mean([len(got[q] & set(want[q])) / 20 for q in want])
+
+
+def test_recall_with_many_lists(spark, monkeypatch):
+    """A sample of about a point for each list must not decide how many are scanned; small lists still give all neighbours."""
+    rng = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((1500, 12)).tolist())]
+    frame, want = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), plain_search(rows)
+    monkeypatch.setattr(neighbours, "LIST", 8)
+    monkeypatch.setattr(neighbours, "SAMPLE", 200)
+    whole = neighbours.search(frame).collect()
+    assert found_share(whole, want) >= 0.93
+    assert found_share(neighbours.search(frame, recall=0.0).collect(), want) > 0
+
+
 def test_early_abandoning_keeps_the_near(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((600, 64))
