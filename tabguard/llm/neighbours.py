@@ -26,8 +26,8 @@ SAMPLE, PER_LIST, PROBE_QUERIES = 20_000, 40, 256
 LIST, BLOCK, RECALL, COLUMNS, EPSILON = 2048, 4096, 0.97, 16, 2.1
 #: Queries that one task compares with a block of candidates at once.
 QUERIES_AT_ONCE = 256
-#: (query, list) or (point, list) pairs that are held at once.
-PAIRS = 1 << 16
+#: Queries of a list in one task; (query, list) or (point, list) pairs that are held at once.
+QUERIES, PAIRS = 16_384, 1 << 16
 
 
 def rotation(size: int) -> np.ndarray:
@@ -230,11 +230,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
             total += [np.bincount(x, minlength=total.shape[1]) for x in (lists[home], lists)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *map(pa.array, total)], names=["list", "home", "n"])
 
-    # As many rows as lists: the queries of each, all in one part.
+    # As many rows as lists: the queries of each, and the parts that they are cut into.
     asks = asking.mapInArrow(count, "list int, home long, n long").groupBy("list").agg(F.sum("home").alias("home"), F.sum("n").alias("n")).collect()
     parts = np.zeros((2, len(centres)), np.int64)
     for r in asks:
-        parts[:, r["list"]] = min(r["home"], 1), min(r["n"], 1)
+        parts[:, r["list"]] = -(-r["home"] // QUERIES), -(-r["n"] // QUERIES)
     parts_of = spark.sparkContext.broadcast(parts)
 
     def place(everything):

@@ -183,7 +183,7 @@ def found_share(rows, want):
     return np.mean([len(got[q] & set(want[q])) / 20 for q in want])
 
 
-def test_recall_with_many_lists(spark, monkeypatch):
+def test_recall_with_many_lists_and_blocks_of_queries(spark, monkeypatch):
     """A sample of about a point for each list must not decide how many are scanned; small lists still give all neighbours."""
     rng = np.random.default_rng(12)
     rows = [(i, v) for i, v in enumerate(rng.standard_normal((1500, 12)).tolist())]
@@ -193,6 +193,9 @@ def test_recall_with_many_lists(spark, monkeypatch):
     whole = neighbours.search(frame).collect()
     assert found_share(whole, want) >= 0.93
     assert found_share(neighbours.search(frame, recall=0.0).collect(), want) > 0
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    monkeypatch.setattr(neighbours, "BLOCK", 5)
+    assert found_share(neighbours.search(frame).collect(), want) >= 0.93
 
 
 def test_early_abandoning_keeps_the_near(spark):
