@@ -19,6 +19,8 @@ from tabguard.llm.common import query, small_batches, table
 NEAR, LONGEST = 16, 2048
 #: Words of a repeated passage, counted over whole chunks: passages of 50 words and more have as many at any offset.
 LEAST_WORDS = 25
+#: Bytes that count as a word where fewer blanks stand: scripts without blanks, code, encoded blocks.
+WORD_LENGTH = 8
 #: Bytes that the rolling hash covers: 2 to the power of its doubling steps.
 DOUBLINGS = 4
 
@@ -100,6 +102,7 @@ def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 place = places[ends - 1]
                 # A word belongs to the chunk that holds the blank behind it.
                 words = np.add.reduceat(blank[data] & ~np.append(blank[data[1:]], 0), starts)
+                words = np.maximum(words, (ends - starts) // WORD_LENGTH)
                 rows.append(np.full(len(ends), row))
                 parts.append(np.stack([np.arange(len(ends)), np.concatenate([[0], place[:-1]]), place, words]))
             if not rows:
@@ -120,7 +123,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_column
     ``n_passages``, ``n_words`` in them, ``passages`` (start:end in code points, comma-joined),
     ``dropped`` (those parts of them that stand in an earlier document or earlier in this one: what
     deduplication removes) and ``first_doc``, the smallest document that has any of it. Chunks that
-    repeat within one document only don't count. Null ids or texts and empty texts have no row, rows
+    repeat within one document only don't count. A chunk counts a word for each eight bytes at least, so
+    that texts without blanks have words too. Null ids or texts and empty texts have no row, rows
     of the same id are one document.
     """
     chunks = chunk_rows(docs, id_column, text_column)

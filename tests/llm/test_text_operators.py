@@ -137,6 +137,15 @@ def test_passages_are_found_and_short_lines_left_alone(spark, odd_texts):
         assert passage.count(held[100 + n][start:end].strip()[20:-20]) == 1
 
 
+def test_passages_without_blanks(spark):
+    rng = random.Random(9)
+    chinese = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(4)]
+    code = "".join(rng.choice("abcdefghij(){};=+") for _ in range(900))
+    texts = [(1, chinese[0]), (2, chinese[0]), (3, chinese[1] + chinese[2]), (4, chinese[3] + chinese[2]), (5, chinese[1][:20]), (6, code), (7, "x\xa0" + code), (8, chinese[3][:9])]
+    rows = substrings.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.first_doc for r in rows} == {1: 1, 2: 1, 3: 3, 4: 3, 6: 6, 7: 6}
+
+
 def test_passages_of_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert {r.doc_id for r in substrings.repeated_passages(odd_docs).collect()} == {4, 5}
     assert substrings.repeated_passages(no_docs).count() == 0
