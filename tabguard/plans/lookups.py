@@ -28,8 +28,9 @@ def lookup_join(
 
     ``usage`` is the column of ``table`` with the number of facts per key (None: count them).
     The ``hot_keys`` keys with the largest ``usage`` come from a broadcast of that many rows.
-    Their fact rows get a random-looking salt for the second join, where they match nothing and
-    so spread over all partitions. No join hint there: AQE broadcasts a side it measured as small.
+    Their fact rows, and those with a null key, get a random-looking salt for the second join, where
+    they match nothing and so spread over all partitions. The facts are read once, so lookups may be
+    chained. No join hint there: AQE broadcasts a side it measured as small.
     """
     if usage is None:
         # Counted with map-side sums: one row per key and task is shuffled.
@@ -41,7 +42,9 @@ def lookup_join(
         size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.to_json(F.struct(c(p)))), F.lit(0)) for p in heavy])
         hot = hot.filter(size <= HOT_BYTES // max(1, hot_keys))
     hot = hot.select(*[c(k) for k in keys], *[c(p).alias(f"_hot_{p}") for p in payload], F.lit(True).alias("_hot"))
-    cold = table.select(*[c(k) for k in keys], F.lit(-1).alias("_salt"), *[c(p).alias(f"_cold_{p}") for p in payload])
+    # Always -1, but taken from the keys: a literal would leave the join key, and with it the salt.
+    same = F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(1)).cast("int") - 1
+    cold = table.select(*[c(k) for k in keys], same.alias("_salt"), *[c(p).alias(f"_cold_{p}") for p in payload])
     spread = F.pmod(F.xxhash64(*[c(n) for n in facts.columns]), F.lit(4096)).cast("int")
     # A null key matches nothing: its rows are spread like those of hot keys.
     no_match = reduce(lambda a, b: a | b, [c(k).isNull() for k in keys])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -131,6 +132,25 @@ def test_lookup_join_spreads_null_keys(spark):
     assert len(held) >= 6 and max(r["count"] for r in held) < 2000
 
 
+def test_lookup_join_spreads_a_hot_key_without_adaptive_plans(spark):
+    """The salt stays in the join's exchange, and rows of a key that is served from the broadcast spread by it."""
+    facts = spark.range(8000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.col("id") % 40)).otherwise("hot").alias("k"), F.col("id").alias("i"))
+    table = facts.groupBy("k").agg(F.count("*").alias("uses"), F.concat(F.lit("p"), F.max("i")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(facts, table, ["k"], "uses", ["text"], hot_keys=1)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        held = joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        twice = lookup_join(joined, table.withColumnRenamed("text", "more"), ["k"], "uses", ["more"], hot_keys=1)
+        assert twice.filter("text <=> more").count() == 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"hashpartitioning\(k#\d+, _salt#\d+", plan)) == 2
+    assert len(held) >= 6 and max(r["count"] for r in held) < 2000
+
+
 def test_lookup_join_keeps_large_documents_out_of_the_broadcast(spark):
     table = spark.createDataFrame([("a", 5, "x" * 40_000), ("b", 1, "y")], "k string, uses long, text string")
     facts = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
