@@ -6,7 +6,7 @@ import importlib
 
 from tabguard.llm.common import QUERIES, SQL
 
-MODULES = ["licenses", "quality", "privacy", "bpe", "token_counts", "substrings", "neighbours", "simhash", "toxicity", "decontamination"]
+MODULES = ["licenses", "quality", "privacy", "bpe", "token_counts", "substrings", "neighbours", "simhash", "toxicity", "decontamination", "ranked", "chat", "phrases"]
 
 
 def load():
