@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import fidelity, ks
+from tabguard.operators import fidelity, ks, wide_correlation
 from workload.catalog import query, table
 from workload.disclosure import rounded
 
@@ -129,6 +129,26 @@ def correlation_matrix(spark, sf_dir):
     return rounded(fidelity.correlation_matrix(pair(spark, sf_dir)[0].select(*MATRIX)), "corr")
 
 
+WIDE_SQL = """
+WITH p AS (SELECT i, j FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i < j)
+, v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN NULL ELSE x::DOUBLE END) AS r,
+               list_transform(embedding, lambda x: x::DOUBLE * label) AS y FROM embeddings)
+, m AS (SELECT i, j, corr(r[i], r[j]) AS r, corr(y[i], y[j]) AS y FROM v, p GROUP BY i, j)
+SELECT 'e' || (i - 1) AS col_a, 'e' || (j - 1) AS col_b, round(r, 6) AS real_corr, round(y, 6) AS synth_corr, round(abs(r - y), 5) AS diff FROM m
+"""
+
+
+@query(WIDE_SQL)
+def correlation_wide(spark, sf_dir):
+    """64 columns with missing values against a scaled copy, in blocks of 16 columns and more than one scan."""
+    vectors = table(spark, sf_dir, "embeddings")
+    values = [F.col("embedding")[i] for i in range(64)]
+    real = vectors.select(*[F.when(~(v > 0.1), v.cast("double")).alias(f"e{i}") for i, v in enumerate(values)])
+    synth = vectors.select(*[(v.cast("double") * F.col("label")).alias(f"e{i}") for i, v in enumerate(values)])
+    found = wide_correlation.wide_correlation_difference(real, synth, block=16, most_bytes=8 * 16 * 16 * 8 * 6)
+    return rounded(found.withColumn("diff", F.round("diff", 5)), "real_corr", "synth_corr")
+
+
 KS_SQL = PAIR_SQL + """
 , v AS (""" + union(
     f"SELECT '{n}' AS \"column\", {n}::DOUBLE AS x, {a} AS a, {b} AS b FROM {t}"

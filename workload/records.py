@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import admission, corpus, experiments, leakage, registry
+from tabguard.operators import admission, change_tables, corpus, experiments, leakage, registry, vector_index
 from tabguard.session import scratch_path
 from tabguard.sources import sinks
 from tabguard.streaming import admission as streaming
@@ -117,6 +117,28 @@ def annotations_current(spark, sf_dir):
     return experiments.current_rows(changes(spark, sf_dir), ["graphId", "x", "comment", "resolved"])
 
 
+def _in_batches(spark, tag, log, payload):
+    """The log in three batches, each with changes from all of its time, and a compaction after the second."""
+    kept = change_tables.ChangeTable(spark, scratch_path(spark, tag), tuple(payload))
+    kept.create(log.filter(F.col("seq") % 3 == 0), ranges=16)
+    kept.append(log.filter(F.col("seq") % 3 == 1))
+    kept.compact()
+    kept.append(log.filter(F.col("seq") % 3 == 2))
+    return kept.current()
+
+
+@query(CHANGES_SQL + 'SELECT id, ts, "graphId", x, comment, resolved FROM cur')
+def annotations_merged(spark, sf_dir):
+    return _in_batches(spark, "annotations", changes(spark, sf_dir), ["graphId", "x", "comment", "resolved"])
+
+
+@query("SELECT user_id AS id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+def experiment_status_merged(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(
+        F.lit("add").alias("op"), F.col("user_id").alias("id"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq"))
+    return _in_batches(spark, "status", log, ["status"])
+
+
 REJECTED_SQL = CHANGES_SQL + "SELECT op, id, seq FROM st WHERE op <> 'add' AND (state IS NULL OR state <> 'add')"
 
 
@@ -277,18 +299,48 @@ def page_search_index(spark, sf_dir):
     return rounded(corpus.search_index(pages(spark, sf_dir), path, QUESTION, top_k=7), "score")
 
 
-@query("""
+VECTOR_SQL = """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))
    / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])), 6) AS score
 FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10
-""")
+"""
+
+
+@query(VECTOR_SQL)
 def vector_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     wanted = vectors.filter("vec_id = 0").first()["embedding"]
     return rounded(corpus.nearest_vectors(vectors, list(wanted), top_k=10), "score")
 
 
+def _vector_index(spark, sf_dir):
+    path = scratch_path(spark, "vectors")
+    vectors = table(spark, sf_dir, "embeddings")
+    vector_index.build_vector_index(vectors, path)
+    return path, vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(VECTOR_SQL)
+def vector_search_index(spark, sf_dir):
+    """The same search through the index, completed by its bounds."""
+    path, vectors = _vector_index(spark, sf_dir)
+    found = vector_index.search_vector_index(spark, path, vectors.filter("query_id = 0"), top_k=10, exact=True)
+    return rounded(found.select(F.col("key").alias("vec_id"), "score"), "score")
+
+
+@query("SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings)) AS results, TRUE AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_search_index_recall(spark, sf_dir):
+    """Recall of the probed lists alone against a scan of all vectors, for every 50th vector as a query."""
+    path, vectors = _vector_index(spark, sf_dir)
+    asked = vectors.filter("query_id % 50 = 0")
+    found = vector_index.search_vector_index(spark, path, asked, top_k=10)
+    exact = vector_index.nearest_exactly(vectors.select(F.col("query_id").alias("key"), "vector"), asked, 10)
+    both = exact.select("query_id", "key", F.lit(1).alias("exact")).join(found.select("query_id", "key", F.lit(1).alias("found")), ["query_id", "key"], "full")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("found").alias("results"),
+                    (F.count_if(F.col("exact").isNotNull() & F.col("found").isNotNull()) >= F.count("exact") * 0.95).alias("recall_reached"))
+
+
 @query('SELECT event_type || user_id AS "query", ts AS timestamp, CAST(event_id % 9 + 1 AS BIGINT) AS top_k FROM events ORDER BY ts DESC, "query"')
 def search_history(spark, sf_dir):
     return corpus.search_history(table(spark, sf_dir, "events").select(
