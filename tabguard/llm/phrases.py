@@ -27,7 +27,7 @@ from tabguard.session import write_and_reread
 #: Words that the sample is meant to hold; it sets the number of passes, not the result.
 SAMPLE_WORDS = 3_000_000
 #: Bits of a table of proposed phrases (2 ** BITS), places a phrase sets.
-BITS, PLACES = 26, 3
+BITS, PLACES = 25, 3
 #: Words that a task counts at a time before it hands its counts on.
 WORDS_AT_ONCE = 1 << 20
 #: Parts in which the phrases of a language are ranked before its last ranking.
@@ -129,6 +129,7 @@ def _count(held: _Words, filters, level: int):
     real = stream > 0
     if level == 0:
         found = np.bincount(stream, minlength=len(names))
+        yield 0, [], np.array([found[1:].sum()]), names
         at = np.flatnonzero(found[1:]) + 1
         yield 1, [at], found[at], names
     two = real[:-1] & real[1:]
@@ -165,7 +166,10 @@ def _count(held: _Words, filters, level: int):
 
 
 def count_pass(docs: DataFrame, filters, level: int, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
-    """(lang, phrase, words, f): exact counts of the phrases between the old and the new proposal."""
+    """(lang, phrase, words, f): exact counts of the phrases between the old and the new proposal.
+
+    The first pass (``level`` 0) counts every word too, and the words of a language as a phrase of none.
+    """
     small_batches(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
                          F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("t"))
@@ -175,7 +179,9 @@ def count_pass(docs: DataFrame, filters, level: int, lang_column: str = "lang",
             for words, parts, times, names in _count(held, filters, level):
                 for start in range(0, len(times), 50_000):
                     chunk = [p[start:start + 50_000].tolist() for p in parts]
-                    if words == 1:
+                    if words == 0:
+                        phrases = [b""]
+                    elif words == 1:
                         phrases = [names[a] for a in chunk[0]]
                     elif words == 2:
                         phrases = [names[a] + b" " + names[b] for a, b in zip(*chunk)]
@@ -208,28 +214,27 @@ def count_pass(docs: DataFrame, filters, level: int, lang_column: str = "lang",
 def frequent_phrases(docs: DataFrame, least: int, lang_column: str = "lang", text_column: str = "text", sample_words: int = SAMPLE_WORDS) -> tuple[DataFrame, int]:
     """All phrases of one to three words with at least ``least`` places, with exact counts, and the number of passes over the texts.
 
-    Words are returned whatever their count, as every pass counts from them.
+    A phrase of no words holds the number of all words of its language.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
     # A word and its blank take about six bytes.
     share = min(1.0, sample_words * 6 / size) if size else 1.0
-    # Lowered, so that few phrases that are frequent in the whole are missed.
-    lowered = max(1, int(least * share - 2 * (least * share) ** 0.5)) if share < 1 else least
+    # Lowered, so that few phrases that are frequent in the whole are missed; two places at least, as one says nothing.
+    lowered = max(2, int(least * share - 2 * (least * share) ** 0.5)) if share < 1 else least
     nothing = no_proposal()
     everything = ~nothing
     sample = docs.sample(share, seed=1) if share < 1 else docs
     # All words and pairs of the sample: an empty old proposal, every bit set in the new one but no pair, so no triples.
-    seen = count_pass(sample, (nothing, nothing, everything, nothing), 0, lang_column, text_column).where((F.col("f") >= lowered) & (F.col("words") < 3))
+    seen = count_pass(sample, (nothing, nothing, everything, nothing), 0, lang_column, text_column).where((F.col("f") >= lowered) & F.col("words").isin(1, 2))
     seen = write_and_reread(seen, "proposed")
     filters = (nothing, nothing, proposal(seen, 1), proposal(seen, 2))
     found, passes = None, 0
     while True:
-        # Words are kept whole for the total; of longer phrases only the frequent ones are needed again.
-        counted = count_pass(docs, filters, passes, lang_column, text_column).where((F.col("words") == 1) | (F.col("f") >= least))
+        counted = count_pass(docs, filters, passes, lang_column, text_column).where((F.col("words") == 0) | (F.col("f") >= least))
         counted = write_and_reread(counted, "counted")
         passes += 1
         found = counted if found is None else found.unionByName(counted)
-        often = counted.where(F.col("f") >= least)
+        often = counted.where("words > 0")
         words = filters[2] | proposal(often, 1) if passes == 1 else filters[2]
         pairs = filters[3] | proposal(often, 2)
         if np.array_equal(words, filters[2]) and np.array_equal(pairs, filters[3]):
@@ -247,8 +252,8 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
     without a phrase have no rows; other columns are ignored. An empty table gives no rows.
     """
     found, _ = frequent_phrases(docs, least, lang_column, text_column)
-    total = found.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    often = found.where(F.col("f") >= least)
+    total = found.where("words = 0").select("lang", F.col("f").alias("n"))
+    often = found.where("words > 0")
     longer = often.where("words = 3").select("lang", "phrase", F.col("f").alias("outer"), F.split("phrase", " ").alias("w"))
     around = (
         longer.select("lang", "outer", F.explode(F.array(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]))).alias("phrase"))
