@@ -10,8 +10,9 @@ def pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete correlation; null (not an error) for a constant column."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+    # Merged means are rounded, so a constant column is told by its range, not by a deviation of 0.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def zero_to_one(scale: Column) -> Column:

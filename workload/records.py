@@ -10,6 +10,7 @@ from tabguard.operators import admission, change_tables, corpus, experiments, le
 from tabguard.session import scratch_path
 from tabguard.sources import sinks
 from tabguard.streaming import admission as streaming
+from tabguard.streaming.ordered_admission import admit_stream_in_order, rocksdb_state
 from workload.catalog import query, table
 from workload.disclosure import rounded
 
@@ -541,6 +542,27 @@ def request_admission_stream(spark, sf_dir):
     return _run(decided, spark, "admitted").select("order_id", "admitted", "in_window")
 
 
+@query(ADMIT_SQL.format(key="user_id", us=DAY * 1_000_000, limit=2) + """
+SELECT event_id AS order_id, admitted, CAST(len(st) AS INT) AS in_window FROM w
+WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 172800000
+""")
+def request_admission_late(spark, sf_dir):
+    """Requests that come up to a day late, in five files: the decisions are those of the ordered log."""
+    log = table(spark, sf_dir, "events")
+    # Up to 23 hours behind its time, by a hash of the request.
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(23 * 3600 * 1_000_000))
+    span = log.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    arrived = log.withColumn("file", F.floor((arrival - F.lit(span["a"])) * 5 / F.lit(span["b"] - span["a"] + 1)))
+    folder = scratch_path(spark, "late-requests")
+    for i in range(5):
+        # A file after the other: the source reads them in the order of their time.
+        arrived.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    decided = admit_stream_in_order(source, ["user_id"], "ts", "event_id", limit=2, window_seconds=DAY, lateness="2 days")
+    with rocksdb_state(spark):
+        return _run(decided, spark, "late-admitted").select("order_id", "admitted", "in_window")
+
+
 @query("""
 WITH b AS (SELECT event_type, unnest(generate_series(CAST(floor(epoch(ts) / 600) * 600 - 3000 AS BIGINT), CAST(floor(epoch(ts) / 600) * 600 AS BIGINT), 600)) AS s FROM events)
 , w AS (SELECT s, event_type, count(*) AS requests FROM b GROUP BY ALL)
