@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions import randoms
 from tabguard.schema import as_double, c, melt_row, numeric_columns, require_columns
+from tabguard.session import write_and_reread
 
 MECHANISMS = ("laplace", "gaussian")
 LEDGER_SCHEMA = (
@@ -99,26 +100,39 @@ def noise_ledger(
     )
 
 
-def add_noise(df: DataFrame, ledger: DataFrame, key: list[str], seed: int | None = None) -> DataFrame:
+def add_noise(df: DataFrame, ledger: DataFrame, key: list[str] | None = None, seed: int | None = None) -> DataFrame:
     """Noise every column of ``ledger`` by its scale; nulls stay null, other columns stay as they are.
 
-    The noise of a row is a keyed SHA-256 of its ``key``, so that a lost task repeats it. The secret
-    is drawn anew for each call and kept nowhere: nobody who knows the rows' keys can subtract the
-    noise. A ``seed`` makes it repeatable, and public: for tests only. The ledger has one row per column, so its scales come to the driver and the noise is one projection.
+    The noise of a row is a keyed SHA-512 of its ``key``, so that a lost task repeats it. Rows that
+    shared a key would share their noise, which then cancels in their difference: a key that does
+    not identify the rows is refused. Without a ``key`` the rows are numbered, and the numbers fixed by writing the table.
+    The secret is drawn anew for each call and kept nowhere: nobody who knows the rows' keys can
+    subtract the noise. A ``seed`` makes it repeatable (with a key, or for the same partitions), and public: for tests only.
+    The ledger has one row per column, so its scales come to the driver and the noise is one projection.
     """
-    require_columns(df, key)
-    keys = [c(n) for n in key]
+    scales = ledger.select("column", "noise_scale", "mechanism").collect()
+    if not scales:
+        return df
+    if key is None:
+        numbered = write_and_reread(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        keys = [F.col("_row")]
+    else:
+        require_columns(df, key)
+        numbered, keys = df, [c(n) for n in key]
+        repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+        if not repeated.isEmpty():
+            raise ValueError(f"rows share a key {key}, and would share their noise")
     secret = secrets.token_hex(32) if seed is None else f"seed {seed}"
-    noised = {}
-    for row in ledger.select("column", "noise_scale", "mechanism").collect():
-        draw = randoms.laplace if row["mechanism"] == "laplace" else randoms.normal
-        n = row["column"]
-        noised[n] = (as_double(n) + draw(secret, f"noise/{n}", *keys) * F.lit(row["noise_scale"])).alias(n)
-    return df.select(*[noised.get(n, c(n)) for n in df.columns])
+    made, uniforms = randoms.secret_uniforms(numbered, secret, keys, len(scales) + len(scales) % 2)
+    normals, noised = randoms.normals_of(uniforms), {}
+    for i, row in enumerate(scales):
+        drawn = randoms.laplace_of(uniforms[i]) if row["mechanism"] == "laplace" else normals[i]
+        noised[row["column"]] = (as_double(row["column"]) + drawn * F.lit(row["noise_scale"])).alias(row["column"])
+    return made.select(*[noised.get(n, c(n)) for n in df.columns])
 
 
 def noisy_column(
-    df: DataFrame, column: str, budget: Budget, key: list[str], sensitivity: float | None = None, epsilon_fraction: float = 1.0, seed: int | None = None
+    df: DataFrame, column: str, budget: Budget, key: list[str] | None = None, sensitivity: float | None = None, epsilon_fraction: float = 1.0, seed: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The table with one noised column, and its ledger row."""
     given = {} if sensitivity is None else {column: sensitivity}

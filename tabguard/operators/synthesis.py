@@ -299,7 +299,7 @@ def fit_copula(
     if epsilon is not None:
         numbers = [n for n, r in roles.items() if r == "numerical"]
         if numbers:
-            df = add_noise(df, noise_ledger(df, Budget(epsilon), numbers), key or df.columns, seed)
+            df = add_noise(df, noise_ledger(df, Budget(epsilon), numbers), key, seed)
     modelled = modelled_columns(roles)
     marginals, categories, rows = fit_marginals(df, modelled)
     view = prepared(df, modelled)

@@ -53,7 +53,7 @@ def run_experiment(spark: SparkSession, real: DataFrame, config: ExperimentConfi
             kept = {config.sequence_key, config.sequence_index}
             noised = [n for n, role in column_roles(real).items() if role == "numerical" and n not in kept]
             results["ledger"] = write_and_reread(noise_ledger(real, Budget(config.epsilon), noised), "ledger")
-            real_view = write_and_reread(add_noise(real, results["ledger"], real.columns), "noised")
+            real_view = write_and_reread(add_noise(real, results["ledger"]), "noised")
         else:
             real_view = real
         model = sequences.fit_sequences(real_view, config.sequence_key, config.sequence_index)

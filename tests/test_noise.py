@@ -68,3 +68,36 @@ def test_bad_budgets(arguments):
 def test_labels(spark, epsilon, word):
     text = spark.range(1).select(noise.epsilon_label(F.lit(epsilon)).alias("t")).first().t
     assert text.startswith(word)
+
+
+def test_rows_with_one_key_are_refused_or_numbered(spark):
+    df = spark.createDataFrame([("a", 10.0, 1.0), ("a", 10.0, 1.0), ("a", 30.0, 1.0), (None, 10.0, 1.0)], "k string, x double, y double").repartition(3)
+    ledger = noise.noise_ledger(df, noise.Budget(1.0), ["x", "y"], {"x": 1.0, "y": 1.0})
+    with pytest.raises(ValueError, match="share"):
+        noise.add_noise(df, ledger, ["k"])
+    rows = noise.add_noise(df, ledger).collect()
+    assert len({round(r.x - r.y, 6) for r in rows}) == 4 and len({r.x for r in rows}) == 4
+    differences = {round(a.x - b.x, 6) % 10 for a in rows for b in rows if a is not b}
+    assert 0 not in differences
+    keyed = noise.add_noise(df.dropDuplicates(), ledger, ["k", "x"], seed=1)
+    assert keyed.count() == 3 and keyed.columns == df.columns
+
+
+@pytest.mark.parametrize("mechanism", ["laplace", "gaussian"])
+def test_noise_of_many_columns_is_independent(spark, mechanism):
+    """Twelve columns take two digests; scales, means and correlations are those of independent draws."""
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(4000).select("id", *[F.lit(0.0).alias(n) for n in names])
+    ledger = noise.noise_ledger(df, noise.Budget(1.0, 1e-5, mechanism), names, dict.fromkeys(names, 1.0), "full")
+    scale = ledger.first().noise_scale
+    pdf = noise.add_noise(df, ledger, ["id"], seed=3).toPandas()[names] / scale
+    spread = math.sqrt(2) if mechanism == "laplace" else 1.0
+    assert (pdf.mean().abs() < 0.12).all() and ((pdf.std() - spread).abs() < 0.12).all()
+    off = pdf.corr().to_numpy() - __import__("numpy").eye(12)
+    assert abs(off).max() < 0.08
+
+
+def test_keys_that_read_alike_have_their_own_noise(spark):
+    df = spark.createDataFrame([("a", "b:c", 0.0), ("a1:b", "c", 0.0), ("ab", ":c", 0.0), (None, "-", 0.0), ("-", None, 0.0)], "k string, l string, x double")
+    ledger = noise.noise_ledger(df, noise.Budget(1.0), ["x"], {"x": 1.0})
+    assert len({r.x for r in noise.add_noise(df, ledger, ["k", "l"], seed=2).collect()}) == 5
