@@ -208,11 +208,15 @@ class Coder:
 
 
 def _coder(sent):
-    return worker_state(("bpe", hash(tuple(sent.value[0][:64])), len(sent.value[0]), sent.value[1]), lambda: Coder(*sent.value))
+    ranks, pattern, digest = sent.value
+    return worker_state(("bpe", digest, pattern), lambda: Coder(ranks, pattern))
 
 
 def _send(docs: DataFrame, ranks_path: str, pattern: str):
-    return docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    ranks = read_ranks(ranks_path)
+    # Names the vocabulary in workers that live on: many vocabularies start alike.
+    digest = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in ranks)).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast((ranks, pattern, digest))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -73,8 +73,17 @@ def check_model(model: bytes) -> None:
 
 
 def frequent_counts(docs: DataFrame, model: bytes, text_column: str) -> dict[str, int]:
-    """The first tier: counts of the most frequent pre-tokens of a bounded sample."""
-    rows = docs.select(F.col(text_column).alias("t")).where(F.length("t") <= SAMPLE_CHARS).take(SAMPLE_ROWS)
+    """The first tier: counts of the most frequent pre-tokens of a bounded sample from all partitions.
+
+    Some ``SAMPLE_ROWS`` rows, at most twice as many, each drawn with the same chance; of a text above
+    ``SAMPLE_CHARS`` a stretch of that length from a drawn place. The sample decides what is looked
+    up in the first tier, never a count.
+    """
+    total = docs.count()
+    text, room = F.col(text_column).cast("string"), F.lit(SAMPLE_CHARS)
+    start = F.when(F.length(text) > room, F.floor(F.rand(2) * (F.length(text) - room)).cast("int")).otherwise(F.lit(0))
+    drawn = docs.select(F.substring(text, start + 1, room).alias("t")).where(F.col("t").isNotNull())
+    rows = drawn.sample(min(1.0, SAMPLE_ROWS / total), seed=1).limit(2 * SAMPLE_ROWS).collect() if total else []
     seen = Counter(chain.from_iterable(pre_tokens(r.t) for r in rows))
     counts = Counts(model, {})
     return {word: counts[word] for word, _ in seen.most_common(FREQUENT) if len(word) <= LONGEST}

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 
 from tabguard.llm import bpe, token_counts
 
@@ -115,3 +116,26 @@ def test_model_that_joins_over_blanks_is_refused():
     model.pieces[1000].piece = "a▁b"
     with pytest.raises(ValueError):
         token_counts.check_model(model.SerializeToString())
+
+
+def test_two_vocabularies_in_one_session(spark):
+    """Workers that live on keep the vocabularies apart, though both start with the single bytes."""
+    texts = [(1, "The naïve cat, über 日本語 and the rest of it"), (2, "Se que las ciónes del rey")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        ranks = {t: n for n, t in enumerate(bpe.read_ranks(P.path(name)))}
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        found = {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, P.path(name), P.PATTERN).collect()}
+        assert found == {i: library.encode_ordinary(t) for i, t in texts}
+
+
+def test_the_first_tier_is_drawn_from_all_partitions(spark):
+    """Words of late partitions, and of the middle of long texts, are among the frequent ones."""
+    first = [(f"early{i % 50} " * 40,) for i in range(3000)]
+    long = [("opening " * 5000 + f"middle{i % 3} " * 60_000,) for i in range(4)]
+    late = [(f"late{i % 50} " * 40,) for i in range(3000)]
+    docs = spark.createDataFrame(first + long + late, "text string").coalesce(1).repartition(1).select("text")
+    with open(P.path("piece_bpe_32k.model"), "rb") as file:
+        found = token_counts.frequent_counts(docs, file.read(), "text")
+    assert sum(w.startswith("late") for w in found) > 40 and sum(w.startswith("early") for w in found) > 40
+    assert token_counts.frequent_counts(docs.where("false"), open(P.path("piece_bpe_32k.model"), "rb").read(), "text") == {}
