@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text. A chunk ends where the hash is the least within a window
 around it, which depends on nearby bytes alone, so that chunks fall into step again soon after an
-insertion. Chunks are compared by a 96-bit digest over the whole corpus. Runs of neighbouring chunks
-that also stand in another document make a repeated passage.
+insertion. Each chunk is compared together with the one behind it, by a 96-bit digest of the two over
+the whole corpus, so that neighbours in a repeated passage are neighbours at its other place too. Runs
+of pairs that stand in two places or more, of other documents or the same, make a repeated passage.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def cuts(data: np.ndarray, gear: np.ndarray, near: int = NEAR) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(a, b) digest, id, number, start and size in code points, and words of every chunk of every text.
+    """A row for each chunk of every text and the chunk behind it (none behind the last): ``a`` and ``b``, the digest of
+    both; id; ``start`` in code points; ``size`` and ``words`` of the chunk and, from bit 16 on, of the next one.
 
     These rows are what is shuffled: narrow columns, since there is one for every 30 bytes of text.
     """
@@ -97,47 +99,62 @@ def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 if not len(ends):
                     continue
                 starts = np.concatenate([[0], ends[:-1]])
-                digests += [digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+                behind = np.append(ends[1:], n := len(data))
+                # Where the first chunk ends is part of the digest; the last chunk stands alone.
+                digests += [digest(text[s:t], (e - s) << 1 | (e == n)) for s, e, t in zip(starts.tolist(), ends.tolist(), behind.tolist())]
                 places = np.cumsum((data & 0xC0) != 0x80)
                 place = places[ends - 1]
                 # A word belongs to the chunk that holds the blank behind it.
                 words = np.add.reduceat(blank[data] & ~np.append(blank[data[1:]], 0), starts)
                 words = np.maximum(words, (ends - starts) // WORD_LENGTH)
                 rows.append(np.full(len(ends), row))
-                parts.append(np.stack([np.arange(len(ends)), np.concatenate([[0], place[:-1]]), place, words]))
+                sizes = np.diff(place, prepend=0)
+                first = np.concatenate([[0], place[:-1]])
+                parts.append(np.stack([first, sizes | np.append(sizes[1:], 0) << 16, words | np.append(words[1:], 0) << 16]))
             if not rows:
                 continue
             pairs = np.frombuffer(b"".join(digests), [("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
-            number, start, end, words = np.concatenate(parts, axis=1).astype(np.int32)
+            start, size, words = np.concatenate(parts, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs["a"].copy()), pa.array(pairs["b"].copy()), batch.column(0).take(pa.array(np.concatenate(rows))),
-                 pa.array(number), pa.array(start), pa.array((end - start).astype(np.int16)), pa.array(words.astype(np.int16))],
-                names=["a", "b", "doc", "number", "start", "size", "words"])
+                 pa.array(start), pa.array(size), pa.array(words)], names=["a", "b", "doc", "start", "size", "words"])
 
-    return chosen.mapInArrow(run, f"a long, b int, doc {kind}, number int, start int, size smallint, words smallint")
+    return chosen.mapInArrow(run, f"a long, b int, doc {kind}, start int, size int, words int")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document that shares a passage with another document.
+    """One row for each document with a passage that stands in two places or more, in other documents or in this one.
 
     ``n_passages``, ``n_words`` in them, ``passages`` (start:end in code points, comma-joined),
-    ``dropped`` (those parts of them that stand in an earlier document or earlier in this one: what
-    deduplication removes) and ``first_doc``, the smallest document that has any of it. Chunks that
-    repeat within one document only don't count. A chunk counts a word for each eight bytes at least, so
-    that texts without blanks have words too. Null ids or texts and empty texts have no row, rows
-    of the same id are one document.
+    ``dropped`` (those parts of them that stand earlier, in a smaller document or before in this one: what
+    deduplication removes) and ``first_doc``, the smallest document that has any of it. Passages are whole
+    chunks: their ends lie up to a chunk inside what is repeated. A chunk counts a word for each
+    eight bytes at least, so that texts without blanks have words too. Null ids or texts and empty
+    texts have no row, rows of the same id are one document, whose equal rows count once.
     """
     chunks = chunk_rows(docs, id_column, text_column)
-    # Copies of a chunk meet after a map-side minimum, whatever their number.
-    seen = chunks.groupBy("a", "b").agg(F.min(F.struct("doc", "number")).alias("first"), F.max("doc").alias("last"))
-    shared = seen.where(F.col("first.doc") != F.col("last")).select("a", "b", "first")
-    # One row a chunk against all its places: the side with many places is dealt out by the skew join.
-    hit = chunks.join(shared, ["a", "b"]).select("doc", "number", "start", (F.col("start") + F.col("size")).alias("end"), "words", F.col("first.doc").alias("first_doc"),
-                                                (F.col("first") != F.struct("doc", "number")).alias("later"))
-    in_doc = Window.partitionBy("doc").orderBy("number")
-    runs = hit.dropDuplicates(["doc", "number"]).withColumn("run", F.col("number") - F.row_number().over(in_doc))
-    passages = runs.groupBy("doc", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"),
+    place = F.struct("doc", "start")
+    # Copies of a pair meet after a map-side minimum, whatever their number.
+    seen = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = seen.where(F.col("first") != F.col("last")).select("a", "b", "first")
+    # One row a pair against all its places: the side with many places is dealt out by the skew join.
+    hit = chunks.join(shared, ["a", "b"]).select("doc", "start", "size", "words", F.col("first.doc").alias("first_doc"), (F.col("first") != place).alias("later"))
+    size, words = F.col("size").bitwiseAND(0xFFFF), F.col("words").bitwiseAND(0xFFFF)
+    hit = hit.dropDuplicates(["doc", "start"]).select(
+        "doc", "start", (F.col("start") + size).alias("middle"), (F.col("start") + size + F.shiftrightunsigned("size", 16)).alias("end"),
+        words.alias("words"), F.shiftrightunsigned("words", 16).alias("next_words"), "first_doc", "later")
+    in_doc = Window.partitionBy("doc").orderBy("start")
+    # A run goes on where the next pair starts with this one's second chunk.
+    goes_on = F.col("start") == F.lag("middle").over(in_doc)
+    cut = (~F.coalesce(goes_on, F.lit(False))).cast("int")
+    turn = (~F.coalesce(goes_on & (F.col("later") == F.lag("later").over(in_doc)), F.lit(False))).cast("int")
+    numbered = hit.withColumn("cut", cut).withColumn("turn", turn).withColumn("run", F.sum("cut").over(in_doc)).withColumn("part", F.sum("turn").over(in_doc))
+    last_words = F.max_by("next_words", "start")
+    stretches = numbered.groupBy("doc", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), last_words.alias("last_words"),
+        F.min("first_doc").alias("first_doc"), F.first("later").alias("later"))
+    passages = stretches.groupBy("doc", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") + F.max_by("last_words", "start")).alias("words"), F.min("first_doc").alias("first_doc"),
         F.sort_array(F.collect_list(F.when(F.col("later"), F.struct("start", "end")))).alias("gone")).where(F.col("words") >= least_words)
     text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return passages.groupBy("doc").agg(
