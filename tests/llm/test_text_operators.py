@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,28 +74,40 @@ def test_scan_of_odd_and_empty_tables(odd_docs, no_docs):
 # ---------------------------------------------------------------- substrings
 
 
-def plain_repeats(texts, least_words):
+def plain_passages(texts, least_words):
+    """{id: (passages, dropped)} by plain dictionaries of neighbouring chunks."""
     gear = substrings.gear_table()
-    chunks = {}
+    chunks, places = {}, defaultdict(set)
     for i, t in texts:
         raw = (t or "").encode()
         ends = substrings.cuts(np.frombuffer(raw, np.uint8), gear).tolist()
-        chunks[i] = [raw[a:b] for a, b in zip([0, *ends], ends)]
-    owners = defaultdict(set)
+        bounds = list(zip([0, *ends], ends))
+        place = lambda x: len(raw[:x].decode())
+        blank = lambda k: raw[k:k + 1] in (b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b" ")
+        words = [max(sum(blank(k) and not (k + 1 < len(raw) and blank(k + 1)) for k in range(x, y)), (y - x) // substrings.WORD_LENGTH) for x, y in bounds]
+        chunks[i] = [(raw[x:y], place(x), place(y), w) for (x, y), w in zip(bounds, words)]
+        for n, (part, start, _, _) in enumerate(chunks[i]):
+            places[part, chunks[i][n + 1][0] if n + 1 < len(chunks[i]) else None].add((i, start))
+    out = {}
     for i, parts in chunks.items():
-        for part in parts:
-            owners[part].add(i)
-    found = set()
-    for i, parts in chunks.items():
-        run = 0
-        for part in [*parts, None]:
-            if part is not None and len(owners[part]) > 1:
-                run += len(re.findall(rb"[\t-\r ](?![\t-\r ])", part)) if part else 0
+        run, found, gone = [], [], []
+        for n, (part, start, end, _) in enumerate([*parts, (None, 0, 0, 0)]):
+            key = (part, parts[n + 1][0] if n + 1 < len(parts) else None) if part is not None else None
+            if key is not None and len(places[key]) > 1:
+                run.append((n, min(places[key]) != (i, start)))
                 continue
-            if run >= least_words:
-                found.add(i)
-            run = 0
-    return found
+            if run and sum(p[3] for p in parts[run[0][0]:run[-1][0] + 2]) >= least_words:
+                found.append((parts[run[0][0]][1], parts[min(run[-1][0] + 1, len(parts) - 1)][2]))
+                for m, (k, later) in enumerate(run):
+                    if later and m and run[m - 1][1]:
+                        gone[-1] = (gone[-1][0], parts[min(k + 1, len(parts) - 1)][2])
+                    elif later:
+                        gone.append((parts[k][1], parts[min(k + 1, len(parts) - 1)][2]))
+            run = []
+        if found:
+            spell = lambda spans: ",".join(f"{x}:{y}" for x, y in sorted(spans))
+            out[i] = spell(found), spell(gone)
+    return out
 
 
 def test_chunks_join_to_the_text_and_never_cut_characters():
@@ -127,8 +140,10 @@ def test_passages_are_found_and_short_lines_left_alone(spark, odd_texts):
     texts += [(100 + n, invented(n, 40 + 7 * n, 9000) + (" " + passage + " " if n < 12 else "\n" + line + "\n") + invented(1000 + n, 60, 9000)) for n in range(24)]
     texts += [(200, invented(7, 300)), (201, invented(7, 300))]
     rows = substrings.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    got = {r.doc_id for r in rows}
-    assert got == plain_repeats(texts, substrings.LEAST_WORDS) == {4, 5, *range(100, 112), 200, 201}
+    plain = plain_passages(texts, substrings.LEAST_WORDS)
+    assert {r.doc_id: (r.passages, r.dropped) for r in rows} == plain
+    # Text 7 is one letter over and over: it repeats itself.
+    assert set(plain) == {4, 5, 7, *range(100, 112), 200, 201}
     by_id = {r.doc_id: r for r in rows}
     assert by_id[100].dropped == "" and by_id[105].dropped and by_id[105].first_doc == 100 and by_id[201].first_doc == 200
     held = dict(texts)
@@ -137,6 +152,33 @@ def test_passages_are_found_and_short_lines_left_alone(spark, odd_texts):
         assert passage.count(held[100 + n][start:end].strip()[20:-20]) == 1
 
 
+def test_passages_within_one_document(spark):
+    """A passage that a document holds three times is found there, kept once and dropped twice; an equal row is no second place."""
+    passage = invented("inner", 120, 5000)
+    text = " ".join([invented(1, 30), passage, invented(2, 40), passage, invented(3, 50), passage])
+    texts = [(1, text), (1, text), (2, invented(4, 200)), (2, invented(4, 200))]
+    rows = substrings.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.passages, r.dropped) for r in rows} == plain_passages(texts, substrings.LEAST_WORDS)
+    (row,) = rows
+    assert row.doc_id == row.first_doc == 1 and row.n_passages == 3
+    gone = [tuple(map(int, x.split(":"))) for x in row.dropped.split(",")]
+    assert len(gone) == 2 and all(text[a:b] in passage and b - a > len(passage) - 200 for a, b in gone)
+
+
+def test_frequent_lines_in_different_orders_make_no_passage(spark):
+    """Each line stands in many documents, but no two of them together: neighbours have to repeat as well."""
+    lines = [invented(f"line{n}", 12, 5000) for n in range(14)]
+    rng = random.Random(5)
+    texts, used = [], set()
+    for n in range(400):
+        order = rng.sample(lines, 4)
+        if not any(p in used for p in zip(order, order[1:])):
+            used.update(zip(order, order[1:]))
+            texts.append((n, " ".join(order)))
+    found = substrings.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert len(texts) > 20 and found.count() == len(plain_passages(texts, substrings.LEAST_WORDS)) == 0
+
+
 def test_passages_without_blanks(spark):
     rng = random.Random(9)
     chinese = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(4)]
@@ -147,7 +189,7 @@ def test_passages_without_blanks(spark):
 
 
 def test_passages_of_odd_and_empty_tables(spark, odd_docs, no_docs):
-    assert {r.doc_id for r in substrings.repeated_passages(odd_docs).collect()} == {4, 5}
+    assert {r.doc_id for r in substrings.repeated_passages(odd_docs).collect()} == {4, 5, 7}
     assert substrings.repeated_passages(no_docs).count() == 0
 
 
@@ -301,6 +343,86 @@ def test_telling_terms(spark):
     assert clean[2000] == dict(texts)[2000] and clean[5] == dict(texts)[5]
 
 
+def plain_terms(texts, shrink=privacy.SHRINK, generalise=privacy.GENERALISE):
+    """{entity: {term}} by plain counts over all rows."""
+    words = lambda x: set(re.findall(r"[^\W\d_]+", x.lower()))
+    n_t, n_e, n_et, kinds = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        n_t.update(words(t))
+        pairs, entities = set(), set()
+        for kind, a, b in plain_spans(t):
+            entity = f"{kind}:{t[a:b].lower()}"
+            entities.add(entity)
+            before, after = t[max(0, a - 80):a], t[b:b + 80]
+            if a > 80 and t[a - 81].isalpha():
+                before = re.sub(r"^[^\W\d_]+", "", before)
+            if len(t) > b + 80 and t[b + 80].isalpha():
+                after = re.sub(r"[^\W\d_]+$", "", after)
+            pairs |= {(entity, w) for w in words(before) | words(after)}
+        n_e.update(entities)
+        n_et.update(pairs)
+        for pair in pairs:
+            kinds[pair].add(t)
+    out = defaultdict(set)
+    for (e, w), n in n_et.items():
+        trust = len(kinds[e, w]) / (len(kinds[e, w]) + shrink)
+        carried = np.log2(len(texts) / n_e[e])
+        if carried > 0 and trust * min(1.0, np.log2(n * len(texts) / (n_e[e] * n_t[w])) / carried) >= generalise:
+            out[e].add(w)
+    return dict(out)
+
+
+def test_terms_equal_plain_counts(spark):
+    """Names at the edge of a text, short ones and ones of other scripts; contexts cut inside words; copies of texts."""
+    rng = random.Random(8)
+    common = [invented(f"c{n}", 1, 300).split()[0] for n in range(60)]
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [filler(rng.randrange(1, 40)) for _ in range(250)]
+    for n in range(5):
+        texts += [f"Zebulon: boss@corp.example {'' if n == 0 else filler(n)}".strip(), f"{filler(n)} mail Lee at lee-{7}@corp.example then {filler(3)}",
+                  f"{filler(25)} +1 988 555 2485 Wu", f"{filler(30)} é王小明 {filler(n)} 10.1.2.3 {filler(30)}"]
+    texts += ["Zebulon: boss@corp.example"] * 3 + [f"once@only.example of {w}" for w in ("alpha", "beta")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r.spans for r in privacy.span_report(docs).collect()}
+    expected = plain_terms(texts)
+    assert {"zebulon"} <= expected["email:boss@corp.example"] and "lee" in expected["email:lee-7@corp.example"] and "wu" in expected["phone:+1 988 555 2485"]
+    # The word that both of its texts share; words of a single text say nothing.
+    assert expected["email:once@only.example"] == {"of"}
+    for i, t in enumerate(texts):
+        terms = set().union(*(expected.get(f"{k}:{t[a:b].lower()}", set()) for k, a, b in plain_spans(t)))
+        inside = lambda a, b: any(x < b and a < y for _, x, y in plain_spans(t))
+        want = {(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in terms and not inside(m.start(), m.end())}
+        got = {tuple(map(int, x.split(":")[1:])) for x in rows[i].split(",") if x.startswith("term:")}
+        assert got == want, t
+
+
+def test_a_long_text_with_very_many_matches(spark):
+    """Work grows with the text, not with matches times text: a log of 60,000 addresses."""
+    line = "10.{}.{}.7 get a{}@b.example ok\n"
+    text = "".join(line.format(n % 200, n // 200 % 200, n) for n in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    start = time.time()
+    row = privacy.span_report(docs).where("doc_id = 1").first()
+    spans = sorted(plain_spans(text), key=lambda s: list(privacy.KINDS).index(s[0]))
+    assert (row.n_ip, row.n_email) == (30_000, 30_000)
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    clean = privacy.sanitise(docs).where("doc_id = 1").first().text
+    assert clean.startswith("<IP> get <EMAIL>") and clean.count("<EMAIL>") == 30_000 and "10." not in clean
+    assert time.time() - start < 120
+
+
+def test_overlapping_spans_are_replaced_as_one(spark):
+    texts = [(1, "call +10.20.30.40 5678 now"), (2, "4111 1111 1111 1111+1 988 555 2485 end"), (3, "a@b.c1.2.3.4 x"), (4, "".join(f"n{i} 1.2.3.{i % 9} " for i in range(500)))]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        end, out = 0, []
+        for kind, a, b in sorted(plain_spans(text), key=lambda s: (s[1], s[2], s[0])):
+            if a >= end:
+                out += [text[end:a], f"<{kind.upper()}>"]
+            end = max(end, b)
+        assert clean[i] == "".join([*out, text[end:]])
+
+
 def test_sanitising_keeps_rows_and_columns(odd_docs, no_docs):
     clean = privacy.sanitise(odd_docs)
     assert clean.columns == odd_docs.columns and clean.exceptAll(odd_docs).count() == 0 and clean.count() == odd_docs.count()
