@@ -4,8 +4,9 @@ A sample proposes words and pairs that may be frequent. One pass over all texts
 that the sample proposes together with their negative border (phrases that are not proposed, but all
 of whose parts are): every word, the pairs of two proposed words, the triples of two proposed pairs.
 Where a phrase of the border turns out to be frequent, the proposal was too small: it is widened by
-what the pass found, and the next pass counts the phrases that the wider proposal adds, until a pass
-finds nothing outside the proposal. All counts come from passes over all texts, so the result does
+what the pass found, and an expansion pass counts the phrases that the wider proposal adds. It counts
+the triples of its own border pairs too, whose counts are not known yet, so that one expansion closes
+the search: words are known from the first pass, pairs of them from this one. All counts come from passes over all texts, so the result does
 not depend on the sample; the sample only decides how many passes there are.
 
 Proposals are held in tables of a fixed number of bits (Bloom filters). A phrase that passes by
@@ -148,6 +149,8 @@ def _count(held: _Words, filters, level: int):
     yield 2, [left[counted], right[counted]], times[counted], names
     pair_keys = pair_key(keys[left], keys[right])
     pair_new = holds(new_pairs, pair_keys)
+    if level:
+        pair_new |= counted  # the border of this pass: whatever of it is frequent, its triples are counted
     number = np.full(len(stream) + 1, -1, dtype=np.int64)
     number[first] = which
     start = first[pair_new[which]]
@@ -228,19 +231,18 @@ def frequent_phrases(docs: DataFrame, least: int, lang_column: str = "lang", tex
     seen = count_pass(sample, (nothing, nothing, everything, nothing), 0, lang_column, text_column).where((F.col("f") >= lowered) & F.col("words").isin(1, 2))
     seen = write_and_reread(seen, "proposed")
     filters = (nothing, nothing, proposal(seen, 1), proposal(seen, 2))
-    found, passes = None, 0
-    while True:
-        counted = count_pass(docs, filters, passes, lang_column, text_column).where((F.col("words") == 0) | (F.col("f") >= least))
-        counted = write_and_reread(counted, "counted")
-        passes += 1
-        found = counted if found is None else found.unionByName(counted)
-        often = counted.where("words > 0")
-        words = filters[2] | proposal(often, 1) if passes == 1 else filters[2]
-        pairs = filters[3] | proposal(often, 2)
-        if np.array_equal(words, filters[2]) and np.array_equal(pairs, filters[3]):
-            return found, passes
-        # What is frequent lies outside the proposal: count what the wider proposal adds.
-        filters = (filters[2], filters[3], words, pairs)
+
+    def counted(level):
+        return write_and_reread(count_pass(docs, filters, level, lang_column, text_column).where((F.col("words") == 0) | (F.col("f") >= least)), "counted")
+
+    found = counted(0)
+    often = found.where("words > 0")
+    words, pairs = filters[2] | proposal(often, 1), filters[3] | proposal(often, 2)
+    if np.array_equal(words, filters[2]) and np.array_equal(pairs, filters[3]):
+        return found, 1
+    # What is frequent lies outside the proposal: count what the wider proposal adds.
+    filters = (filters[2], filters[3], words, pairs)
+    return found.unionByName(counted(1)), 2
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int = 50, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
