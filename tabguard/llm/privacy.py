@@ -177,7 +177,9 @@ def disclosing_terms(holding: DataFrame, docs: DataFrame, text_column: str = "te
     least = near.select("_pii_key", "term", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("at_least"))
     most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0) - F.lit(generalise) / F.col("trust"))
     pairs = write_and_reread(pairs.join(entities, "entity").join(least, "term").where(F.col("at_least") <= most * (1 + 1e-9)), "pairs")
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(text.cast("string"), r"[^\p{L}]+")).alias("term"))
+    # Rows are numbered before they are exploded: beside an explode in one select, each word would get a number.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), text.cast("string").alias("t"))
+    words = numbered.select("row", F.explode(F.split("t", r"[^\p{L}]+")).alias("term"))
     words = words.where(F.col("term") != "").select("row", F.lower("term").alias("term"))
     rows = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
     frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
