@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols through a lexicon: insults and threats with a weight, targets, negations and
-signs of reported speech. Small transducers for negation, reported speech and target are composed
-into one; it turns the symbols of a clause into matches: an insult aimed at somebody, a plain one, a
-negated one, a reported one, a threat against somebody. A document is scored by the weights of its
-matched clauses, never by words alone.
+signs of reported speech. Quotation marks are paired within their paragraph, and a transducer that
+reads backwards finds attributions at the end of a clause ("..., he said"). Transducers for negation,
+reported speech and target, composed into one, then turn the symbols into matches: an insult aimed at
+somebody, a plain one, a negated one, a reported one, a threat against somebody. A document is scored
+by the weights of its matched clauses, never by words alone.
 
 Learnt from labelled rows outside the held-out fold: words and word stems that mark toxic documents,
 and the weight of each kind of match. Fitting reads a bounded sample of the labelled rows
@@ -34,11 +35,20 @@ CACHED = 300_000
 INSULTS = ("idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown imbecile "
            "dumbass bastard retard filth vermin scumbag degenerate").split()
 THREATS = "kill hurt destroy beat stab shoot strangle burn punch hang".split()
-TARGETS = "you your youre yours u he she they him her them his their these those people".split()
-NEGATIONS = "not never no isnt arent wasnt dont doesnt didnt nobody without nicht kein keine pas jamais ni nunca".split()
+TARGETS = ("you your youre youve youll youd yours u he hes she shes they theyre theyve him her them his their these those "
+           "people").split()
+NEGATIONS = ("not never no isnt arent wasnt werent dont doesnt didnt aint cant cannot couldnt wont wouldnt shouldnt nobody without "
+             "nicht kein keine pas jamais ni nunca").split()
 REPORTS = "said says say told wrote called calls claimed claims quoted reported alleged according sagte dit dijo".split()
-QUOTES = '"“”«»'
-TOKEN = re.compile(r"\w+|[.!?;:\n" + QUOTES + "]")
+QUOTES = '"“”„«»'
+#: Quotations in the symbols of a text; a paragraph ends with a slash.
+QUOTED = re.compile('"[^"/]*"|“[^“”/]*”|„[^„“”/]*[“”]|«[^«»/]*»|»[^«»/]*«')
+MARK = re.compile(f"[{QUOTES}]")
+#: Words with the ending of a contraction, if they have one; ends of clauses, commas, quotation marks.
+TOKEN = re.compile(r"\w+(?:['’](?:t|re|s|ll|ve|d|m)\b)?|[.!?;:,\n" + QUOTES + "]")
+APOSTROPHES = str.maketrans("", "", "'’")
+#: Words that an attribution behind a clause may have, its verb among them.
+ATTRIBUTION = 3
 #: Kinds of matches, and what each is worth before any label was seen.
 KINDS, PRIOR = "DPiqH", np.array([1.3, 1.0, 0.4, 0.4, 1.5])
 
@@ -73,39 +83,80 @@ class Transducer:
         return arcs, len(number)
 
 
+def _attributed(state, x):
+    """Read backwards: a verb of saying between the last comma and the end of a clause reports what stands before.
+
+    The state is (words, verb seen) behind the comma, "before" it in a reported clause, or "none".
+    """
+    if x in "./":
+        return (0, False), x
+    if state == "before":
+        return state, "q" if x in "IT" else x
+    if state == "none" or x in "OC":
+        return "none", x
+    if x == ",":
+        return "before" if state[1] else "none", x
+    return ((state[0] + 1, state[1] or x == "R") if state[0] < ATTRIBUTION else "none"), x
+
+
 def _negation(k, x):
     """An insult or threat up to three words behind a negation is a negated one."""
-    if x in "N.":
+    if x in "N./":
         return (3, "w") if x == "N" else (0, x)
+    if x in ",OC":
+        return k, x
     return max(k - 1, 0), x.lower() if x in "IT" and k else x
 
 
-def _reported(inside, x):
-    """From a verb of saying to the end of the clause, and between quotes, insults are reported ones."""
-    if x == ".":
-        return 0, x
-    if x in "RQ":
-        return (0 if x == "Q" and inside else 1), "w"
-    return inside, "q" if inside and x in "ITit" else x
+def _reported(state, x):
+    """From a verb of saying to the end of its clause or of the quotation in it, and in all of a quotation, insults are reported ones."""
+    said, quoted = state
+    if x in "./":
+        return (False, quoted and x == "."), "."
+    if x in "ROC":
+        return (x == "R" or (said and x == "O"), x == "O" or (quoted and x == "R")), "w"
+    return state, "q" if (said or quoted) and x in "ITit" else x
 
 
 def _aimed(state, x):
-    """Insults with a target in their clause are aimed; threats count only with a target."""
+    """Insults with a target in their clause are aimed; threats count only with a target.
+
+    Writes the kind of a match for the symbol just read, with "-" for the one held back, which waits
+    for a target, and "+" where the symbol just read is held back from now on.
+    """
     if x in "iq":
         return state, x
+    held = "P" if state == "I" else ""
     if x == ".":
-        return "", "P" if state == "I" else ""
+        return "", held and held + "-"
     if x == "Y":
-        return "Y", {"I": "D", "T": "H"}.get(state, "")
+        return "Y", {"I": "D-", "T": "H-"}.get(state, "")
     if x in "IT":
         if state == "Y":
             return "Y", "D" if x == "I" else "H"
-        return x, "P" if state == "I" else ""
+        return x, held + "+"
     return state, ""
 
 
-def grammar() -> dict:
-    return Transducer(0, _negation).then(Transducer(0, _reported)).then(Transducer("", _aimed)).tabulate("ITYNRQ.w")[0]
+SYMBOLS = "ITYNRqOC,./w"
+
+
+def grammar() -> tuple[dict, dict]:
+    """Transitions of the transducer that reads backwards and of the composed one that reads what it wrote."""
+    forwards = Transducer(0, _negation).then(Transducer((False, False), _reported)).then(Transducer("", _aimed))
+    return Transducer((0, False), _attributed).tabulate(SYMBOLS)[0], forwards.tabulate(SYMBOLS)[0]
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased words, contractions without apostrophe, and marks."""
+    found = TOKEN.findall(text.lower())
+    return [w.translate(APOSTROPHES) for w in found] if "'" in text or "’" in text else found
+
+
+def pair_quotes(symbols: str) -> str:
+    """Quotation marks as ``O`` and ``C`` where a paragraph holds both; others, and those inside a quotation, as words."""
+    paired = QUOTED.sub(lambda m: "O" + MARK.sub("w", m[0][1:-1]) + "C", symbols)
+    return MARK.sub("w", paired)
 
 
 class Lexicon(dict):
@@ -114,7 +165,7 @@ class Lexicon(dict):
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.fixed = {w: (s, 0.0) for s, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
-        self.fixed |= {w: ("T", 1.0) for w in THREATS} | {w: ("Q", 0.0) for w in QUOTES} | {w: (".", 0.0) for w in ".!?;:\n"}
+        self.fixed |= {w: ("T", 1.0) for w in THREATS} | {w: (w, 0.0) for w in QUOTES + ","} | {w: (".", 0.0) for w in ".!?;:"} | {"\n": ("/", 0.0)}
         self.fixed |= {w: ("I", x) for w, x in weights.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith("*")}
         self.update(self.fixed)
@@ -132,25 +183,34 @@ class Lexicon(dict):
         return found
 
 
-def matches(words: list[str], lexicon: dict, arcs: dict) -> dict[str, float]:
-    """Weight by kind of match; weights gather along a path until the transducer writes."""
+def matches(words: list[str], lexicon: dict, arcs: tuple[dict, dict]) -> dict[str, float]:
+    """Weight by kind of match; an insult or threat that waits for a target keeps its weight until it is written."""
     read = [lexicon[w] for w in words]
     totals: dict[str, float] = defaultdict(float)
-    if not any(s in "IT" for s, _ in read):
+    symbols = "".join(s for s, _ in read)
+    if "I" not in symbols and "T" not in symbols:
         return totals
+    backwards, forwards = arcs
+    symbols = [*pair_quotes(symbols)]
+    if "R" in symbols and "," in symbols:
+        state = 0
+        for i in range(len(symbols) - 1, -1, -1):
+            state, symbols[i] = backwards[state, symbols[i]]
     state, held = 0, 0.0
-    for symbol, weight in [*read, (".", 0.0)]:
-        held += weight
-        state, out = arcs[state, symbol]
-        if out in KINDS and out:
-            totals[out] += held
-        if out and out in KINDS or symbol == ".":
-            held = 0.0
+    for symbol, weight in zip([*symbols, "/"], [*(w for _, w in read), 0.0]):
+        state, out = forwards[state, symbol]
+        if out:
+            if out[-1] in "+-":
+                if out[0] in KINDS:
+                    totals[out[0]] += held
+                held = weight if out[-1] == "+" else 0.0
+            else:
+                totals[out] += weight
     return totals
 
 
-def features(text: str, lexicon: dict, arcs: dict) -> list[float]:
-    found = matches(TOKEN.findall(text.lower()), lexicon, arcs)
+def features(text: str, lexicon: dict, arcs: tuple[dict, dict]) -> list[float]:
+    found = matches(words_of(text), lexicon, arcs)
     return [math.log1p(found[k]) if k in found else 0.0 for k in KINDS]
 
 
@@ -184,7 +244,7 @@ def _tallied(train: DataFrame, of) -> DataFrame:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if y else clean).update(of(TOKEN.findall(text.lower())))
+                (toxic if y else clean).update(of([w for w in words_of(text) if w != ","]))
             if len(toxic) + len(clean) > 400_000:
                 yield _rows(toxic, clean)
                 toxic, clean = Counter(), Counter()

@@ -14,20 +14,88 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # ---------------------------------------------------------------- toxicity
 
 
+ENTRIES = {"idiot": 1.0, "moron": 0.5, "loser": 1.0, "badn*": 1.0}
+
+
 def weights_of(text):
-    arcs, lexicon = toxicity.grammar(), toxicity.Lexicon({"idiot": 1.0, "loser": 1.0, "badn*": 1.0})
-    return dict(toxicity.matches(toxicity.TOKEN.findall(text.lower()), lexicon, arcs))
+    return dict(toxicity.matches(toxicity.words_of(text), toxicity.Lexicon(ENTRIES), toxicity.grammar()))
 
 
 @pytest.mark.parametrize("text, kinds", [
     ("you are an idiot", "D"), ("idiot that you are", "D"), ("an idiot walks. you go", "P"), ("you are not an idiot", "i"),
     ("not so far away from home the idiot", "P"), ("they said the idiot left", "q"), ('a "loser" here', "q"), ("i will kill you", "H"),
     ("kill the process", ""), ("nothing here", ""), ("", ""), ("badness badnova bad", "P"), ("he said no. you idiot", "D"),
+    ('he said "you are an idiot. you are a moron" and left', "q"), ('he said "you are an idiot. you are a moron" and you idiot', "qD"),
+    ('he said "fine. ok" you are an idiot', "D"), ("he said „you idiot. moron“ you loser", "qD"), ('5" idiot you', "D"), ('a " open\nyou idiot" here', "D"),
+    ("you aren't an idiot", "i"), ("you aren’t an idiot", "i"), ("you're an idiot", "D"), ("they’re idiots' idiot", "D"),
+    ("you are an idiot, he said", "q"), ("you are an idiot, said the man. you moron", "qD"), ("you are an idiot, he said to all of them", "D"),
+    ("no, you idiot", "i"), ("i will kill you, she told him", "q"),
 ])
 def test_grammar(text, kinds):
     assert set(weights_of(text)) == set(kinds)
 
 
+def test_a_match_has_its_own_weight():
+    assert weights_of("moron idiot you") == {"P": 0.5, "D": 1.0} and weights_of("idiot kill moron you") == {"P": 1.0, "D": 0.5}
+
+
+def plain_matches(words):
+    """The grammar said over whole clauses, by looking ahead and back."""
+    lexicon = toxicity.Lexicon(ENTRIES)
+    symbols, weights = [lexicon[w][0] for w in words], [lexicon[w][1] for w in words]
+    closers, quoted, marks, i = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}, set(), {}, 0
+    while i < len(symbols):
+        j = i + 1
+        if symbols[i] in closers:
+            while j < len(symbols) and symbols[j] not in closers[symbols[i]] + symbols[i] + "/":
+                j += 1
+            if j < len(symbols) and symbols[j] in closers[symbols[i]]:
+                marks[i], marks[j] = "O", "C"
+                quoted |= set(range(i, j))
+                i = j
+        i += 1
+    symbols = [marks.get(i, "w" if x in toxicity.QUOTES else x) for i, x in enumerate(symbols)]
+    ends = [i for i, x in enumerate([*symbols, "."]) if x in "./"]
+    totals = {}
+    for low, high in zip([0, *(e + 1 for e in ends)], ends):
+        commas = [i for i in range(low, high) if symbols[i] == ","]
+        tail = symbols[commas[-1] + 1 : high] if commas else []
+        reported = commas[-1] if "R" in tail and len(tail) <= 3 and not set(tail) & set("OC") else -1
+        kinds = {}
+        for i in range(low, high):
+            if symbols[i] in "IT":
+                before = [x for x in symbols[low:i] if x not in ",OC"]
+                verbs = [x for x in symbols[low:i] if x in "RC"]
+                if i < reported or i in quoted or verbs[-1:] == ["R"]:
+                    kinds[i] = "q"
+                elif "N" in before[-3:]:
+                    kinds[i] = symbols[i].lower()
+        events = [(i, symbols[i]) for i in range(low, high) if symbols[i] == "Y" or (symbols[i] in "IT" and i not in kinds)]
+        for n, (i, x) in enumerate(events):
+            aimed = any(y == "Y" for _, y in events[:n]) or [y for _, y in events[n + 1 : n + 2]] == ["Y"]
+            if x != "Y":
+                kinds[i] = ("D" if aimed else "P") if x == "I" else ("H" if aimed else "t")
+        for i, kind in kinds.items():
+            if kind != "t":
+                totals[kind] = totals.get(kind, 0.0) + weights[i]
+    return totals
+
+
+def test_grammar_against_plain_clauses():
+    rng = random.Random(4)
+    words = ["idiot", "moron", "kill", "you", "not", "said", "tree", "tree", ",", ".", "\n", '"', "“", "”", "„", "«", "»"]
+    seen = set()
+    for n in range(20_000):
+        some = rng.choices(words, k=rng.randint(0, 24), weights=[3, 3, 3, 3, 2, 2, 4, 4, 3, 2, 0.5, 1, 1, 1, 0.5, 0.5, 0.5])
+        got = dict(toxicity.matches(some, toxicity.Lexicon(ENTRIES), GRAMMAR))
+        assert got == pytest.approx(plain_matches(some)), some
+        seen |= got.keys()
+    assert seen == set(toxicity.KINDS)
+
+
+GRAMMAR = toxicity.grammar()
+
+
 def test_composition_reads_what_the_first_writes():
     first = toxicity.Transducer(0, lambda s, x: (s, x.upper()))
     second = toxicity.Transducer(0, lambda s, x: (s + (x == "A"), str(s)))
