@@ -38,6 +38,8 @@ KEYED = 512
 TRIALS = 1000
 #: Repetitions that are measured at once.
 ROUND = 8
+#: Untouched runs whose windows are listed at once.
+HITS = 1 << 14
 #: Cells of the table that is held while regions are verified.
 CELLS = 1 << 22
 #: Bytes of item text in one broadcast; more items take more passes.
@@ -45,6 +47,18 @@ BLOCK_BYTES = 16 << 20
 FOREIGN, END, BREAK = 0, -1, -2
 
 
+@dataclass
+class Runs:
+    """Runs of one length: their sorted codes, and for each the places of windows, once for all items of a size with the run
+    at the same word: rows (size, edits, word), from ``starts`` on as many as ``counts``. Items without keys are listed."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
+    direct: dict[int, list]
+
+
 @dataclass
 class Items:
     """Items of one block: word sequences over an own vocabulary, runs for placing windows, keys."""
@@ -54,7 +68,7 @@ class Items:
     words: list[np.ndarray]
     edits: list[int]
     repeats: dict[int, int] = field(default_factory=dict)
-    runs: dict[int, tuple] = field(default_factory=dict)
+    runs: dict[int, Runs] = field(default_factory=dict)
     places: dict = field(default_factory=dict)
     buckets: tuple = ()
 
@@ -120,8 +134,7 @@ def build_items(rows: list[tuple]) -> Items:
         for cut in cuts[:-1].tolist():
             runs[size][_code(words[cut : cut + size])].add((number, cut))
     for size, found in runs.items():
-        codes = np.array(sorted(found), np.uint64)
-        items.runs[size] = codes, [sorted(found[c]) for c in codes.tolist()]
+        items.runs[size] = _runs_of(found, items)
     if items.words:
         sizes = np.array([len(w) for w in items.words])
         starts = np.cumsum(sizes) - sizes
@@ -150,6 +163,24 @@ def _keys_of(flat, starts, ends, sizes, items: Items) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(windows)
 
 
+def _runs_of(found: dict[int, set], items: Items) -> Runs:
+    codes, rows, counts, direct = sorted(found), [], [], {}
+    for slot, code in enumerate(codes):
+        keyed = {(len(items.words[i]), items.edits[i], cut) for i, cut in found[code] if items.repeats[len(items.words[i])]}
+        others = sorted((i, cut) for i, cut in found[code] if not items.repeats[len(items.words[i])])
+        rows += sorted(keyed)
+        counts.append(len(keyed))
+        if others:
+            direct[slot] = others
+    counts = np.array(counts, np.int64)
+    return Runs(np.array(codes, np.uint64), np.cumsum(counts) - counts, counts, np.array(rows, np.int64).reshape(len(rows), 3), direct)
+
+
+def _stretch(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 def _code(words: np.ndarray) -> int:
     code = len(words)
     for word in words.tolist():
@@ -204,8 +235,8 @@ def _keys_in(low: int, high: int, texts: list[np.ndarray], places: np.ndarray) -
 def _windows(flat: np.ndarray, items: Items):
     """Around every untouched run: (starts, sizes) of the distinct windows of items with keys, (item, low, high) of the regions of the others."""
     known = flat > FOREIGN
-    asked, direct, listed = defaultdict(list), set(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for size, (codes, held) in items.runs.items():
+    direct, asked, listed = set(), defaultdict(list), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size, runs in items.runs.items():
         n = len(flat) - size + 1
         if n <= 0:
             continue
@@ -216,21 +247,25 @@ def _windows(flat: np.ndarray, items: Items):
         code = np.full(len(places), size, np.uint64)
         for i in range(size):
             code = code * np.uint64(0x100000001B3) ^ flat[places + i].astype(np.uint64)
-        slot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        hit = codes[slot] == code
-        for place, s in zip(places[hit].tolist(), slot[hit].tolist()):
-            for number, cut in held[s]:
-                k, n = items.edits[number], len(items.words[number])
-                if items.repeats[n]:
-                    asked[n].append((place - cut - k, place - cut + k))
-                else:
+        slot = np.minimum(np.searchsorted(runs.codes, code), len(runs.codes) - 1)
+        hit = runs.codes[slot] == code
+        places, slot = places[hit], slot[hit]
+        # A run that many items share asks for each size of window once, however many items there are.
+        for low in range(0, len(places), HITS):
+            some, at = slot[low : low + HITS], places[low : low + HITS]
+            row = runs.rows[_stretch(runs.starts[some], runs.counts[some])]
+            first = np.repeat(at, runs.counts[some]) - row[:, 2] - row[:, 1]
+            for length in np.unique(row[:, 0]).tolist():
+                same = row[:, 0] == length
+                asked[length].append(np.unique(_stretch(first[same], 2 * row[same, 1] + 1)))
+        if runs.direct:
+            for place, s in zip(places.tolist(), slot.tolist()):
+                for number, cut in runs.direct.get(s, ()):
+                    k, n = items.edits[number], len(items.words[number])
                     direct.add((number, place, place - cut - k, place - cut + n + k))
-    for size, spans in asked.items():
-        low, high = np.array(spans).T
-        width = high - low + 1
-        starts = np.repeat(low, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        starts = np.unique(starts)
-        listed.append((starts, np.full(len(starts), size)))
+    for length, starts in asked.items():
+        starts = np.unique(np.concatenate(starts))
+        listed.append((starts, np.full(len(starts), length)))
     return *(np.concatenate(x) for x in zip(*listed)), direct
 
 

@@ -434,3 +434,20 @@ def test_native_plan(spark):
     docs = spark.createDataFrame([(1, "write to a@b.example, or call +1 (988) 555-2485")], "doc_id long, text string")
     plan = privacy.span_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+
+
+def test_items_with_one_opening_ask_for_each_window_once():
+    """Many items that begin alike cost no more places than a few; each is still told from the others."""
+    rng, opening = random.Random(8), "which of the following statements is "
+    body = [" ".join(f"w{rng.randrange(3000)}" for _ in range(14)) for _ in range(400)]
+    rows = [(i, opening + b) for i, b in enumerate(body)]
+    few, many = decontamination.build_items(rows[:20]), decontamination.build_items(rows)
+    texts = [f"intro words {opening}{b} and more".encode() for b in body[:10]] + [opening.encode() * 3]
+    words = b" . ".join(t.translate(decontamination.WORD_BYTES) for t in texts).split()
+    placed = []
+    for items in (few, many):
+        flat = np.array([items.vocabulary.get(w, -2 if w == b"." else 0) for w in words], np.int64)
+        starts, sizes, direct = decontamination._windows(flat, items)
+        placed.append(len(starts))
+        assert not direct and {(o, i) for o, i, *_ in decontamination.find_in_batch(texts, items)} == {(i, i) for i in range(10)}
+    assert placed[1] <= 2 * placed[0]
