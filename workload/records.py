@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import admission, change_tables, corpus, experiments, leakage, registry, vector_index
+from tabguard.operators import admission, block_index, change_tables, corpus, experiments, leakage, registry, vector_index
 from tabguard.session import scratch_path
 from tabguard.sources import sinks
 from tabguard.streaming import admission as streaming
@@ -300,6 +300,19 @@ def page_search_index(spark, sf_dir):
     return rounded(corpus.search_index(pages(spark, sf_dir), path, QUESTION, top_k=7), "score")
 
 
+@query(SEARCH_SQL)
+def page_search_blocks(spark, sf_dir):
+    """The same search through posting blocks: two appends, the second with copies under other names that are then deleted."""
+    every, index = pages(spark, sf_dir), block_index.BlockIndex(spark, scratch_path(spark, "blocks"))
+    half = F.pmod(F.xxhash64("filename", "page_number"), F.lit(2))
+    copies = every.filter("page_number = 1").withColumn("filename", F.concat(F.lit("copy-"), "filename"))
+    index.create()
+    index.append(every.filter(half == 0))
+    index.append(every.filter(half == 1).unionByName(copies))
+    index.delete(copies)
+    return rounded(index.search(every, QUESTION, top_k=7), "score")
+
+
 VECTOR_SQL = """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))
