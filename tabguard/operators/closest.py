@@ -60,6 +60,13 @@ def closest_distances(
     points = write_and_reread(real.select(*scaled).na.drop("any").distinct(), "points")
     asked = synth.select(*scaled).na.drop("any").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     asked = write_and_reread(asked, "asked")
+    return nearest_of(points, asked, names, broadcast_bytes, group_points)
+
+
+def nearest_of(
+    points: DataFrame, asked: DataFrame, names: list[str], broadcast_bytes: int = BROADCAST_BYTES, group_points: int = GROUP_POINTS
+) -> DataFrame:
+    """Exact search of distinct records ``asked`` (names, n) in distinct ``points``; both are written tables."""
     limit = max(1, broadcast_bytes // (8 * len(names)))
     if points.count() <= limit:
         return _against_broadcast(points, asked, names)
@@ -221,7 +228,11 @@ def closest_record_report(real: DataFrame, synth: DataFrame, threshold: float =
     ``privacy_risk_score`` grows with the mean distance (higher is safer); ``privacy_score`` is
     the same number under a name that says so.
     """
-    distances = write_and_reread(closest_distances(real, synth, **options).select("n", "distance"), "distances")
+    return report_of(write_and_reread(closest_distances(real, synth, **options).select("n", "distance"), "distances"), threshold)
+
+
+def report_of(distances: DataFrame, threshold: float) -> DataFrame:
+    """The report of a written table ``(n, distance)``."""
     median = weighted_quantiles(distances, "distance", "n", [0.5])[0]
     near = F.sum(F.when(F.col("distance") < threshold, F.col("n")).otherwise(F.lit(0)))
     mean = F.try_divide(F.sum(F.col("distance") * F.col("n")), F.sum("n"))

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 # Checked against brute force or invariants in this folder instead of SQL.
-WITHOUT_SQL = {"closest_record_lineitem"}
+WITHOUT_SQL = {"closest_record_lineitem", "closest_record_approximate"}
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import closest
+from tabguard.operators import closest, closest_approximate
 from workload.catalog import query, table
 
 PARTS_SQL = """
@@ -76,3 +76,22 @@ def closest_record_lineitem(spark, sf_dir):
         "l_quantity", (F.col("l_extendedprice") + (F.col("l_partkey") * 37) % 101 - 50).alias("l_extendedprice"), "l_discount", "l_tax"
     )
     return closest.closest_record_report(items.select(*columns), shifted)
+
+
+@query()
+def closest_record_approximate(spark, sf_dir):
+    """Twelve columns of every line item and its part against a perturbed copy, approximately, with the measured recall."""
+    items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    wide = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    price = F.col("l_extendedprice")
+    columns = {
+        "quantity": F.col("l_quantity"), "price": price, "discount": F.col("l_discount"), "tax": F.col("l_tax"),
+        "size": F.col("p_size").cast("double"), "retail": F.col("p_retailprice"), "line": F.col("l_linenumber").cast("double"),
+        "day": F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double"),
+        "part": F.col("l_partkey").cast("double"), "supplier": F.col("l_suppkey").cast("double"),
+        "net": price * (1 - F.col("l_discount")), "order": F.col("l_orderkey").cast("double"),
+    }
+    real = wide.select(*[x.alias(n) for n, x in columns.items()])
+    moved = {"price": price * (1 + F.col("l_partkey") % 7 / 100.0), "day": columns["day"] + F.col("l_orderkey") % 5}
+    synth = wide.select(*[moved.get(n, x).alias(n) for n, x in columns.items()])
+    return closest_approximate.approximate_record_report(real, synth)
