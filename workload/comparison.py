@@ -176,6 +176,35 @@ def ks_test_absent_column(spark, sf_dir):
     return ks.ks_test(real, synth.drop("l_discount"))
 
 
+EXACT_SQL = """
+WITH RECURSIVE v AS (SELECT c_acctbal AS x, 1 AS a, 0 AS b FROM customer UNION ALL SELECT s_acctbal, 0, 1 FROM supplier)
+, g AS (SELECT x, sum(a) AS a, sum(b) AS b FROM v WHERE x IS NOT NULL GROUP BY x)
+, c AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n, sum(b) OVER () AS m FROM g WINDOW w AS (ORDER BY x))
+, d AS (SELECT max(abs(ca::DOUBLE / n - cb::DOUBLE / m)) AS d, CAST(max(abs(ca * m - cb * n)) AS BIGINT) AS gap,
+               CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m FROM c)
+, walk AS (
+    SELECT 0::BIGINT AS step, list_transform(range(0, m + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS chance,
+           0.0::DOUBLE AS strayed, n, m, gap FROM d
+    UNION ALL
+    SELECT step + 1, list_transform(range(0, m + 1), lambda i: CASE WHEN abs(i * n - (step + 1 - i) * m) >= gap THEN 0.0::DOUBLE ELSE moved[i + 1] END),
+           strayed + list_sum(list_transform(range(0, m + 1), lambda i: CASE WHEN abs(i * n - (step + 1 - i) * m) >= gap THEN moved[i + 1] ELSE 0.0::DOUBLE END)),
+           n, m, gap
+    FROM (SELECT *, list_transform(range(0, m + 1), lambda i:
+              chance[i + 1] * greatest(n - (step - i), 0) / (n + m - step)
+              + CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE chance[i] * (m - (i - 1)) / (n + m - step) END) AS moved
+          FROM walk WHERE step < n + m))
+SELECT 'balance' AS "column", round(d, 4) AS ks_statistic, round(strayed, 4) AS p_value, strayed > 0.05 AS similar, true AS exact
+FROM walk, d WHERE step = d.n + d.m
+"""
+
+
+@query(EXACT_SQL)
+def ks_exact(spark, sf_dir):
+    """Balances of customers against those of suppliers: few enough suppliers for the paths to be counted."""
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return ks.ks_exact(customers.select(F.col("c_acctbal").alias("balance")), suppliers.select(F.col("s_acctbal").alias("balance")))
+
+
 FLIP_SQL = """
 WITH s AS (SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'A' WHEN c_custkey % 50 = 1 THEN NULL ELSE 'B' END AS grp, c_nationkey,
                   c_acctbal * CASE WHEN c_mktsegment = 'FURNITURE' THEN 2 ELSE 1 END AS c_acctbal, c_custkey FROM customer)
