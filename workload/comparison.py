@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import fidelity, ks, wide_correlation
+from tabguard.operators import fidelity, ks, top_values, wide_correlation
 from workload.catalog import query, table
 from workload.disclosure import rounded
 
@@ -85,6 +85,28 @@ def categorical_summary_many_values(spark, sf_dir):
     )
 
 
+TOP_SQL = """
+WITH v AS ({parts})
+, n AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL)
+, t AS (SELECT "column", sum(n) AS total FROM n GROUP BY ALL)
+SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INT) AS rank, value, n,
+       round(CAST(n * 100.0::DOUBLE / total AS DECIMAL(18, 8)), 2)::DOUBLE AS percentage
+FROM n JOIN t USING ("column")
+QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 5
+"""
+
+
+@query(TOP_SQL.format(parts="""
+SELECT 'visit' AS "column", CASE WHEN user_id % 4 = 0 THEN 'user ' || (user_id % 40) ELSE event_type || ' ' || event_id END AS value FROM events
+UNION ALL SELECT 'event_type', event_type FROM events
+UNION ALL SELECT 'props', props FROM events"""))
+def top_values_of_events(spark, sf_dir):
+    """A column that is unique but for some users, one of few values, and JSON texts."""
+    user = F.col("user_id")
+    visit = F.when(user % 4 == 0, F.concat(F.lit("user "), (user % 40).cast("string"))).otherwise(F.concat_ws(" ", "event_type", "event_id"))
+    return top_values.top_values(table(spark, sf_dir, "events").select(visit.alias("visit"), "event_type", "props")).drop("rounds")
+
+
 @query(PAIR_SQL + """
 , v AS (""" + union(
     f"SELECT '{side}' AS side, '{n}' AS \"column\", {n}::DOUBLE AS x FROM {t}"
