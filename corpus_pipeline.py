@@ -16,7 +16,7 @@ from tabguard.llm.decontamination import drop_contaminated
 from tabguard.llm.privacy import sanitise
 from tabguard.llm.simhash import near_duplicates
 from tabguard.llm.toxicity import drop_toxic, fit_toxicity
-from tabguard.session import scratch_path, write_and_reread
+from tabguard.session import scratch_path, scratch_scope, write_and_reread
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):  # the stage's own tables go; its result lies outside
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
