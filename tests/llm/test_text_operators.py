@@ -1,6 +1,7 @@
 """License scans, substring deduplication, decontamination and sanitisation against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -32,18 +33,15 @@ def plain_scan(text):
     starts = sorted(i for x in places.values() for i in x)
     met = {label for label, x in places.items() if x}
     best = 1.0 if met else 0.0
-    paragraphs = re.split(r"\n[ \t\r]*\n", lowered(text))
-    for paragraph in paragraphs:
-        own = re.findall(WORD, paragraph)
-        for low in range(0, max(1, len(own) - licenses.OVERLAP), licenses.BLOCK - licenses.OVERLAP):
-            block = set(own[low : low + licenses.BLOCK])
-            for label, templates in licenses.TEMPLATES.items():
-                for template in templates:
-                    wanted = set(template.split())
-                    share = len(wanted & block) / len(wanted)
-                    if share >= licenses.SHARE:
-                        met.add(label)
-                        best = max(best, share)
+    known = {w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()}
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            wanted, size = set(template.split()), math.ceil(len(template.split()) / licenses.SHARE)
+            for low in range(len(words)) if wanted & known & set(words) else ():
+                share = len(wanted.intersection(words[low : low + size])) / len(wanted)
+                if share >= licenses.SHARE:
+                    met.add(label)
+                    best = max(best, share)
     return (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None,
             ",".join(sorted(k for k, x in places.items() if x)), ",".join(sorted(met)), round(best, 9))
 
@@ -58,6 +56,7 @@ def test_scan_equals_all_comparisons(spark, odd_texts):
             words[rng.randrange(len(words))] = "other"
         notice = rng.choice(["\n", " ", "\r\n"]).join(words)
         texts.append((100 + n, invented(n, rng.randrange(900)) + rng.choice(["\n\n", " ", "\n"]) + notice + rng.choice(["\n \n", " "]) + invented(-n, rng.randrange(50))))
+    texts[3] = texts[4] = (4, " ".join(f"word{i % 977}" for i in range(3000)))
     texts += [(300, "MIT License, mit license"), (301, "apache-license GENERAL public\nlicense"), (302, "mit licenses smit license")]
     rows = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     got = sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.base_labels, r.labels, round(r.score, 9)) for r in rows)
@@ -66,6 +65,20 @@ def test_scan_equals_all_comparisons(spark, odd_texts):
     assert sum(r.labels != "" for r in rows) > 60
 
 
+def test_words_far_apart_are_no_notice(spark):
+    apart = f"held all {invented(1, 90)} civil rights {invented(2, 90)} tables reserved"
+    twice = f"All rights reserved. {invented(3, 40)} all RIGHTS reserved {invented(4, 40)} reserved"
+    body = licenses.TEMPLATES["mit"][-1].split()
+    blank = " ".join(body[:60]) + "\n\n" + " ".join(body[60:])
+    long = " ".join(["rights reserved"] * 20_000) + " all rights reserved"
+    texts = [(1, apart), (2, twice), (3, blank), (4, long), (5, " ".join(sorted(body)))]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (rows[1].labels, rows[1].score, rows[1].blocks) == ("", 0.0, [])
+    assert rows[2].labels == "reserved" and rows[2].blocks == [0, 43]
+    assert rows[3].labels == "mit" and rows[3].score == 1.0 and 0 in rows[3].blocks
+    assert rows[4].labels == "reserved" and rows[5].labels == "mit"
+
+
 def test_scan_of_odd_and_empty_tables(odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count()
     assert licenses.scan_licenses(no_docs).count() == 0
