@@ -121,7 +121,8 @@ def with_pieces(df: DataFrame, keys: list[str], order: list[str], piece_rows: in
     group; some numbers may be unused) and tells whether any group was cut. The rows of large groups
     are dealt out by ranges of keys and order, so that neither the number of groups nor that of pieces
     is limited, null keys are keys like any other, and rows of one moment are cut by what follows in
-    ``order``. They are written, which fixes the pieces for all later reads.
+    ``order``. A range holds many pieces where those are small: tasks and files follow the rows, not
+    the pieces. They are written, which fixes the pieces for all later reads.
     """
     sizes = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > piece_rows)
     names = [f"_hot{i}" for i in range(len(keys))]
@@ -132,11 +133,17 @@ def with_pieces(df: DataFrame, keys: list[str], order: list[str], piece_rows: in
     hot = hot.drop("_rows")
     if found["groups"] <= BROADCAST_GROUPS:
         hot = F.broadcast(hot)
-    pieces = math.ceil(2 * found["rows"] / piece_rows)
+    half = max(1, piece_rows // 2)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(math.ceil(found["rows"] / half), max(tasks, math.ceil(2 * found["rows"] / PIECE_ROWS)))
     large = df.join(hot, same_keys(df, hot, keys, names), "left_semi")
-    dealt = large.repartitionByRange(pieces, *[c(k) for k in keys], *[c(o) for o in order])
-    cut = write_and_reread(dealt.withColumn("_piece", F.spark_partition_id() + 1), "pieces")
-    rest = df.join(hot, same_keys(df, hot, keys, names), "left_anti").withColumn("_piece", F.lit(0))
+    place = [*[c(k) for k in keys], *[c(o) for o in order]]
+    dealt = large.repartitionByRange(ranges, *place).sortWithinPartitions(*place)
+    # The number of a row: its partition in the upper bits, its place there in the lower 33.
+    row = F.monotonically_increasing_id()
+    piece = F.shiftright(row, 33) * F.lit(1 << 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / half) + 1
+    cut = write_and_reread(dealt.withColumn("_piece", piece), "pieces")
+    rest = df.join(hot, same_keys(df, hot, keys, names), "left_anti").withColumn("_piece", F.lit(0).cast("long"))
     return rest.unionByName(cut), True
 
 

@@ -117,6 +117,16 @@ def test_pieces_of_null_keys_single_moments_and_many_pieces(spark):
     assert got.exceptAll(df.withColumn("before", F.lag("i").over(Window.partitionBy("k").orderBy("t", "i")))).count() == 0
 
 
+def test_files_of_pieces_follow_the_rows(spark):
+    """8,000 rows in pieces of 5: a file for each task, not one for each of 3,200 pieces."""
+    df = spark.range(8000).select(F.lit("a").alias("k"), F.col("id").alias("i"))
+    pieced, cut = with_pieces(df, ["k"], ["i"], 5)
+    sizes = pieced.groupBy("_piece").agg(F.count("*").alias("n"), F.min("i").alias("a"), F.max("i").alias("b")).orderBy("_piece").collect()
+    assert cut and sum(r.n for r in sizes) == 8000 and max(r.n for r in sizes) <= 5
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+    assert len(pieced.filter("_piece > 0").inputFiles()) <= 16
+
+
 def test_lookup_join_spreads_null_keys(spark):
     facts = spark.range(8000).select(F.when(F.col("id") % 4 == 0, F.lit("a")).alias("k"), F.col("id").alias("i"))
     table = spark.createDataFrame([("a", 5, "x" * 50), ("b", 1, None)], "k string, uses long, text string")
