@@ -51,7 +51,8 @@ def admit_requests(
     if cut:
         # Only the busy keys are read several times, so only they are written.
         busy = write_and_reread(events.filter(F.col("_piece") > 0), "requests")
-        events = events.filter(F.col("_piece") == 0).unionByName(busy).unionByName(_entry_states(busy, names, span))
+        states = _entry_states(busy, names, span, max(1, PIECE_ROWS // piece_rows))
+        events = events.filter(F.col("_piece") == 0).unionByName(busy).unionByName(states)
 
     def decide(batches):
         yield from _replay(batches, names, span, states=False)
@@ -74,10 +75,11 @@ def limit_column(limit: int | str) -> Column:
     return F.coalesce(c(limit).cast("int"), F.lit(DEFAULT_LIMIT)) if isinstance(limit, str) else F.lit(limit)
 
 
-def _in_time_order(events: DataFrame, names: list[str]) -> DataFrame:
+def _in_time_order(events: DataFrame, names: list[str], chained: bool = False) -> DataFrame:
     # A fixed number of partitions: the replay is worth more tasks than its bytes suggest to AQE.
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(parts, *names, "_piece").sortWithinPartitions(*names, "_piece", "_kind", "_t", "_id")
+    dealt = events.repartition(parts, *names) if chained else events.repartition(parts, *names, "_piece")
+    return dealt.sortWithinPartitions(*names, "_piece", "_kind", "_t", "_id")
 
 
 def decide_in_order(times: list[int], limits: list[int], first: int, last: int, recent: deque, span: int) -> list[tuple[int, int]]:
@@ -103,13 +105,16 @@ def decide_in_order(times: list[int], limits: list[int], first: int, last: int,
     return admitted
 
 
-def _replay(batches, names: list[str], span: int, states: bool):
-    """Walk sorted rows; yield decisions, or the remembered times at the end of every piece."""
+def _replay(batches, names: list[str], span: int, states: bool, chained: bool = False):
+    """Walk sorted rows; yield decisions, or the remembered times at the start and the end of every piece.
+
+    ``chained`` pieces of a key start with what the one before left.
+    """
     import numpy as np
     import pandas as pd
 
     group_columns = [*names, "_piece"]
-    current, recent = None, deque()
+    current, recent, before = None, deque(), []
     for pdf in batches:
         kind, times, limits = pdf["_kind"].to_numpy(), pdf["_t"].tolist(), pdf["_limit"].tolist()
         changed = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
@@ -123,61 +128,69 @@ def _replay(batches, names: list[str], span: int, states: bool):
         for group, first, last in zip(groups, starts, [*starts[1:], len(pdf)]):
             if group != current:
                 if states and current is not None:
-                    ends.append((*current, list(recent)))
-                current, recent = group, deque()
+                    ends.append((*current, before, list(recent)))
+                if not chained or current is None or group[:-1] != current[:-1]:
+                    recent = deque()
+                current, before = group, list(recent)
             while first < last and kind[first] == 0:
                 recent.append(times[first])
+                before.append(times[first])
                 first += 1
             for at, count in decide_in_order(times, limits, first, last, recent, span):
                 admitted[at], used[at] = True, count
         if states:
             if ends:
-                yield pd.DataFrame(ends, columns=[*group_columns, "_end"])
+                yield pd.DataFrame(ends, columns=[*group_columns, "_in", "_end"])
         else:
             decided = pdf[[*names, "_t", "_id", "_limit"]].assign(admitted=admitted, in_window=used)
             yield decided[kind == 1]
     if states and current is not None:
-        yield pd.DataFrame([(*current, list(recent))], columns=[*group_columns, "_end"])
+        yield pd.DataFrame([(*current, before, list(recent))], columns=[*group_columns, "_in", "_end"])
 
 
-def _entry_states(events: DataFrame, names: list[str], span: int) -> DataFrame:
+def _entry_states(events: DataFrame, names: list[str], span: int, most: int) -> DataFrame:
     """Rows of kind 0: the remembered times at the start of every piece, one per row.
 
     All pieces replay from an empty state first. Then those whose predecessor ended differently
     from what they assumed replay again: twice all of them, which settles every piece that holds a
-    quiet moment, and from then on only the first of each key, so that a key that is always full
-    costs one more pass over its pieces and no task ever handles more than a piece. The state table
-    has one row per piece and key that was cut; what is due is joined by a shuffle where it is large.
+    quiet moment. From then on the first of each key replays together with the pieces behind it, one
+    after the other in one task, four times as many in each round up to ``most`` (about a million rows
+    are one task's work at most): a key that is always full takes a round for each ``most`` of its
+    pieces. The state table has one row per piece and key that was cut; what is due is joined by a
+    shuffle where it is large.
     """
 
     pieces = [*names, "_piece"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*pieces).schema) + ", _in array<long>, _end array<long>"
 
-    def finish(batches):
-        yield from _replay(batches, names, span, states=True)
+    def run(part: DataFrame, chained: bool = False) -> DataFrame:
+        def finish(batches):
+            yield from _replay(batches, names, span, states=True, chained=chained)
 
-    def run(part: DataFrame) -> DataFrame:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*pieces).schema)
-        return _in_time_order(part, names).mapInPandas(finish, schema + ", _end array<long>")
+        return _in_time_order(part, names, chained).mapInPandas(finish, schema)
 
     def as_rows(states: DataFrame, state: str) -> DataFrame:
         return states.select(*pieces, F.lit(0).alias("_kind"), F.explode(state).alias("_t"), F.lit(0).cast("long").alias("_id"), F.lit(0).alias("_limit"))
 
     empty = F.array().cast("array<long>")
     of_key = Window.partitionBy(*names)
-    table = write_and_reread(run(events).withColumn("_in", empty), "states")
+    table = write_and_reread(run(events), "states")
     for round_number in count(1):
         wanted = table.withColumn("_want", F.coalesce(F.lag("_end").over(of_key.orderBy("_piece")), empty))
-        due = wanted.filter(F.col("_want") != F.col("_in"))
-        if round_number > 2:
-            due = due.withColumn("_first", F.min("_piece").over(of_key)).filter(F.col("_piece") == F.col("_first"))
-        due = write_and_reread(due.select(*pieces, "_want"), "due")
+        due, chained = F.col("_want") != F.col("_in"), round_number > 2
+        if chained:
+            numbered = wanted.withColumn("_at", F.row_number().over(of_key.orderBy("_piece")))
+            first = F.col("_at") - F.min(F.when(due, F.col("_at"))).over(of_key)
+            # Only the first piece of a run is given a state.
+            wanted = numbered.withColumn("_from", first).withColumn("_want", F.when(F.col("_from") == 0, F.col("_want")))
+            due = (F.col("_from") >= 0) & (F.col("_from") < min(most, 4 ** (round_number - 2)))
+        due = write_and_reread(wanted.filter(due).select(*pieces, "_want"), "due")
         if due.isEmpty():
             return as_rows(table, "_in")
         seams = [f"_due{i}" for i in range(len(pieces))]
-        named = due.select(*[c(p).alias(n) for p, n in zip(pieces, seams)], "_want")
+        named = due.select(*[c(p).alias(n) for p, n in zip(pieces, seams)])
         again = events.join(named, same_keys(events, named, pieces, seams), "left_semi")
-        ends = run(again.unionByName(as_rows(due, "_want")))
-        redone = ends.join(named, same_keys(ends, named, pieces, seams)).select(*ends.columns, F.col("_want").alias("_in"))
+        redone = run(again.unionByName(as_rows(due, "_want")), chained)
         kept = table.join(named, same_keys(table, named, pieces, seams), "left_anti")
         table = write_and_reread(kept.unionByName(redone), "states")
 

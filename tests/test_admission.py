@@ -127,3 +127,14 @@ def test_stream_counts(spark, tmp_path):
     seen = got.select("window_start", "user", "requests")
     closed = want.join(seen.agg(F.max("window_start").alias("last")), F.col("window_start") <= F.col("last")).drop("last")
     assert seen.count() > 0 and seen.exceptAll(want).count() == 0 and closed.exceptAll(seen).count() == 0
+
+
+def test_a_key_that_is_always_full_takes_few_rounds(spark, monkeypatch):
+    """3,000 requests in 100 pieces, none of which holds a quiet moment: a round for each piece before."""
+    rows = [("u", "api", START + dt.timedelta(seconds=7 * i, milliseconds=i * i % 997), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user string, endpoint string, ts timestamp, id long")
+    rounds, written = [], admission.write_and_reread
+    monkeypatch.setattr(admission, "write_and_reread", lambda part, tag: rounds.append(tag) or written(part, tag))
+    got = admission.admit_requests(df, ["user"], "ts", "id", 3, 3600, piece_rows=60).collect()
+    assert {r.id: (r.admitted, r.in_window) for r in got} == replay(rows, 3, 3600)
+    assert rounds.count("due") <= 7
