@@ -4,81 +4,128 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 128
-
-
-def _blocks(points: np.ndarray, leaf: int) -> list[np.ndarray]:
-    """Index blocks of at most ``leaf`` near points, by halving along the widest axis."""
-    todo, done = [np.arange(len(points))], []
-    while todo:
-        members = todo.pop()
-        if len(members) <= leaf:
-            done.append(members)
-            continue
-        values = points[members]
-        axis = int(np.argmax(values.max(axis=0) - values.min(axis=0)))
-        half = len(members) // 2
-        order = np.argpartition(values[:, axis], half)
-        todo += [members[order[:half]], members[order[half:]]]
-    return done
+#: Points of a leaf, and numbers that one step of a search holds at once.
+LEAF, STEP = 16, 1 << 21
 
 
 def box_gap_squared(low_a, high_a, low_b, high_b):
     """Squared gap between axis-parallel boxes (0 where they touch); broadcasts."""
     gap = np.maximum(0.0, np.maximum(low_b - high_a, low_a - high_b))
-    return (gap * gap).sum(axis=-1)
+    return np.einsum("...d,...d->...", gap, gap)
+
+
+def principal_axes(points: np.ndarray) -> np.ndarray:
+    """Orthogonal axes along which the points spread most and least: boxes of a tilted sheet are flat along them."""
+    if len(points) < 2:
+        return np.eye(points.shape[1])
+    return np.linalg.eigh(np.cov(points, rowvar=False).reshape(points.shape[1], -1))[1]
 
 
 class PointSet:
-    """Points in compact blocks with their bounding boxes."""
+    """Points in a balanced tree of boxes along their principal axes; all queries walk it together, level by level.
+
+    The turned coordinates only rule boxes out (with a hair to spare); distances come from the points as they are.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.blocks = [points[b] for b in _blocks(points, leaf)] if len(points) else []
-        if self.blocks:
-            self.low = np.array([b.min(axis=0) for b in self.blocks])
-            self.high = np.array([b.max(axis=0) for b in self.blocks])
+        n, self.depth = len(points), max(0, int(np.ceil(np.log2(max(1, len(points)) / leaf))))
+        self.size = n
+        if not n:
+            return
+        self.axes = principal_axes(points)
+        turned, order = points @ self.axes, np.arange(n)
+        for level in range(self.depth):
+            edges = np.arange((1 << level) + 1) * n // (1 << level)
+            low, high = np.minimum.reduceat(turned, edges[:-1]), np.maximum.reduceat(turned, edges[:-1])
+            node = np.repeat(np.arange(1 << level), np.diff(edges))
+            by = np.lexsort((turned[np.arange(n), np.argmax(high - low, axis=1)[node]], node))
+            turned, order = turned[by], order[by]
+        edges = np.arange((1 << self.depth) + 1) * n // (1 << self.depth)
+        low, high = [np.minimum.reduceat(turned, edges[:-1])], [np.maximum.reduceat(turned, edges[:-1])]
+        for _ in range(self.depth):
+            low.append(np.minimum(low[-1][::2], low[-1][1::2]))
+            high.append(np.maximum(high[-1][::2], high[-1][1::2]))
+        self.low, self.high = np.concatenate(low[::-1]), np.concatenate(high[::-1])
+        # Leaves are filled up to one size with their last point.
+        at = np.minimum(edges[:-1, None] + np.arange(int(np.diff(edges).max())), edges[1:, None] - 1)
+        self.leaves = points[order][at]
 
     @classmethod
-    def of_parts(cls, blocks, low, high) -> "PointSet":
+    def of_parts(cls, parts: dict) -> "PointSet":
         made = cls.__new__(cls)
-        made.blocks, made.low, made.high = blocks, low, high
+        vars(made).update(parts)
         return made
 
     def nearest(self, queries: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
         """Distance of every query to its nearest point; ``bound`` is an already known distance."""
         best = np.full(len(queries), np.inf) if bound is None else bound.astype(float) ** 2
-        if not self.blocks:
+        if not self.size:
             return np.sqrt(best)
-        for members in _blocks(queries, LEAF):
-            asked, found = queries[members], best[members]
-            gaps = box_gap_squared(asked.min(axis=0), asked.max(axis=0), self.low, self.high)
-            self._improve(int(np.argmin(gaps)), asked, found)
-            near = np.flatnonzero(gaps < found.max())
-            for i in near[np.argsort(gaps[near], kind="stable")]:
-                if gaps[i] >= found.max():
-                    break
-                self._improve(i, asked, found)
-            best[members] = found
+        turned = queries @ self.axes
+        # What rounding may add to a squared gap of these coordinates.
+        spare = 1e-14 * (np.einsum("qd,qd->q", queries, queries) + float((self.leaves * self.leaves).sum(axis=-1).max()))
+        for start in range(0, len(queries), 8192):
+            self._search(queries, turned, spare, best, np.arange(start, min(start + 8192, len(queries))))
         return np.sqrt(best)
 
-
-    def _improve(self, block: int, asked: np.ndarray, found: np.ndarray) -> None:
-        """Search one block for those queries whose own gap to it is below what they found."""
-        open_ones = np.flatnonzero(box_gap_squared(asked, asked, self.low[block], self.high[block]) < found)
-        if len(open_ones):
-            apart = asked[open_ones, None, :] - self.blocks[block][None, :, :]
-            found[open_ones] = np.minimum(found[open_ones], np.einsum("qpd,qpd->qp", apart, apart).min(axis=1))
+    def _gaps(self, turned: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return box_gap_squared(turned, turned, self.low[node], self.high[node])
+
+    def _improve(self, queries: np.ndarray, best: np.ndarray, rows: np.ndarray, leaf: np.ndarray) -> None:
+        step = max(1, STEP // (self.leaves.shape[1] * self.leaves.shape[2]))
+        for a in range(0, len(rows), step):
+            row = rows[a:a + step]
+            apart = self.leaves[leaf[a:a + step]] - queries[row][:, None, :]
+            np.minimum.at(best, row, np.einsum("qpd,qpd->qp", apart, apart).min(axis=1))
+
+    def _search(self, queries: np.ndarray, turned: np.ndarray, spare: np.ndarray, best: np.ndarray, rows: np.ndarray) -> None:
+        first = (1 << self.depth) - 1
+        node = np.zeros(len(rows), dtype=np.int64)
+        for _ in range(self.depth):  # the leaf one gets to by taking the nearer box
+            left = 2 * node + 1
+            node = left + (self._gaps(turned[rows], left + 1) < self._gaps(turned[rows], left))
+        self._improve(queries, best, rows, node - first)
+        self._walk(queries, turned, spare, best, rows, np.zeros(len(rows), dtype=np.int64), node, 0)
+
+    def _walk(self, queries, turned, spare, best, rows, node, home, level) -> None:
+        """Down from ``node`` to the leaves that may hold a nearer point; the nearest of them first, then twice as many each time."""
+        gap = np.zeros(len(rows))
+        for level in range(level, self.depth):
+            if len(rows) > STEP // 8 and len(np.unique(rows)) > 1:
+                # Too many boxes at once: one half of the queries after the other.
+                half = rows <= np.median(rows) if rows.min() < rows.max() else np.ones(len(rows), dtype=bool)
+                half = half if not half.all() else rows < rows.max()
+                for part in (half, ~half):
+                    self._walk(queries, turned, spare, best, rows[part], node[part], home[part], level)
+                return
+            rows, home, node = np.concatenate([rows, rows]), np.concatenate([home, home]), np.concatenate([2 * node + 1, 2 * node + 2])
+            gap = self._gaps(turned[rows], node)
+            near = gap <= best[rows] + spare[rows]
+            rows, home, node, gap = rows[near], home[near], node[near], gap[near]
+        fresh = node != home
+        rows, node, gap = rows[fresh], node[fresh], gap[fresh]
+        order = np.lexsort((gap, rows))
+        rows, node, gap = rows[order], node[order], gap[order]
+        taken = 1
+        while len(rows):
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+            now = place < taken
+            self._improve(queries, best, rows[now], node[now] - ((1 << self.depth) - 1))
+            left = ~now & (gap <= best[rows] + spare[rows])
+            rows, node, gap, taken = rows[left], node[left], gap[left], 2 * taken
 
 
 class SplitTree:
-    """Balanced axis splits of a sample: points go to cells, and cells near a point are found."""
+    """Balanced splits of a sample along its principal axes: points go to cells, and cells near a point are found."""
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
         inner = (1 << depth) - 1
         self.axis = np.zeros(inner, dtype=np.int32)
         self.cut = np.full(inner, np.inf)
-        members = {0: sample}
+        self.turn = principal_axes(sample)
+        members = {0: sample @ self.turn}
         for node in range(inner):
             points = members.pop(node)
             if len(points):
@@ -95,6 +142,7 @@ class SplitTree:
             members[2 * node + 1], members[2 * node + 2] = points[left], points[~left]
 
     def cell(self, points: np.ndarray) -> np.ndarray:
+        points = points @ self.turn
         node = np.zeros(len(points), dtype=np.int64)
         rows = np.arange(len(points))
         for _ in range(self.depth):
@@ -103,7 +151,7 @@ class SplitTree:
         return node - ((1 << self.depth) - 1)
 
     def boxes(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Boxes of all nodes from those of the cells (an empty cell has low = inf, high = -inf)."""
+        """Boxes of all nodes from those of the cells, along ``turn`` (an empty cell has low = inf, high = -inf)."""
         inner = (1 << self.depth) - 1
         all_low = np.vstack([np.full((inner, low.shape[1]), np.inf), low])
         all_high = np.vstack([np.full((inner, high.shape[1]), -np.inf), high])
@@ -116,7 +164,11 @@ class SplitTree:
         """Pairs (row, cell) whose box is nearer than ``reach``, found level by level."""
         low, high = boxes
         row, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
-        limit = reach * reach * (1 + 1e-12)
+        points = points @ self.turn
+        # Turned coordinates are rounded: a hair more than the reach.
+        held = low[0], high[0]
+        size = np.einsum("qd,qd->q", points, points) + float(np.square(held).sum() if np.isfinite(held).all() else 0.0)
+        limit = reach * reach * (1 + 1e-12) + 1e-14 * size
         for _ in range(self.depth):
             row, node = np.concatenate([row, row]), np.concatenate([2 * node + 1, 2 * node + 2])
             near = box_gap_squared(points[row], points[row], low[node], high[node]) < limit[row]

@@ -79,10 +79,10 @@ def _schema(names: list[str], *extra: str) -> str:
 
 def _against_broadcast(points: DataFrame, asked: DataFrame, names: list[str]) -> DataFrame:
     built = PointSet(points.toPandas().to_numpy(dtype=float))
-    shared = points.sparkSession.sparkContext.broadcast((built.blocks, built.low, built.high) if built.blocks else ([], None, None))
+    shared = points.sparkSession.sparkContext.broadcast(vars(built))
 
     def search(batches):
-        index = PointSet.of_parts(*shared.value)
+        index = PointSet.of_parts(shared.value)
         for pdf in gathered(batches):
             yield pdf.assign(distance=index.nearest(pdf[names].to_numpy(dtype=float)))
 
@@ -109,19 +109,24 @@ def gathered(batches, rows: int = 131_072):
         yield pd.concat(held, ignore_index=True)
 
 
-def _cell_table(df: DataFrame, cells: int, names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows per cell, and the box of its points; at most 2^MAX_DEPTH rows reach the driver."""
-    boxes = [] if names is None else [f(n).alias(f"{a}{n}") for n in names for a, f in (("l", F.min), ("h", F.max))]
+def _cell_table(df: DataFrame, cells: int, axes: list[Column] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows per cell, and the box of its points along ``axes``; at most 2^MAX_DEPTH rows reach the driver."""
+    d = len(axes or [])
+    boxes = [f(x).alias(f"{a}{i}") for i, x in enumerate(axes or []) for a, f in (("l", F.min), ("h", F.max))]
     size = np.zeros(cells, dtype=np.int64)
-    low = np.full((cells, len(names or [])), np.inf)
-    high = np.full((cells, len(names or [])), -np.inf)
+    low, high = np.full((cells, d), np.inf), np.full((cells, d), -np.inf)
     for row in df.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), *boxes).collect():
         size[row["cell"]] = row["rows"]
-        for i, n in enumerate(names or []):
-            low[row["cell"], i], high[row["cell"], i] = row[f"l{n}"], row[f"h{n}"]
+        for i in range(d):
+            low[row["cell"], i], high[row["cell"], i] = row[f"l{i}"], row[f"h{i}"]
     return size, low, high
 
 
+def _turned(names: list[str], turn: np.ndarray) -> list[Column]:
+    """The coordinates along the columns of ``turn``."""
+    return [sum((F.col(n) * F.lit(float(turn[i, j])) for i, n in enumerate(names)), F.lit(0.0)) for j in range(turn.shape[1])]
+
+
 def _search_groups(points: DataFrame, asked: DataFrame, names: list[str], real_size, asked_size, group_points: int) -> DataFrame:
     """Search each asked record in the real points of its cell.
 
@@ -187,7 +192,7 @@ def _against_cells(points: DataFrame, asked: DataFrame, names: list[str], group_
             yield pdf.assign(cell=tree.cell(pdf[names].to_numpy(dtype=float)).astype("int32"))
 
     real_cells = write_and_reread(points.mapInPandas(assign, _schema(names, "cell int")), "cells")
-    real_size, low, high = _cell_table(real_cells, 1 << depth, names)
+    real_size, low, high = _cell_table(real_cells, 1 << depth, _turned(names, tree.turn))
     boxes = tree.boxes(low, high)
 
     home = asked.withColumn("bound", F.lit(math.inf)).mapInPandas(assign, _schema(names, "n long", "bound double", "cell int"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tabguard.functions.nearest import PointSet
+from tabguard.functions.nearest import PointSet, SplitTree
 from tabguard.operators import closest
 
 
@@ -55,3 +55,33 @@ def test_known_bound_is_kept():
     index = PointSet(np.array([[0.0], [10.0]]))
     assert index.nearest(np.array([[4.0]]), np.array([1.0]))[0] == 1.0
     assert PointSet(np.empty((0, 1))).nearest(np.array([[4.0]]), np.array([2.0]))[0] == 2.0
+
+
+def test_points_on_a_tilted_sheet_open_few_leaves():
+    """Queries far off a sheet: along its own axes most leaves are ruled out, along the columns hardly any were."""
+    draw = np.random.default_rng(2)
+    along, across = draw.normal(size=20_000), draw.normal(size=20_000)
+    points = np.stack([along, along, across], axis=1)
+    asked = draw.normal(size=(300, 3)) * 5
+    index, opened = PointSet(points), []
+    improve = index._improve
+    index._improve = lambda queries, best, rows, leaf: opened.append(len(rows)) or improve(queries, best, rows, leaf)
+    found = index.nearest(asked)
+    want = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
+    assert np.allclose(found, want, rtol=0, atol=1e-12)
+    assert sum(opened) < 30 * len(asked)
+
+
+def test_cells_of_a_tilted_sheet_are_flat():
+    draw = np.random.default_rng(3)
+    along, across = draw.normal(size=20_000), draw.normal(size=20_000)
+    points = np.stack([along, along, across], axis=1)
+    tree = SplitTree(points, 8)
+    cell, turned = tree.cell(points), points @ tree.turn
+    low = np.array([turned[cell == i].min(axis=0) for i in range(256)])
+    high = np.array([turned[cell == i].max(axis=0) for i in range(256)])
+    asked = draw.normal(size=(200, 3)) * 5
+    want = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    row, met = tree.cells_within(asked, want.min(axis=1) * (1 + 1e-9), tree.boxes(low, high))
+    assert len(row) < 4 * len(asked)
+    assert {(i, cell[j]) for i, j in enumerate(want.argmin(axis=1))} <= set(zip(row.tolist(), met.tolist()))
