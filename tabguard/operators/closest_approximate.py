@@ -70,23 +70,34 @@ def _share(df: DataFrame, names: list[str], tag: str, rows: int, total: int) ->
 
 
 def _exact_nearest(points: DataFrame, names: list[str], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest of all real records to each of ``asked``: a task keeps one candidate a record, then one group a record."""
+    """The nearest of all real records to each of ``asked``: a task keeps one candidate a record, then one group a record.
+
+    Products of matrices find what may be nearest, up to their rounding; of that the distance itself is taken.
+    """
     shared = points.sparkSession.sparkContext.broadcast(asked)
 
     def search(batches):
         want = shared.value
         best, where = np.full(len(want), np.inf), np.zeros((len(want), len(names)))
+        size = np.einsum("qd,qd->q", want, want)
         for pdf in batches:
             real = pdf[names].to_numpy(dtype=float)
-            for start in range(0, len(real), 512):
-                block = real[start:start + 512]
+            for start in range(0, len(real), 4096):
+                block = real[start:start + 4096]
+                held = np.einsum("pd,pd->p", block, block)
                 for low in range(0, len(want), 512):
-                    apart = want[low:low + 512, None, :] - block[None, :, :]
-                    squares = np.einsum("qpd,qpd->qp", apart, apart)
-                    at = squares.argmin(axis=1)
-                    found = squares[np.arange(len(at)), at]
-                    nearer = np.flatnonzero(found < best[low:low + 512])
-                    best[low + nearer], where[low + nearer] = found[nearer], block[at[nearer]]
+                    part = slice(low, min(low + 512, len(want)))
+                    rough = held - 2 * want[part] @ block.T
+                    least, spare = rough.min(axis=1), 1e-13 * (size[part] + held.max())
+                    near = np.flatnonzero(least + size[part] <= best[part] + spare)
+                    row, at = np.nonzero(rough[near] <= (least + 2 * spare)[near, None])
+                    row = low + near[row]
+                    apart = want[row] - block[at]
+                    squares = np.einsum("qd,qd->q", apart, apart)
+                    # The nearest of a record last, so that it is what stays.
+                    order = np.argsort(-squares, kind="stable")
+                    order = order[squares[order] < best[row[order]]]
+                    best[row[order]], where[row[order]] = squares[order], block[at[order]]
         if len(want):
             yield pd.DataFrame(where, columns=names).assign(q=np.arange(len(want)), square=best)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tabguard.operators import closest_approximate as approximate
@@ -76,3 +77,16 @@ def test_report_and_empty_sides(spark):
         approximate.approximate_distances(r.limit(0), s)
     with pytest.raises(ValueError):
         approximate.approximate_distances(r, s.selectExpr("c0 as other"))
+
+
+def test_exact_neighbours_of_the_trial_by_products(spark):
+    """Far from the origin, with copies and near ties: the distances are exact."""
+    draw = np.random.default_rng(4)
+    real = np.vstack([draw.normal(size=(6000, 5)) + 1000, np.full((1, 5), 1000.0)])
+    asked = np.vstack([real[:50], real[50:100] + 1e-7, draw.normal(size=(50, 5)) + 1000])
+    names = [f"x{i}" for i in range(5)]
+    points = spark.createDataFrame(pd.DataFrame(real, columns=names))
+    where, apart = approximate._exact_nearest(points, names, asked)
+    want = np.sqrt(((asked[:, None, :] - real[None, :, :]) ** 2).sum(axis=2))
+    assert np.array_equal(apart, want.min(axis=1)) or np.allclose(apart, want.min(axis=1), rtol=1e-12, atol=0)
+    assert np.array_equal(where, real[want.argmin(axis=1)])
