@@ -27,6 +27,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def term_counts(words: Column) -> Column:
+    """``(term, tf)`` of each distinct word, inside the row: the words sorted, and the places where another one starts."""
+    ordered = F.array_sort(words)
+    starts = lambda held: F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+    runs = lambda held, at: F.transform(at, lambda i, j: F.struct(
+        F.get(held, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(held)) - i).cast("long").alias("tf")))
+    # A transform over one element evaluates the inner column once.
+    counted = F.transform(F.array(ordered), lambda held: F.get(F.transform(F.array(starts(held)), lambda at: runs(held, at)), F.lit(0)))
+    return F.when(F.size(words) > 0, F.get(counted, F.lit(0)))
+
+
 def ingest_pages(documents: DataFrame, separator: str = "\f") -> DataFrame:
     """``(filename, text)`` -> ``(filename, page_number, text)``: pages from 1, trimmed, only those over 50 characters."""
     pages = documents.select("filename", F.posexplode(F.split("text", separator)).alias("at", "raw"))
@@ -110,11 +121,12 @@ def build_index(pages: DataFrame, path: str, buckets: int = 256) -> None:
 
     Postings lie in folders by a hash of the term, sorted by term inside a file, so that a search
     reads the files of its terms only. A folder with very many rows is written by several tasks.
+    Rows that repeat a page are pages of their own, whose scores a search adds up.
     """
     page = pages.select("filename", F.col("page_number").cast("int").alias("page_number"), F.explode(F.array(tokens(F.col("text")))).alias("_tokens"))
     sized = page.select("filename", "page_number", F.size("_tokens").alias("length"), "_tokens")
-    counted = sized.select("filename", "page_number", "length", F.explode("_tokens").alias("term")).groupBy(
-        "filename", "page_number", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A page is one row, so its terms are counted there: only the finished postings are shuffled.
+    counted = sized.select("filename", "page_number", "length", F.inline(term_counts(F.col("_tokens"))))
     placed = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     figures = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets"))
