@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabguard.operators.corpus import BM25_B, BM25_K1, _with_texts, tokens
+from tabguard.operators.corpus import BM25_B, BM25_K1, _with_texts, term_counts, tokens
 from tabguard.session import write_and_reread
 
 #: Folders of a segment's postings, and pages of a block as a power of two.
@@ -64,12 +64,14 @@ class BlockIndex:
         numbered = numbered.withColumn("block", F.shiftright("page", self.block_bits)).withColumn("length", F.size("words"))
         place = f"{self.path}/segments/v={version}"
         numbered.select("page", "block", "filename", "page_number", "length", F.array_distinct("words").alias("terms")).write.mode("error").parquet(f"{place}/pages")
-        counted = numbered.select("page", "block", "length", F.explode("words").alias("term")).groupBy("term", "block", "page", "length").agg(F.count(F.lit(1)).alias("tf"))
+        # One shuffle serves the counts of a block and the folders: by bucket, and by block, so that no bucket is one task's.
+        spread = max(1, math.ceil(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) / BUCKETS))
+        counted = numbered.select("page", "block", "length", F.inline(term_counts(F.col("words")))).withColumn(
+            "bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)))
         # A list holds a block's pages at most, however frequent the term is.
-        blocks = counted.groupBy("term", "block").agg(
+        blocks = counted.repartition("bucket", "part").groupBy("bucket", "part", "term", "block").agg(
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("top"), F.min("length").alias("least"), F.collect_list(F.struct("page", "tf", "length")).alias("held"))
-        placed = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("error").partitionBy("bucket").parquet(f"{place}/postings")
+        blocks.drop("part").sortWithinPartitions("bucket", "term", "block").write.mode("error").partitionBy("bucket").parquet(f"{place}/postings")
         figures = numbered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         self._publish(version, [*last["segments"], version], list(last["removals"]), last["pages"] + figures["n"], last["words"] + figures["words"])
 

@@ -64,3 +64,26 @@ def test_a_second_delete_changes_nothing_and_all_may_go(spark, tmp_path):
     assert [r.filename for r in index.ranked("alpha")[0].collect()] == [None]
     index.delete(odd.filter("filename is not null"))
     assert index._manifest()["pages"] == 1
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, ["b", "a", "b", "c", "a", "b"]), (2, []), (3, ["x"]), (4, None)]
+    found = spark.createDataFrame(rows, "i int, w array<string>").select("i", F.inline(corpus.term_counts(F.col("w"))))
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 2), (1, "b", 3), (1, "c", 1), (3, "x", 1)}
+
+
+@pytest.mark.parametrize("kind", ["postings", "blocks"])
+def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch, kind):
+    """Two shuffles for the plain index and three for the blocks before."""
+    pages = spark.createDataFrame([(f"f{i}", 1, f"some words {i % 7} of page {i}") for i in range(50)], "filename string, page_number int, text string")
+    seen, ordered = [], type(pages).sortWithinPartitions
+    monkeypatch.setattr(type(pages), "sortWithinPartitions", lambda df, *by: seen.append(df) or ordered(df, *by))
+    if kind == "postings":
+        corpus.build_index(pages, str(tmp_path / "index"))
+    else:
+        index = BlockIndex(spark, str(tmp_path / "blocks"))
+        index.create()
+        index.append(pages)
+    assert len(seen) == 1
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1
