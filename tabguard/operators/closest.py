@@ -19,6 +19,8 @@ from tabguard.session import write_and_reread
 BROADCAST_BYTES = 32 << 20
 #: Points per side that one group of the cell search holds.
 GROUP_POINTS = 50_000
+#: Rows that leave the spreading of points over chunks at once.
+SPREAD_ROWS = 16_384
 #: Least size of the sample that shapes the cells, and its points per cell.
 SAMPLE_POINTS, SAMPLE_PER_CELL = 65_536, 4
 #: The driver holds one row per cell: 2^18 of them serve 1.3e10 distinct points; beyond that, cells are cut into chunks.
@@ -142,10 +144,12 @@ def _search_groups(points: DataFrame, asked: DataFrame, names: list[str], real_s
                 cell = pdf["cell"].to_numpy()
                 slot = (pdf.pop("h").to_numpy() & 0x7FFFFFFF) % own[cell]
                 copies = other[cell]  # 0 drops real points nobody asks for
-                at = np.repeat(np.arange(len(pdf)), copies)
-                out = pdf.iloc[at].assign(**{own_name: slot[at]})
-                first = np.repeat(np.cumsum(copies) - copies, copies)
-                yield out.assign(**{other_name: np.arange(len(at)) - first})
+                ends = np.cumsum(copies)
+                # A point may go to very many chunks: so many rows leave at a time, whatever their number.
+                for start in range(0, int(ends[-1]) if len(ends) else 0, SPREAD_ROWS):
+                    copy = np.arange(start, min(start + SPREAD_ROWS, int(ends[-1])))
+                    at = np.searchsorted(ends, copy, side="right")
+                    yield pdf.iloc[at].assign(**{own_name: slot[at], other_name: copy - (ends - copies)[at]})
 
         return run
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabguard.functions.nearest import PointSet, SplitTree
 from tabguard.operators import closest
@@ -85,3 +86,16 @@ def test_cells_of_a_tilted_sheet_are_flat():
     row, met = tree.cells_within(asked, want.min(axis=1) * (1 + 1e-9), tree.boxes(low, high))
     assert len(row) < 4 * len(asked)
     assert {(i, cell[j]) for i, j in enumerate(want.argmin(axis=1))} <= set(zip(row.tolist(), met.tolist()))
+
+
+def test_points_spread_over_many_chunks_leave_in_slices(spark):
+    """One real cell against very many asked records: no batch holds a copy of the cell for each chunk of them."""
+    real = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") / 20).cast("double").alias("b"))
+    synth = spark.range(3000).select((F.col("id") % 60 / 3).alias("a"), (F.col("id") / 150).alias("b"))
+    whole = {tuple(r) for r in closest.closest_distances(real, synth).collect()}
+    held, closest.SPREAD_ROWS = closest.SPREAD_ROWS, 7
+    try:
+        cut = {tuple(r) for r in closest.closest_distances(real, synth, broadcast_bytes=64, group_points=50).collect()}
+    finally:
+        closest.SPREAD_ROWS = held
+    assert cut == whole
