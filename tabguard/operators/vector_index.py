@@ -32,6 +32,8 @@ PART, WORDS = 4, 256
 TRIALS, RECALL = 100, 0.97
 #: Candidates by code whose vectors are read, for each result asked for.
 RERANK = 20
+#: Products of points and centres that a task holds at once.
+PRODUCTS = 1 << 20
 #: Queries searched at once.
 QUERY_BLOCK = 256
 
@@ -58,7 +60,7 @@ def _k_means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     draw = np.random.default_rng(seed)
     centres = points[draw.permutation(len(points))[:k]]
     for _ in range(rounds):
-        nearest = np.argmin((centres * centres).sum(1) - 2 * points @ centres.T, axis=1)
+        nearest = _nearest_list(points, centres)
         counts = np.bincount(nearest, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, points)
@@ -67,9 +69,9 @@ def _k_means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def _nearest_list(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The list of each point, some thousand points at a time."""
-    size = (centres * centres).sum(1)
-    return np.concatenate([np.argmin(size - 2 * points[i:i + 2048] @ centres.T, axis=1) for i in range(0, len(points), 2048)] or [np.empty(0, int)])
+    """The list of each point, so many points at a time that their products with all centres stay small."""
+    size, step = (centres * centres).sum(1), max(1, PRODUCTS // len(centres))
+    return np.concatenate([np.argmin(size - 2 * points[i:i + step] @ centres.T, axis=1) for i in range(0, len(points), step)] or [np.empty(0, int)])
 
 
 class Coder:

@@ -1,9 +1,12 @@
 """The vector index against a scan of all vectors."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabguard.operators import vector_index
 from tabguard.operators.corpus import nearest_vectors
 from tabguard.operators.vector_index import build_vector_index, nearest_exactly, search_vector_index
 
@@ -76,3 +79,13 @@ def test_few_vectors(spark, tmp_path):
     assert search_vector_index(spark, str(tmp_path / "i"), asked(tiny, "false")).count() == 0
     with pytest.raises(ValueError):
         build_vector_index(tiny.filter("false"), str(tmp_path / "none"))
+
+
+def test_codewords_are_fitted_without_a_table_of_all_products():
+    """20,000 points and 256 codewords: 41 MB of products at once before, a fifth of that now."""
+    points = np.random.default_rng(6).normal(size=(20_000, 4))
+    tracemalloc.start()
+    words = vector_index._k_means(points, 256, 2, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.shape == (256, 4) and most < 32e6
