@@ -54,3 +54,15 @@ def test_what_comes_behind_the_watermark_is_dropped(spark, tmp_path):
     got, progress = run(spark, tmp_path, [day[:2], [("a", START, 99, 2), day[2]], [("a", START + dt.timedelta(hours=12), 12, 2)]], limit=2)
     assert {r.order_id for r in got.collect()} == {1, 5, 9}
     assert got.filter(~F.col("admitted")).count() == 0
+
+
+def test_state_is_held_by_groups_of_keys(spark, tmp_path):
+    rows = [(f"u{i % 3000}", START + dt.timedelta(minutes=(i * 7) % 41, microseconds=i % 3), i, 2) for i in range(9000)]
+    got, progress = run(spark, tmp_path, [rows], limit="own", lateness="20 minutes", window_seconds=1200)
+    batch = admission.admit_requests(spark.createDataFrame(rows, SCHEMA), ["user"], "ts", "id", "own", 1200)
+    passed = max(r[1] for r in rows) - dt.timedelta(minutes=20, milliseconds=1)
+    assert {tuple(r) for r in got.drop("key", "limit").select("order_id", "admitted", "in_window").collect()} == {
+        tuple(r) for r in batch.filter(F.col("ts") <= F.lit(passed)).select("id", "admitted", "in_window").collect()}
+    # Some columns and a timer of 256 groups, not of 3,000 keys.
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert 0 < max(held) <= 5 * 256

@@ -470,6 +470,8 @@ def dataset_fingerprint(spark, sf_dir):
 # ------------------------------------------------------------------ request limits
 
 DAY = 86_400
+#: Requests in a file of the late log, at least where it has several.
+ARRIVAL_ROWS = 250_000
 # Greedy admission by recursion over each key's log: keep the last two admitted times.
 ADMIT_SQL = """
 WITH RECURSIVE e AS (SELECT {key} AS k, event_id, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events)
@@ -560,17 +562,20 @@ SELECT event_id AS order_id, admitted, CAST(len(st) AS INT) AS in_window FROM w
 WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 172800000
 """)
 def request_admission_late(spark, sf_dir):
-    """Requests that come up to a day late, in five files: the decisions are those of the ordered log."""
+    """Requests that come up to a day late, in five parts: the decisions are those of the ordered log."""
     log = table(spark, sf_dir, "events")
     # Up to 23 hours behind its time, by a hash of the request.
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(23 * 3600 * 1_000_000))
     span = log.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
-    arrived = log.withColumn("file", F.floor((arrival - F.lit(span["a"])) * 5 / F.lit(span["b"] - span["a"] + 1)))
+    arrived = log.withColumn("part", F.floor((arrival - F.lit(span["a"])) * 5 / F.lit(span["b"] - span["a"] + 1)))
+    # Each part in as many files as the others, so that a batch of the stream is a part.
+    rows = dict(arrived.groupBy("part").count().collect())
+    files = max(1, min(rows.get(i, 0) for i in range(5)) // ARRIVAL_ROWS)
     folder = scratch_path(spark, "late-requests")
     for i in range(5):
-        # A file after the other: the source reads them in the order of their time.
-        arrived.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        # A part after the other: the source reads files in the order of their time.
+        arrived.filter(F.col("part") == i).drop("part").repartition(files).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(folder)
     decided = admit_stream_in_order(source, ["user_id"], "ts", "event_id", limit=2, window_seconds=DAY, lateness="2 days")
     with rocksdb_state(spark):
         return _run(decided, spark, "late-admitted").select("order_id", "admitted", "in_window")
