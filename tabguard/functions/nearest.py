@@ -34,12 +34,20 @@ class PointSet:
             return
         self.axes = principal_axes(points)
         turned, order = points @ self.axes, np.arange(n)
+        # Along the axis a node is cut on: the last point of its left child and the first of its right one.
+        cut_on, below, above = [], [], []
         for level in range(self.depth):
             edges = np.arange((1 << level) + 1) * n // (1 << level)
             low, high = np.minimum.reduceat(turned, edges[:-1]), np.maximum.reduceat(turned, edges[:-1])
             node = np.repeat(np.arange(1 << level), np.diff(edges))
-            by = np.lexsort((turned[np.arange(n), np.argmax(high - low, axis=1)[node]], node))
+            widest = np.argmax(high - low, axis=1)
+            by = np.lexsort((turned[np.arange(n), widest[node]], node))
             turned, order = turned[by], order[by]
+            middle = np.arange(1, 2 << level, 2) * n // (2 << level)
+            cut_on.append(widest)
+            below.append(turned[middle - 1, widest])
+            above.append(turned[middle, widest])
+        self.cut_on, self.below, self.above = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (cut_on, below, above))
         edges = np.arange((1 << self.depth) + 1) * n // (1 << self.depth)
         low, high = [np.minimum.reduceat(turned, edges[:-1])], [np.maximum.reduceat(turned, edges[:-1])]
         for _ in range(self.depth):
@@ -79,31 +87,38 @@ class PointSet:
             np.minimum.at(best, row, np.einsum("qpd,qpd->qp", apart, apart).min(axis=1))
 
     def _search(self, queries: np.ndarray, turned: np.ndarray, spare: np.ndarray, best: np.ndarray, rows: np.ndarray) -> None:
-        first = (1 << self.depth) - 1
-        node = np.zeros(len(rows), dtype=np.int64)
-        for _ in range(self.depth):  # the leaf one gets to by taking the nearer box
-            left = 2 * node + 1
-            node = left + (self._gaps(turned[rows], left + 1) < self._gaps(turned[rows], left))
+        first, own, at = (1 << self.depth) - 1, turned[rows], np.arange(len(rows))
+        node, off = np.zeros(len(rows), dtype=np.int64), np.empty((self.depth, len(rows)))
+        for level in range(self.depth):  # the leaf one gets to by taking the nearer side of each cut
+            value = own[at, self.cut_on[node]]
+            left, right = self.above[node] - value, value - self.below[node]
+            off[level] = np.maximum(0.0, np.maximum(left, right))
+            node = 2 * node + 1 + (right > left)
         self._improve(queries, best, rows, node - first)
-        self._walk(queries, turned, spare, best, rows, np.zeros(len(rows), dtype=np.int64), node, 0)
+        # Beside the way down: what lies beyond a cut that is nearer than the nearest point so far.
+        level, at = np.nonzero(off * off <= best[rows] + spare[rows])
+        beside = (((node[at] + 1) >> (self.depth - 1 - level)) ^ 1) - 1
+        self._walk(queries, turned, spare, best, rows[at], beside)
 
-    def _walk(self, queries, turned, spare, best, rows, node, home, level) -> None:
-        """Down from ``node`` to the leaves that may hold a nearer point; the nearest of them first, then twice as many each time."""
-        gap = np.zeros(len(rows))
-        for level in range(level, self.depth):
-            if len(rows) > STEP // 8 and len(np.unique(rows)) > 1:
+    def _walk(self, queries, turned, spare, best, rows, node) -> None:
+        """Down from the boxes ``node`` to the leaves that may hold a nearer point; the nearest of them first, then twice as many each time."""
+        first = (1 << self.depth) - 1
+        gap = self._gaps(turned[rows], node)
+        near = gap <= best[rows] + spare[rows]
+        rows, node, gap = rows[near], node[near], gap[near]
+        while (inner := node < first).any():
+            if len(rows) > STEP // 8 and rows.min() < rows.max():
                 # Too many boxes at once: one half of the queries after the other.
-                half = rows <= np.median(rows) if rows.min() < rows.max() else np.ones(len(rows), dtype=bool)
+                half = rows <= np.median(rows)
                 half = half if not half.all() else rows < rows.max()
                 for part in (half, ~half):
-                    self._walk(queries, turned, spare, best, rows[part], node[part], home[part], level)
+                    self._walk(queries, turned, spare, best, rows[part], node[part])
                 return
-            rows, home, node = np.concatenate([rows, rows]), np.concatenate([home, home]), np.concatenate([2 * node + 1, 2 * node + 2])
-            gap = self._gaps(turned[rows], node)
-            near = gap <= best[rows] + spare[rows]
-            rows, home, node, gap = rows[near], home[near], node[near], gap[near]
-        fresh = node != home
-        rows, node, gap = rows[fresh], node[fresh], gap[fresh]
+            down = np.concatenate([2 * node[inner] + 1, 2 * node[inner] + 2])
+            of = np.concatenate([rows[inner], rows[inner]])
+            apart = self._gaps(turned[of], down)
+            near = apart <= best[of] + spare[of]
+            rows, node, gap = (np.concatenate([x[~inner], y[near]]) for x, y in ((rows, of), (node, down), (gap, apart)))
         order = np.lexsort((gap, rows))
         rows, node, gap = rows[order], node[order], gap[order]
         taken = 1

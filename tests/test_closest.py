@@ -73,6 +73,20 @@ def test_points_on_a_tilted_sheet_open_few_leaves():
     assert sum(opened) < 30 * len(asked)
 
 
+def test_queries_beside_their_point_measure_few_boxes():
+    """What lies beyond a far cut needs no box: the way down settles most queries."""
+    draw = np.random.default_rng(4)
+    points = np.round(draw.normal(size=(20_000, 3)), 2)
+    asked = np.concatenate([points[:500] + draw.normal(size=(500, 3)) * 1e-4, draw.normal(size=(100, 3)) * 4, points[500:600]])
+    index, measured = PointSet(points), []
+    gaps = index._gaps
+    index._gaps = lambda turned, node: measured.append(len(node)) or gaps(turned, node)
+    beside = index.nearest(asked[:500])
+    assert sum(measured) < 5 * 500
+    want = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
+    assert np.allclose(beside, want[:500], rtol=0, atol=1e-12) and np.allclose(index.nearest(asked), want, rtol=0, atol=1e-12)
+
+
 def test_cells_of_a_tilted_sheet_are_flat():
     draw = np.random.default_rng(3)
     along, across = draw.normal(size=20_000), draw.normal(size=20_000)
