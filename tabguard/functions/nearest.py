@@ -175,15 +175,29 @@ class SplitTree:
             all_high[node] = np.maximum(all_high[2 * node + 1], all_high[2 * node + 2])
         return all_low, all_high
 
+    def _limit(self, turned: np.ndarray, reach: np.ndarray, boxes) -> np.ndarray:
+        """Squared reach; turned coordinates are rounded, so a hair more."""
+        held = boxes[0][0], boxes[1][0]
+        size = np.einsum("qd,qd->q", turned, turned) + float(np.square(held).sum() if np.isfinite(held).all() else 0.0)
+        return reach * reach * (1 + 1e-12) + 1e-14 * size
+
+    def alone(self, points: np.ndarray, reach: np.ndarray, boxes) -> np.ndarray:
+        """Whether ``reach`` ends before every cut on the way to a point's cell, so that no other cell is within it."""
+        points = points @ self.turn
+        limit = self._limit(points, reach, boxes)
+        node, rows, nearest = np.zeros(len(points), dtype=np.int64), np.arange(len(points)), np.full(len(points), np.inf)
+        for _ in range(self.depth):
+            value, cut = points[rows, self.axis[node]], self.cut[node]
+            np.minimum(nearest, np.abs(value - cut), out=nearest)
+            node = 2 * node + 1 + (value >= cut)
+        return nearest * nearest >= limit
+
     def cells_within(self, points: np.ndarray, reach: np.ndarray, boxes) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, cell) whose box is nearer than ``reach``, found level by level."""
         low, high = boxes
         row, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
         points = points @ self.turn
-        # Turned coordinates are rounded: a hair more than the reach.
-        held = low[0], high[0]
-        size = np.einsum("qd,qd->q", points, points) + float(np.square(held).sum() if np.isfinite(held).all() else 0.0)
-        limit = reach * reach * (1 + 1e-12) + 1e-14 * size
+        limit = self._limit(points, reach, boxes)
         for _ in range(self.depth):
             row, node = np.concatenate([row, row]), np.concatenate([2 * node + 1, 2 * node + 2])
             near = box_gap_squared(points[row], points[row], low[node], high[node]) < limit[row]

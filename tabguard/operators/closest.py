@@ -206,6 +206,7 @@ def _against_cells(points: DataFrame, asked: DataFrame, names: list[str], group_
 
     def others(batches):
         for pdf in batches:
+            pdf = pdf[~tree.alone(pdf[names].to_numpy(dtype=float), pdf["distance"].to_numpy(dtype=float), boxes)]
             # Few rows at a time: in many dimensions a row may have to visit most cells.
             for start in range(0, len(pdf), 1024):
                 part = pdf.iloc[start:start + 1024]

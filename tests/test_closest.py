@@ -102,6 +102,22 @@ def test_cells_of_a_tilted_sheet_are_flat():
     assert {(i, cell[j]) for i, j in enumerate(want.argmin(axis=1))} <= set(zip(row.tolist(), met.tolist()))
 
 
+def test_alone_is_who_meets_no_other_cell():
+    draw = np.random.default_rng(5)
+    points = np.round(draw.normal(size=(5000, 2)), 1)
+    tree = SplitTree(points[:3000], 6)
+    cell, turned = tree.cell(points), points @ tree.turn
+    low, high = np.full((64, 2), np.inf), np.full((64, 2), -np.inf)
+    np.minimum.at(low, cell, turned)
+    np.maximum.at(high, cell, turned)
+    boxes = tree.boxes(low, high)
+    asked = np.concatenate([points[:500], draw.normal(size=(500, 2)) * 2])
+    for reach in (np.full(1000, 0.0), draw.exponential(0.05, 1000), np.full(1000, np.inf)):
+        alone, (row, met) = tree.alone(asked, reach, boxes), tree.cells_within(asked, reach, boxes)
+        assert not alone[row[met != tree.cell(asked)[row]]].any()
+        assert alone.mean() > 0.4 or np.isinf(reach).all()
+
+
 def test_points_spread_over_many_chunks_leave_in_slices(spark):
     """One real cell against very many asked records: no batch holds a copy of the cell for each chunk of them."""
     real = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") / 20).cast("double").alias("b"))
