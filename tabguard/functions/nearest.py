@@ -6,6 +6,8 @@ import numpy as np
 
 #: Points of a leaf, and numbers that one step of a search holds at once.
 LEAF, STEP = 16, 1 << 21
+#: Points and queries whose products are held at once.
+TILE_POINTS, TILE_QUERIES = 1_024, 256
 
 
 def box_gap_squared(low_a, high_a, low_b, high_b):
@@ -21,6 +23,45 @@ def principal_axes(points: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(np.cov(points, rowvar=False).reshape(points.shape[1], -1))[1]
 
 
+def improve_by_products(points: np.ndarray, queries: np.ndarray, best: np.ndarray, nearest: np.ndarray | None = None) -> None:
+    """Lower ``best`` (squared distances of the queries so far) to their nearest of ``points``, whose index goes into ``nearest``.
+
+    Products in single precision bound every pair from below; pairs whose bound is under the best so far are measured.
+    """
+    held, size = np.einsum("pd,pd->p", points, points), np.einsum("qd,qd->q", queries, queries)
+    kind = np.float32 if max(held.max(initial=0.0), size.max(initial=0.0)) < 1e30 else np.float64
+    # More than what rounding may add to a bound, as a share of the squared lengths.
+    slack = (points.shape[1] + 8) * float(np.finfo(kind).eps)
+    left = np.column_stack([-2 * queries, np.ones(len(queries))]).astype(kind)
+    right = np.ascontiguousarray(np.column_stack([points, held * (1 - slack)]).T.astype(kind))
+    own = size * (1 - slack)
+
+    def measure(row: np.ndarray, at: np.ndarray) -> None:
+        apart = queries[row] - points[at]
+        squares = np.einsum("qd,qd->q", apart, apart)
+        # The nearest of a query last, so that it is what stays.
+        order = np.argsort(-squares, kind="stable")
+        order = order[squares[order] < best[row[order]]]
+        best[row[order]] = squares[order]
+        if nearest is not None:
+            nearest[row[order]] = at[order]
+
+    for low in range(0, len(queries), TILE_QUERIES):
+        part = slice(low, low + TILE_QUERIES)
+        for start in range(0, len(points), TILE_POINTS):
+            bound = left[part] @ right[:, start:start + TILE_POINTS]
+            first = bound.argmin(axis=1)
+            near = np.flatnonzero(bound[np.arange(len(bound)), first] + own[part] < best[part])
+            if not len(near):
+                continue
+            bound, first = (bound[near], first[near]) if len(near) < len(bound) else (bound, first)
+            near += low
+            measure(near, start + first)
+            limit = np.nextafter((best[near] - own[near]).astype(kind), kind(np.inf))
+            pair = np.flatnonzero(bound < limit[:, None])
+            measure(near[pair // bound.shape[1]], start + pair % bound.shape[1])
+
+
 class PointSet:
     """Points in a balanced tree of boxes along their principal axes; all queries walk it together, level by level.
 

@@ -74,6 +74,18 @@ def scratch_scope(spark: SparkSession):
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession):
+    """What runs inside the block leaves no shuffle files: they go with their query, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_and_reread(df: DataFrame, tag: str = "table") -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that a lost executor costs a re-read."""
     path = scratch_path(df.sparkSession, tag)

@@ -1,7 +1,11 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from tabguard import session
+from tabguard.functions.nearest import improve_by_products
 from tabguard.operators import closest_approximate as approximate
 from tests.test_closest import brute
 
@@ -90,3 +94,73 @@ def test_exact_neighbours_of_the_trial_by_products(spark):
     want = np.sqrt(((asked[:, None, :] - real[None, :, :]) ** 2).sum(axis=2))
     assert np.array_equal(apart, want.min(axis=1)) or np.allclose(apart, want.min(axis=1), rtol=1e-12, atol=0)
     assert np.array_equal(where, real[want.argmin(axis=1)])
+
+
+def shuffle_files(spark):
+    """Bytes of the session's shuffle files, by name."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_disk_holds_each_record_once(spark, monkeypatch):
+    """Not once a table: no shuffle files stay behind, and written tables hold a record and its distances."""
+    monkeypatch.setattr(approximate, "_choose", lambda *_: (4, 6))
+    draw = np.random.default_rng(8)
+    real, synth = draw.normal(size=(4000, 12)), draw.normal(size=(4000, 12))
+    r, s = tables(spark, real, synth)
+    spark._jvm.System.gc()
+    before, paths = shuffle_files(spark), []
+    monkeypatch.setattr(session, "_scopes", [paths])
+    row = approximate.approximate_record_report(r, s, cell_points=100).first()
+    assert (row.tables, row.depth, row.total_records) == (6, 4, 4000)
+    wide = 0
+    for path in paths:
+        written = spark.read.parquet(path)
+        wide += written.count() * ("x0" in written.columns)
+    assert wide == 8000
+    for _ in range(50):  # they go in the background
+        if (left := sum(size for name, size in shuffle_files(spark).items() if name not in before)) < 50_000:
+            break
+        time.sleep(0.2)
+    assert left < 50_000
+
+
+def test_rounds_and_chunks_give_the_same(spark, monkeypatch):
+    """Copies, cells in many rounds, and cells cut into chunks that take turns."""
+    draw = np.random.default_rng(9)
+    real = np.vstack([draw.normal(size=(900, 4)), np.repeat(draw.normal(size=(3, 4)), 200, axis=0)])
+    synth = np.vstack([real[:400] + 0.05, np.repeat(real[:2], 150, axis=0), np.full((1, 4), 30.0)])
+    r, s = tables(spark, real, synth)
+    read = lambda found: sorted((*[round(x, 9) for x in row[:4]], row.n, round(row.distance, 9)) for row in found.collect())
+    found, told = approximate.approximate_distances(r, s, cell_points=200)
+    want = read(found)
+    assert sum(x[4] for x in want) == 701 and len(want) == 403
+    monkeypatch.setattr(approximate, "ROUND_ROWS", 100)
+    monkeypatch.setattr(approximate, "GROUP_POINTS", 30)
+    monkeypatch.setattr(approximate, "COUNTED_ROWS", 1)
+    cut, again = approximate.approximate_distances(r, s, cell_points=200)
+    assert read(cut) == want and again == told
+
+
+def test_plan_meets_every_pair_of_chunks_once(monkeypatch):
+    monkeypatch.setattr(approximate, "GROUP_POINTS", 10)
+    plan = approximate._plan(np.array([5, 0, 95, 7, 12, 9]), np.array([8, 9, 41, 0, 3, 10]), 150)
+    assert sorted(set(plan["cell"])) == [0, 2, 4, 5]
+    pairs = [(p.cell, r, a) for p in plan.itertuples() for r in range(p.rc) for a in range(p.low, p.high)]
+    assert len(pairs) == len(set(pairs)) == 1 + 10 * 5 + 2 + 1
+    assert plan["moved"].max() <= 300 and plan["round"].nunique() > 1 and plan["round"].is_monotonic_increasing
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e18])
+def test_products_find_the_nearest(scale):
+    draw = np.random.default_rng(10)
+    points = np.vstack([draw.normal(size=(3000, 6)), np.ones((50, 6)), draw.normal(size=(20, 6)) + 1e4]) * scale
+    asked = np.vstack([points[:300], points[300:600] + 1e-9 * scale, draw.normal(size=(300, 6)) * scale, points[-5:] + 0.1 * scale])
+    best, nearest = np.full(len(asked), np.inf), np.full(len(asked), -1)
+    improve_by_products(points[:1500], asked, best, nearest)
+    first = best.copy()
+    improve_by_products(points[1500:], asked, best)
+    want = ((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    assert np.allclose(first, want[:, :1500].min(axis=1), rtol=1e-12, atol=0) and np.array_equal(nearest, want[:, :1500].argmin(axis=1))
+    assert np.allclose(best, want.min(axis=1), rtol=1e-12, atol=0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabguard.operators import closest, closest_approximate
+from tabguard.session import shuffle_files_removed, write_and_reread
 from workload.catalog import query, table
 
 PARTS_SQL = """
@@ -82,7 +83,12 @@ def closest_record_lineitem(spark, sf_dir):
 def closest_record_approximate(spark, sf_dir):
     """Twelve columns of every line item and its part against a perturbed copy, approximately, with the measured recall."""
     items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    wide = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    wide = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "p_size", "p_retailprice"
+    )
+    # Joined once: both sides are read several times.
+    with shuffle_files_removed(spark):
+        wide = write_and_reread(wide, "wide")
     price = F.col("l_extendedprice")
     columns = {
         "quantity": F.col("l_quantity"), "price": price, "discount": F.col("l_discount"), "tax": F.col("l_tax"),
