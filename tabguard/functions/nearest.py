@@ -26,15 +26,25 @@ def principal_axes(points: np.ndarray) -> np.ndarray:
 def improve_by_products(points: np.ndarray, queries: np.ndarray, best: np.ndarray, nearest: np.ndarray | None = None) -> None:
     """Lower ``best`` (squared distances of the queries so far) to their nearest of ``points``, whose index goes into ``nearest``.
 
-    Products in single precision bound every pair from below; pairs whose bound is under the best so far are measured.
+    Products in single precision bound every pair from below; pairs whose bound is under the best so far are measured. Where
+    these are many, as among points closer together than single precision tells, products in double precision decide.
+    Copies among the points are all measured.
     """
     held, size = np.einsum("pd,pd->p", points, points), np.einsum("qd,qd->q", queries, queries)
+
+    def factors(kind, points, held, queries, size):
+        # More than what rounding may add to a bound, as a share of the squared lengths.
+        slack = (points.shape[1] + 8) * float(np.finfo(kind).eps)
+        left = np.column_stack([-2 * queries, np.ones(len(queries))]).astype(kind)
+        right = np.ascontiguousarray(np.column_stack([points, held * (1 - slack)]).T.astype(kind))
+        return left, right, size * (1 - slack)
+
+    def below(bound, near, own):
+        limit = np.nextafter((best[near] - own).astype(bound.dtype), bound.dtype.type(np.inf))
+        return np.flatnonzero(bound < limit[:, None])
+
     kind = np.float32 if max(held.max(initial=0.0), size.max(initial=0.0)) < 1e30 else np.float64
-    # More than what rounding may add to a bound, as a share of the squared lengths.
-    slack = (points.shape[1] + 8) * float(np.finfo(kind).eps)
-    left = np.column_stack([-2 * queries, np.ones(len(queries))]).astype(kind)
-    right = np.ascontiguousarray(np.column_stack([points, held * (1 - slack)]).T.astype(kind))
-    own = size * (1 - slack)
+    left, right, own = factors(kind, points, held, queries, size)
 
     def measure(row: np.ndarray, at: np.ndarray) -> None:
         apart = queries[row] - points[at]
@@ -57,8 +67,13 @@ def improve_by_products(points: np.ndarray, queries: np.ndarray, best: np.ndarra
             bound, first = (bound[near], first[near]) if len(near) < len(bound) else (bound, first)
             near += low
             measure(near, start + first)
-            limit = np.nextafter((best[near] - own[near]).astype(kind), kind(np.inf))
-            pair = np.flatnonzero(bound < limit[:, None])
+            pair = below(bound, near, own[near])
+            if kind == np.float32 and len(pair) > 4 * len(near) + bound.size // 64:
+                tile = slice(start, start + bound.shape[1])
+                a, b, sharper = factors(np.float64, points[tile], held[tile], queries[near], size[near])
+                bound = a @ b
+                measure(near, start + bound.argmin(axis=1))
+                pair = below(bound, near, sharper)
             measure(near[pair // bound.shape[1]], start + pair % bound.shape[1])
 
 

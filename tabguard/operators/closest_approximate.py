@@ -112,6 +112,13 @@ def _matrix(table: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
     return np.column_stack([np.asarray(table.column(n)) for n in names])
 
 
+def _one_of_copies(points: np.ndarray) -> np.ndarray:
+    """Without copies, which all would be as near as each other; found by one projection and then compared."""
+    _, first, at = np.unique(points @ np.sqrt(np.arange(2.0, points.shape[1] + 2)), return_index=True, return_inverse=True)
+    alike = (points == points[first[at]]).all(axis=1)
+    return points if len(first) == len(points) else np.vstack([points[first], points[~alike]])
+
+
 def _exact_nearest(points: DataFrame, names: list[str], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest of all real records to each of ``asked``: a task keeps one candidate a record, then one group a record."""
     shared = points.sparkSession.sparkContext.broadcast(asked)
@@ -120,7 +127,7 @@ def _exact_nearest(points: DataFrame, names: list[str], asked: np.ndarray) -> tu
         want = shared.value
         best, where = np.full(len(want), np.inf), np.zeros((len(want), len(names)))
         for batch in batches:
-            real, at = _matrix(batch, names), np.full(len(want), -1)
+            real, at = _one_of_copies(_matrix(batch, names)), np.full(len(want), -1)
             improve_by_products(real, want, best, at)
             where[at >= 0] = real[at[at >= 0]]
         if len(want):
